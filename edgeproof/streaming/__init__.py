@@ -1 +1 @@
-
+"""Live monitoring with Structured Streaming."""
