@@ -119,14 +119,16 @@ def with_edited(documents: DataFrame, most: int = ANCHORS) -> DataFrame:
     near_next is null. Null texts are empty.
     """
     text = F.coalesce("text", F.lit(""))
-    docs = documents.select("doc_id", text.alias("text"))
-    need = docs.where("doc_id is not null").groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
+    every = documents.select("doc_id", text.alias("text"))
+    docs = every.where("doc_id is not null")
+    need = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
     follows = cut(need.join(successors(docs.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id")).select("doc_id", "need", "next"), "follows")
     # The documents' exchange by id serves both joins; only heads move a second time.
     asked = follows.select(F.col("next"), F.col("doc_id").alias("prev"), "need")
     heads = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
     heads = heads.groupBy("prev").agg(F.min_by("head", "rank").alias("head"))
-    joined = docs.join(heads, F.col("doc_id") == F.col("prev"), "left")
+    joined = docs.join(heads, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "head")
+    joined = joined.unionByName(every.where("doc_id is null").withColumn("head", F.lit("")))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.floor(n / 4).cast("int")))
     both = joined.select("doc_id", "text", edited.alias("edited")).select(
