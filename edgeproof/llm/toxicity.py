@@ -25,7 +25,10 @@ from .common import column, hash_words, mix64, one_label, raw_texts, scan, slice
 #: Hashed feature space; characters of prefixes and suffixes that are features.
 SPACE, AFFIXES = 1 << 18, (3, 4, 5, 6, 7)
 #: The bound on labelled documents that the field is fitted on, and on characters of each batch.
-MAX_LABELLED, BATCH_CHARS = 6_000, 4_000_000
+MAX_LABELLED, BATCH_CHARS = 4_000, 2_000_000
+#: Clean documents for each toxic one that the field itself is fitted on; all take part in the
+#: token labels and in the documents' logistic model.
+CLEAN_SHARE = 2
 _TOKEN = re.compile(r"[^\W_]+")
 _AROUND = (0, -1, 1)  # whose features count for a token
 
@@ -135,71 +138,69 @@ def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2) -> np.ndarray:
     return w
 
 
-def _token_labels(counts, index, table, toxic, lift: float = 8.0, support: int = 4) -> np.ndarray:
+def _token_labels(counts, index, table, toxic, lift: float = 12.0, support: float = 0.02) -> np.ndarray:
     """1 for tokens of toxic documents with a feature at least lift times as common there as in
-    clean ones and found in at least support toxic documents."""
+    clean ones and found in at least 4 toxic documents and that share of them."""
     doc = np.repeat(np.arange(len(counts)), counts)
     bad = toxic[doc]
     n1, n0 = bad.sum() + 1, (~bad).sum() + 1
     feats = table[index]
-    hot = np.zeros(SPACE, bool)
     c1 = np.bincount(feats[bad].ravel(), minlength=SPACE)
     c0 = np.bincount(feats[~bad].ravel(), minlength=SPACE)
     rate = ((c1 + 0.1) / n1) / ((c0 + 1.0) / n0)
     pairs = np.unique(feats[bad] * np.int64(len(counts)) + doc[bad][:, None])
     docs = np.bincount(pairs // max(1, len(counts)), minlength=SPACE)
-    hot = (rate >= lift) & (docs >= support)
+    hot = (rate >= lift) & (docs >= max(4.0, support * toxic.sum()))
     return (hot[feats].any(1) & bad).astype(float)
 
 
-def fit(rows: pd.DataFrame, rounds: int = 2, steps: int = 60) -> Field:
-    """rows: text, label. Full-batch training of the field by adaptive gradient steps."""
+def fit(rows: pd.DataFrame, rounds: tuple[int, ...] = (30, 15)) -> Field:
+    """rows: doc_id, text, label. Full-batch adaptive gradient steps, in rounds: after each one, tokens of
+    toxic documents that the field tags are labelled too."""
     rows = rows.drop_duplicates("text")
     y = rows["label"].to_numpy().astype(bool)
-    blank = Field(np.zeros((len(_AROUND), SPACE)), 0.0, np.zeros((2, 2)), np.zeros(6), float(y.mean()) if len(y) else 0.5)
+    field = Field(np.zeros((len(_AROUND), SPACE)), 0.0, np.zeros((2, 2)), np.zeros(6), float(y.mean()) if len(y) else 0.5)
     if not len(y) or y.all() or not y.any():
-        p = min(max(blank.prior, 1e-3), 1 - 1e-3)
-        blank.head[5] = math.log(p / (1 - p))
-        return blank
-    _, counts, index, table = read([t or "" for t in rows["text"]])
-    target = _token_labels(counts, index, table, y)
-    feats = table[index]
-    ends, n = np.cumsum(counts), len(index)
-    field = blank
-    for again in range(rounds):
-        rate = target.mean() + 1e-6
-        field.bias, field.step = math.log(rate / (1 - rate)), np.array([[0.0, 0.0], [0.0, 0.5]])
-        field.weights = np.zeros((len(_AROUND), SPACE), np.float64)
-        seen = np.zeros_like(field.weights) + 1e-8
-        pair = np.ones(n, bool)
-        pair[(ends - counts)[counts > 0]] = False
+        p = min(max(field.prior, 1e-3), 1 - 1e-3)
+        field.head[5] = math.log(p / (1 - p))
+        return field
+    _, counts_all, index_all, table = read([t or "" for t in rows["text"]])
+    labelled = _token_labels(counts_all, index_all, table, y)
+    clean = np.flatnonzero(~y)
+    used = np.sort(np.concatenate([np.flatnonzero(y), clean[:: max(1, len(clean) // max(1, CLEAN_SHARE * int(y.sum())))]]))
+    at = gather((np.cumsum(counts_all) - counts_all)[used], counts_all[used])
+    counts, index, target, toxic = counts_all[used], index_all[at], labelled[at], np.repeat(y[used], counts_all[used])
+    feats, firsts, lasts = table[index], (np.cumsum(counts) - counts)[counts > 0], np.cumsum(counts)[counts > 0] - 1
+    follows = np.ones(len(index), bool)
+    follows[firsts] = False
+    rate = target.mean() + 1e-6
+    field.bias, field.step = math.log(rate / (1 - rate)), np.array([[0.0, 0.0], [0.0, 0.5]])
+    seen = np.full_like(field.weights, 1e-8)
+    for k, steps in enumerate(rounds):
         gold = np.zeros((2, 2))
-        prev = np.roll(target, 1)
-        np.add.at(gold, (prev[pair].astype(int), target[pair].astype(int)), 1)
+        np.add.at(gold, (np.roll(target, 1)[follows].astype(int), target[follows].astype(int)), 1)
         for _ in range(steps):
             p, xi, _ = field.marginals(counts, field.scores(counts, index, table), True)
             d = target - p
-            live = np.abs(d) > 1e-4
-            for k, off in enumerate(_AROUND):
-                dd = d
-                if off < 0:  # the token before tells: its features get the gradient of the one after
-                    dd = np.append(d[1:], 0.0)
-                    dd[ends[counts > 0] - 1] = 0
+            for j, off in enumerate(_AROUND):
+                moved = d.copy()  # a neighbour's features get the gradient of the token they tell about
+                if off < 0:
+                    moved[:-1] = d[1:]
+                    moved[lasts] = 0
                 elif off > 0:
-                    dd = np.insert(d[:-1], 0, 0.0)
-                    dd[(ends - counts)[counts > 0]] = 0
-                use = np.abs(dd) > 1e-4
-                grad = np.bincount(feats[use].ravel(), weights=np.repeat(dd[use], feats.shape[1]), minlength=SPACE) - 0.02 * field.weights[k]
-                seen[k] += grad * grad
-                field.weights[k] += (0.5 if off == 0 else 0.1) * grad / np.sqrt(seen[k])
+                    moved[1:] = d[:-1]
+                    moved[firsts] = 0
+                use = np.abs(moved) > 1e-3
+                grad = np.bincount(feats[use].ravel(), weights=np.repeat(moved[use], feats.shape[1]), minlength=SPACE) - 0.02 * field.weights[j]
+                seen[j] += grad * grad
+                field.weights[j] += (0.5 if off == 0 else 0.1) * grad / np.sqrt(seen[j])
             field.bias += 0.5 * d.sum() / (np.abs(d).sum() + 1)
             field.step += 0.2 * (gold - xi) / (np.abs(gold - xi).sum() + 10)
-            if not live.any():
-                break
-        p = field.marginals(counts, field.scores(counts, index, table))
-        if again + 1 < rounds:
-            target = np.where(np.repeat(y, counts), ((p > 0.5) | (target > 0)).astype(float), 0.0)
-    field.head = _logistic(field.documents(counts, p), y.astype(float))
+        if k + 1 < len(rounds):
+            p = field.marginals(counts, field.scores(counts, index, table))
+            target = np.where(toxic, np.maximum(target, p > 0.5), 0.0)
+    p = field.marginals(counts_all, field.scores(counts_all, index_all, table))
+    field.head = _logistic(field.documents(counts_all, p), y.astype(float))
     return field
 
 
