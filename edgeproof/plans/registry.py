@@ -115,7 +115,7 @@ frame("risk_burke", lambda s, d: risk.burke(drawn(s, d)), sql.EPISODES, f"SELECT
 frame("risk_expected_shortfall", lambda s, d: risk.expected_shortfall(fixtures.daily(s, d)), sql.DD, f"SELECT round({_ES}, 6) AS expected_shortfall")
 frame("risk_return_on_exposure", lambda s, d: risk.return_on_exposure(fixtures.daily(s, d), fixtures.trades(s, d).select(F.col("l_discount").alias("exposure"))), f"{sql.F1}, {sql.F2}", "SELECT round((SELECT product(1+ret)-1 FROM f2)/(SELECT avg(l_discount) FROM f1), 6) AS return_on_exposure")
 frame("risk_capital_curve", lambda s, d: ordered.capital_curve(fixtures.daily(s, d)).select("ts", "capital"), sql.DD, "SELECT ts, round(capital, 9) AS capital FROM dd", 9)
-frame("risk_drawdown_series", lambda s, d: drawn(s, d).select("ts", "dd"), sql.DD, "SELECT ts, round(dd, 9) AS dd FROM dd", 9)
+frame("risk_drawdown_series", lambda s, d: drawn(s, d).select("ts", "dd"), sql.DD, "SELECT ts, round(dd, 11) AS dd FROM dd", 11)
 frame("risk_drawdown_episodes", lambda s, d: risk.drawdown_episodes(drawn(s, d)), sql.EPISODES, "SELECT start, trough, recovery, round(depth, 9) AS depth, date_diff('day', CAST(start AS DATE), CAST(recovery AS DATE)) AS duration_days, date_diff('day', CAST(trough AS DATE), CAST(recovery AS DATE)) AS recovery_days FROM ep", 9)
 frame("risk_recovery_profile", lambda s, d: risk.recovery_profile(drawn(s, d)), sql.EPISODES, """SELECT CASE WHEN depth <= -0.2 THEN 0 WHEN depth <= -0.1 THEN 1 WHEN depth <= -0.05 THEN 2 ELSE 3 END AS bucket, count(*) AS episodes, count(recovery) AS closed,
   round(avg(date_diff('day', CAST(trough AS DATE), CAST(recovery AS DATE))), 6) AS mean_days, max(date_diff('day', CAST(trough AS DATE), CAST(recovery AS DATE))) AS longest_days FROM ep GROUP BY 1""")
@@ -160,7 +160,7 @@ def _moments(s, d):
 
 
 frame("evidence_probabilistic_sharpe", lambda s, d: _moments(s, d).select(evidence.probabilistic_sharpe(F.col("sr"), F.col("n"), F.col("sk"), F.col("ku")).alias("psr")), _MOMENTS, f"SELECT round({sql.normal_cdf(f'sr*sqrt(n-1)/{_V}')}, 6) AS psr FROM mo")
-frame("evidence_min_track_record_length", lambda s, d: _moments(s, d).select(evidence.min_track_record_length(F.abs(F.col("sr")), F.col("sk"), F.col("ku")).alias("rows")), _MOMENTS, "SELECT round(1 + (1 - sk*abs(sr) + (ku-1)/4*sr*sr)*pow(1.6448536269514722/abs(sr), 2), 6) AS rows FROM mo")
+frame("evidence_min_track_record_length", lambda s, d: _moments(s, d).select(evidence.min_track_record_length(F.abs(F.col("sr")), F.col("sk"), F.col("ku")).alias("rows")), _MOMENTS, "SELECT round(1 + (1 - sk*abs(sr) + (ku-1)/4*sr*sr)*pow(1.6448536269514722/abs(sr), 2), 3) AS rows FROM mo", 3)
 frame("evidence_deflated_sharpe", lambda s, d: _moments(s, d).select(evidence.deflated_sharpe(F.col("sr"), F.col("n"), F.lit(20), F.lit(0.0001), F.col("sk"), F.col("ku")).alias("dsr")), _MOMENTS, f"SELECT round({sql.normal_cdf(f'(sr - 0.01*((1-0.5772156649)*1.6448536269514722 + 0.5772156649*2.0881096572142206))*sqrt(n-1)/{_V}')}, 6) AS dsr FROM mo")
 frame("evidence_autocorrelation", lambda s, d: evidence.autocorrelation(base2(s, d)).select(F.col("lag").cast("long").alias("lag"), "rho"), f"{sql.B2}, {_ACF.format(b='b2')}", "SELECT lag, round(rho, 6) AS rho FROM ac")
 frame("evidence_autocorrelation_trades", lambda s, d: evidence.autocorrelation(base1(s, d)).select(F.col("lag").cast("long").alias("lag"), "rho"), f"{sql.B1}, {_ACF.format(b='b1')}", "SELECT lag, round(rho, 6) AS rho FROM ac")

@@ -104,7 +104,7 @@ def _roll_sql(expr: str) -> str:
 
 
 for _k, _x in _ROLL.items():
-    frame(f"signal_rolling_{_k}", lambda s, d, k=_k: signal.rolling_metric(fixtures.daily(s, d), window=60, metric=k).select("ts", "rolling"), _roll_sql(_x), "SELECT ts, round(rolling, 6) AS rolling FROM ro")
+    frame(f"signal_rolling_{_k}", lambda s, d, k=_k: signal.rolling_metric(fixtures.daily(s, d), window=60, metric=k).select("ts", "rolling"), _roll_sql(_x), "SELECT ts, round(rolling, 9) AS rolling FROM ro", 9)
 frame("signal_rolling_stability", lambda s, d: signal.rolling_stability(fixtures.daily(s, d), window=60), _roll_sql(_ROLL["mean"]), "SELECT round(avg(rolling), 6) AS mean, round(stddev_samp(rolling), 6) AS sd, round(avg(CASE WHEN rolling > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round(min(rolling), 6) AS min, round(max(rolling), 6) AS max FROM ro WHERE rolling IS NOT NULL")
 frame("signal_edge_decay", lambda s, d: signal.edge_decay(base1(s, d)), sql.B1, "SELECT round(regr_slope(r, idx), 6) AS slope, round(regr_slope(r, idx)/sqrt((regr_syy(r, idx) - pow(regr_sxy(r, idx), 2)/regr_sxx(r, idx))/(count(r)-2)/regr_sxx(r, idx)), 6) AS t, count(r) AS n FROM b1")
 _TOP = f"{sql.F1}, tk AS (SELECT r, row_number() OVER (ORDER BY r DESC) AS k FROM f1), gn AS (SELECT count(r) AS n, sum(r) FILTER (WHERE r > 0) AS gross, sum(r) AS net FROM f1)"
@@ -128,7 +128,7 @@ frame("execution_capital_utilization", lambda s, d: execution.capital_utilizatio
 scalar("execution_trades_per_year", fixtures.trades, lambda: execution.trades_per_year(F.col("entry")), sql.F1, "f1", "count(entry)/(date_diff('day', CAST(min(entry) AS DATE), CAST(max(entry) AS DATE))/365.25)")
 frame("execution_holding_period", lambda s, d: execution.holding_period(fixtures.trades(s, d)).withColumn("max", F.col("max").cast("long")), sql.F1, f"SELECT round(avg({_HELD}), 6) AS mean, round(median({_HELD}), 6) AS median, round(quantile_cont({_HELD}, 0.95), 6) AS p95, max({_HELD}) AS max FROM f1")
 frame("execution_winner_loser_holding", lambda s, d: execution.winner_loser_holding(fixtures.trades(s, d)), sql.F1, f"SELECT round(avg({_HELD}) FILTER (WHERE r > 0), 6) AS winners, round(avg({_HELD}) FILTER (WHERE r < 0), 6) AS losers FROM f1")
-frame("execution_mae_mfe", lambda s, d: execution.mae_mfe(fixtures.trades(s, d)), sql.F1, "SELECT round(mae, 6) AS mae, round(mfe, 6) AS mfe, round(r, 6) AS r, CASE WHEN r > 0 THEN 'winner' ELSE 'loser' END AS outcome FROM f1")
+frame("execution_mae_mfe", lambda s, d: execution.mae_mfe(fixtures.trades(s, d)), sql.F1, "SELECT round(mae, 9) AS mae, round(mfe, 9) AS mfe, round(r, 9) AS r, CASE WHEN r > 0 THEN 'winner' ELSE 'loser' END AS outcome FROM f1", 9)
 scalar("execution_mfe_capture_ratio", fixtures.trades, lambda: execution.mfe_capture(F.col("r"), F.col("mfe")), sql.F1, "f1", "avg(r/mfe) FILTER (WHERE r > 0 AND mfe > 0)")
 frame("execution_mae_efficiency", lambda s, d: execution.mae_efficiency(fixtures.trades(s, d)), sql.F1, "SELECT round(avg(abs(mae)), 6) AS mean, round(quantile_cont(abs(mae), 0.95), 6) AS p95, 1.0::DOUBLE AS stop, round(1 - quantile_cont(abs(mae), 0.95), 6) AS slack FROM f1 WHERE r > 0")
 scalar("execution_fill_probability", lambda s, d: fixtures.read(s, d, "orders"), lambda: execution.fill_probability(F.count("*"), F.count(F.when(F.col("o_orderstatus") == "F", 1))), "oo AS (SELECT * FROM orders)", "oo", "count(*) FILTER (WHERE o_orderstatus = 'F')*1.0/count(*)")
@@ -217,8 +217,8 @@ frame("generated_business_days", lambda s, d: s.range(300).select("id", generato
 # Charts, formats, colours ---------------------------------------------------------------------
 
 _HIST = "SELECT bin, round(a + bin*(b-a)/{n}, 6) AS lo, round(a + (bin+1)*(b-a)/{n}, 6) AS hi, count(*) AS n FROM (SELECT CAST(least(floor((x-a)/((b-a)/{n})), {n}-1) AS INTEGER) AS bin, a, b FROM {t} CROSS JOIN (SELECT min(x) AS a, max(x) AS b FROM {t})) GROUP BY bin, a, b"
-frame("chart_equity", lambda s, d: charts.equity(fixtures.daily(s, d)), sql.DD, "SELECT ts, round(100*capital, 6) AS capital FROM dd")
-frame("chart_drawdown", lambda s, d: charts.drawdown_curve(fixtures.daily(s, d)), sql.DD, "SELECT ts, round(dd, 9) AS dd, ts = (SELECT arg_min(ts, (dd, ts)) FROM dd) AS is_worst FROM dd", 9)
+frame("chart_equity", lambda s, d: charts.equity(fixtures.daily(s, d)), sql.DD, "SELECT ts, round(100*capital, 7) AS capital FROM dd", 7)
+frame("chart_drawdown", lambda s, d: charts.drawdown_curve(fixtures.daily(s, d)), sql.DD, "SELECT ts, round(dd, 11) AS dd, ts = (SELECT arg_min(ts, (dd, ts)) FROM dd) AS is_worst FROM dd", 11)
 frame("chart_trade_histogram", lambda s, d: charts.histogram(fixtures.trades(s, d), "r"), f"{sql.F1}, hx AS (SELECT r AS x FROM f1)", _HIST.format(n=40, t="hx"))
 frame("chart_monte_carlo_band", lambda s, d: charts.monte_carlo_band(base2(s, d), fraction=1.0, n_sim=20), f"{sql.B2}, {sql.draws(20)}, {_PATHS}", "SELECT pos, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.95), 6) AS p95 FROM p GROUP BY 1")
 frame("chart_drawdown_histogram", lambda s, d: charts.drawdown_histogram(base2(s, d), fraction=1.0, n_sim=REPS), f"{sql.B2}, {sql.draws(REPS)}, {_PATHS}, hx AS (SELECT min(dd) AS x FROM q GROUP BY rep)", _HIST.format(n=50, t="hx"))

@@ -9,12 +9,12 @@ F1 = f"""f1 AS (SELECT {_R} AS r, l_shipdate AS entry, CAST(l_shipdate AS DATE)
   l_returnflag AS regime, 0 - l_discount*10 AS mae, abs({_R}) + l_tax*10 AS mfe, l_quantity AS risk, {_R}*l_quantity AS pnl, l_tax AS cost,
   l_discount, {_COLUMNS} FROM lineitem)"""
 B1 = f"{F1}, b1 AS (SELECT *, row_number() OVER (ORDER BY entry, {_COLUMNS}) - 1 AS idx FROM f1)"
-F2 = "f2 AS (SELECT o_orderdate AS ts, round((avg(o_totalprice)-250000)/250000*0.05, 8) AS ret FROM orders GROUP BY 1)"
+F2 = "f2 AS (SELECT o_orderdate AS ts, (avg(o_totalprice)-250000)/250000*0.05 AS ret FROM orders GROUP BY 1)"
 B2 = f"{F2}, b2 AS (SELECT row_number() OVER (ORDER BY ts) - 1 AS idx, ts, ret AS r FROM f2)"
-F3 = "f3 AS (SELECT l_shipdate AS ts, round((avg(l_extendedprice)-52500)/52500*0.05, 8) AS bench FROM lineitem GROUP BY 1)"
-F4 = "f4 AS (SELECT o_orderpriority AS strategy, o_orderdate AS ts, round((avg(o_totalprice)-250000)/250000*0.05, 8) AS ret FROM orders GROUP BY 1, 2)"
+F3 = "f3 AS (SELECT l_shipdate AS ts, (avg(l_extendedprice)-52500)/52500*0.05 AS bench FROM lineitem GROUP BY 1)"
+F4 = "f4 AS (SELECT o_orderpriority AS strategy, o_orderdate AS ts, (avg(o_totalprice)-250000)/250000*0.05 AS ret FROM orders GROUP BY 1, 2)"
 F5 = """f5raw AS (SELECT date_trunc('month', o_orderdate) AS m, CAST(substr(o_orderpriority, 1, 1) AS INTEGER) AS config,
-    round((avg(o_totalprice)-250000)/250000*0.05, 8) AS ret FROM orders GROUP BY 1, 2),
+    (avg(o_totalprice)-250000)/250000*0.05 AS ret FROM orders GROUP BY 1, 2),
   f5cell AS (SELECT CAST((year(m)-year((SELECT min(m) FROM f5raw)))*12 + month(m) - month((SELECT min(m) FROM f5raw)) AS BIGINT) AS t, config, ret FROM f5raw),
   f5 AS (SELECT a.t, c.config, coalesce(x.ret, 0.0) AS ret FROM (SELECT CAST(g AS BIGINT) AS t FROM range(0, 400) r(g) WHERE g <= (SELECT max(t) FROM f5cell)) a
     CROSS JOIN (SELECT DISTINCT config FROM f5cell) c LEFT JOIN f5cell x ON x.t = a.t AND x.config = c.config)"""
