@@ -26,8 +26,8 @@ from .common import column, cut, drop_cut, mix64, raw_texts, scan, slices, token
 
 #: States, word classes (the end is one more), discount, blocks of the count tables.
 STATES, CLASSES, DISCOUNT, BLOCKS = 8, 1 << 13, 0.5, 16
-#: Characters of a chunk, training documents of the sample that only finds where to start.
-CHUNK_CHARS, START_DOCS = 16_000_000, 1_500
+#: Characters of a chunk, of what is split into words at once, training documents of the sample that only finds where to start.
+CHUNK_CHARS, SLICE_CHARS, START_DOCS = 12_000_000, 2_000_000, 1_500
 _CHUNK = "chunk long, ids array<bigint>, held array<boolean>, counts binary, tokens binary, words binary, n_train binary"
 
 
@@ -47,7 +47,8 @@ def _encode(batches_):
         texts = raw_texts(batch)
         ids, held = column(batch, "doc_id").to_pylist(), column(batch, "held_out").to_pylist()
         for a, b in slices([len(t) for t in texts], CHUNK_CHARS):
-            h, counts = token_batch(texts[a:b])
+            parts = [token_batch(texts[a + x : a + y]) for x, y in slices([len(t) for t in texts[a:b]], SLICE_CHARS)]  # words as objects take the most memory
+            h, counts = (np.concatenate(x) for x in zip(*parts, strict=True))
             u, inverse, n = np.unique(h, return_inverse=True, return_counts=True)
             order = np.argsort(-n, kind="stable")
             rank = np.empty(len(u), np.int64)
