@@ -61,7 +61,7 @@ def shingle_sets(texts: list[bytes], width: int) -> list[np.ndarray]:
     h, counts = token_batch(texts)
     ends = np.cumsum(counts)
     full = np.zeros(len(h), np.uint64)
-    for j in range(width):
+    for j in range(min(width, len(h))):
         full[: len(h) - j] = full[: len(h) - j] * np.uint64(0x9E3779B97F4A7C15) + h[j:]
     full = mix64(full)
     out = []
@@ -86,7 +86,7 @@ def _signatures(forest: Forest):
     used = forest.matched_depth()
 
     def run(batch):
-        ids, place, texts = column(batch, "doc_id").to_numpy(zero_copy_only=False), column(batch, "place").to_numpy(), raw_texts(batch)
+        ids, place, texts = column(batch, "doc_id"), column(batch, "place"), raw_texts(batch)
         for a, b in slices([len(t) for t in texts], 8_000_000):
             sets = shingle_sets(texts[a:b], forest.width)
             sizes = np.array([len(s) for s in sets])
@@ -105,7 +105,7 @@ def _signatures(forest: Forest):
                     labels[:, t] = mix64(labels[:, t] * np.uint64(31) + m[:, t * forest.depth + d] + np.uint64(t * 7919 + 1))
             offs = np.arange(0, (len(sets) + 1) * forest.tries, forest.tries, dtype=np.int32)
             yield {
-                "doc_id": ids[a:b], "place": place[a:b], "n_shingles": sizes,
+                "doc_id": ids.slice(a, b - a), "place": place.slice(a, b - a), "n_shingles": sizes,
                 "d1": one.view(np.int64), "d2": two.view(np.int64),
                 "labels": pa.ListArray.from_arrays(pa.array(offs), pa.array(labels.ravel().view(np.int64))),
                 "sketch": [x.tobytes() for x in (m & 255).astype(np.uint8)],
