@@ -69,5 +69,23 @@ QUERIES = {f.__name__: f for f in (
     op7_syncmer_fingerprints, op8_warc_transactions, op9_packed_tokens, op10_toxic_spans,
 )}
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+ORACLES: dict[str, str] = {
+    # All pairs that share a shingle, and all that is reachable over pairs at the threshold.
+    "op2_ngram_jaccard_join": rf"""WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents),
+  s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i+4], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM w WHERE len(w) > 0)),
+  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+  i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+  p AS (SELECT a, b, k = x.n AND k = y.n AS same FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 9*k >= 4*(x.n + y.n)),
+  r(a, b) AS (SELECT a, b FROM p UNION SELECT r.a, p.b FROM r JOIN p ON p.a = r.b),
+  c AS (SELECT a, min(b) AS b FROM r GROUP BY 1),
+  l AS (SELECT a, count(*) AS links, count(*) FILTER (WHERE same) AS copies, min(b) FILTER (WHERE same) AS twin FROM p GROUP BY 1)
+  SELECT d.doc_id, least(d.doc_id, coalesce(twin, d.doc_id)) AS rep_id, least(d.doc_id, coalesce(c.b, d.doc_id)) AS class_id, coalesce(links, 0) AS n_links, coalesce(copies, 0) + 1 AS n_copies
+  FROM documents d LEFT JOIN c ON c.a = d.doc_id LEFT JOIN l ON l.a = d.doc_id""",
+    # What the archives must say, from the pages themselves.
+    "op8_warc_transactions": """WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages), d AS (SELECT page_id, h, sha1(h) AS x, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+  SELECT page_id, CAST(octet_length(encode(h)) AS BIGINT) AS payload_bytes,
+    array_to_string(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', CAST(((CAST('0x' || substr(x, CAST((i // 4)*5 + 1 AS INTEGER), 5) AS BIGINT) >> CAST(15 - 5*(i % 4) AS BIGINT)) & 31) AS INTEGER) + 1, 1)), '') AS payload_digest,
+    CASE WHEN top = page_id THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN top <> page_id THEN top END AS refers_to FROM d""",
+}
 __all__ = ["ORACLES", "QUERIES", "toxic_field"]
