@@ -17,6 +17,7 @@ from .common import cut
 #: Anchors kept, bits of a packed anchor that hold its place, pieces that matched anchors may
 #: be apart from the usual shift.
 ANCHORS, PLACE_BITS, DRIFT = 96, 20, 64
+#: The lowest bit of a packed anchor stays free: it tells two fingerprints apart when they are merged.
 _MASK = (1 << PLACE_BITS) - 1
 
 
@@ -33,7 +34,7 @@ def anchors(text: Column, most: int = ANCHORS) -> Column:
     pieces = F.regexp_extract_all(text, F.lit(r"([^\x20\x09-\x0D]{1,8})"), F.lit(1))
 
     def packed(h: Column, at: Column) -> Column:
-        return h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(at.cast("long").bitwiseAND(F.lit(_MASK)))
+        return h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(at.cast("long"), 1).bitwiseAND(F.lit(_MASK)))
 
     def of_pairs(pairs: Column, n: Column) -> Column:
         shifted = lambda k: F.slice(pairs, k, F.greatest(n, F.lit(0)))
@@ -65,25 +66,30 @@ def written(anchors_: Column) -> Column:
 
 
 def likeness(a: Column, b: Column, most: int = ANCHORS) -> Column:
-    """Share of the least anchors of both together that both have, near their usual shift: 0 to 1.
+    """Anchors that both have, near their usual shift, over those that either has: 0 to 1.
 
-    Two empty fingerprints are alike (1); an empty one is like no other (0).
+    A full fingerprint says nothing of hashes above its last one, so only what lies below both
+    ends counts. Two empty fingerprints are alike (1); an empty one is like no other (0).
     """
-    hashes = lambda x: F.transform(x, lambda v: F.shiftright(v, PLACE_BITS))
-    place = lambda x: F.map_from_arrays(hashes(x), F.transform(x, lambda v: v.bitwiseAND(F.lit(_MASK))))
+    end = lambda x: F.when(F.size(x) >= most, F.element_at(x, -1).bitwiseOR(F.lit(_MASK)))
+    limit = F.coalesce(F.least(end(a), end(b)), F.lit((1 << 63) - 1))
 
-    def shared(both: Column, pa_: Column, pb: Column) -> Column:
-        def near(shifts: Column) -> Column:
-            usual = F.get(F.sort_array(shifts), F.floor(F.size(shifts) / 2).cast("int"))
-            return let(usual, lambda m: F.size(F.filter(shifts, lambda s: F.abs(s - m) <= DRIFT)))
+    def pair(x: Column, y: Column) -> Column:
+        """The shift of two neighbours in the merged order that have one hash."""
+        gap = F.shiftright(y.bitwiseAND(F.lit(_MASK)), 1) - F.shiftright(x.bitwiseAND(F.lit(_MASK)), 1)
+        return F.when(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.when(x.bitwiseAND(F.lit(1)) == 0, gap).otherwise(-gap))
 
-        return let(F.transform(both, lambda h: pa_[h] - pb[h]), near)
+    def near(shifts: Column) -> Column:
+        usual = F.get(F.sort_array(shifts), F.floor(F.size(shifts) / 2).cast("int"))
+        return F.when(F.size(shifts) == 0, F.lit(0)).otherwise(let(usual, lambda m: F.size(F.filter(shifts, lambda s: F.abs(s - m) <= DRIFT))))
 
-    def of(ha: Column, hb: Column) -> Column:
-        union = F.slice(F.sort_array(F.array_union(ha, hb)), 1, most)
-        return let(union, lambda u: shared(F.array_intersect(F.array_intersect(u, ha), hb), place(a), place(b)) / F.size(u))
+    def of(x: Column, y: Column) -> Column:
+        merged = F.sort_array(F.concat(x, F.transform(y, lambda v: v + 1)))
+        shifts = let(merged, lambda m: F.array_compact(F.zip_with(m, F.slice(m, 2, F.size(m)), pair)))
+        return let(shifts, lambda s: near(s) / (F.size(x) + F.size(y) - F.size(s)))
 
-    ratio = let(hashes(a), lambda x: let(hashes(b), lambda y: of(x, y)))
+    below = lambda x, t: F.filter(x, lambda v: v <= t)
+    ratio = let(limit, lambda t: let(below(a, t), lambda x: let(below(b, t), lambda y: of(x, y))))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(ratio)
 
 
@@ -123,23 +129,20 @@ def with_edited(documents: DataFrame, most: int = ANCHORS) -> DataFrame:
     docs = every.where("doc_id is not null")
     need = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
     follows = cut(need.join(successors(docs.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id")).select("doc_id", "need", "next"), "follows")
-    # The documents' exchange by id serves both joins; only heads move a second time.
+    # The documents' exchange by id serves both joins: a next document sends the head of its text and
+    # its fingerprint to the one before, which then has all it needs.
     asked = follows.select(F.col("next"), F.col("doc_id").alias("prev"), "need")
-    heads = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.substring("text", F.lit(1), F.col("need")).alias("head"))
-    heads = heads.groupBy("prev").agg(F.min_by("head", "rank").alias("head"))
-    joined = docs.join(heads, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "head")
-    joined = joined.unionByName(every.where("doc_id is null").withColumn("head", F.lit("")))
+    sent = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.substring("text", F.lit(1), F.col("need")).alias("head"), anchors(F.col("text"), most).alias("ahead"))
+    sent = sent.groupBy("prev").agg(F.min_by(F.struct("head", "ahead"), "rank").alias("sent"))
+    joined = docs.join(sent, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "sent.head", "sent.ahead")
+    joined = joined.unionByName(every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("ahead")))
     n = F.length("text")
     edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.floor(n / 4).cast("int")))
-    both = joined.select("doc_id", "text", edited.alias("edited")).select(
+    both = joined.select("doc_id", "text", "ahead", edited.alias("edited")).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        anchors(F.col("text"), most).alias("own"), anchors(F.col("edited"), most).alias("other"), F.xxhash64("text").alias("rank"),
+        anchors(F.col("text"), most).alias("own"), anchors(F.col("edited"), most).alias("other"), "ahead",
     )
-    both = cut(both, "fingerprints")
-    ahead = both.where("doc_id is not null").groupBy("doc_id").agg(F.min_by("own", "rank").alias("ahead")).withColumnRenamed("doc_id", "next")
-    linked = both.join(follows.select(F.col("doc_id").alias("id"), "next"), F.col("doc_id") == F.col("id"), "left").join(ahead, "next", "left")
-    return linked.select(
+    return both.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
         likeness(F.col("own"), F.col("other"), most).alias("near_edited"), F.when(F.col("ahead").isNotNull(), likeness(F.col("own"), F.col("ahead"), most)).alias("near_next"),
     )
-
