@@ -12,7 +12,7 @@ def words(rng, n):
 def test_normalise():
     codes, place, starts = normalise(["  Ab,  c!", "", "É1\x00z"])
     text = "".join(map(chr, codes))
-    assert text == " ab c \x00\x00é1 z\x00" or text == "ab c\x00\x00é1 z\x00" or text.replace("\x00", "|").replace(" ", "_") == "ab_c_||é1_z|"
+    assert text.replace("\x00", "|") == "ab c ||é1 z|"
     assert len(starts) == 3 and len(place) == len(codes)
     assert [chr(c) for c in codes if c == ord("z")] == ["z"]
 
