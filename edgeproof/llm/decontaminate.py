@@ -78,6 +78,8 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A hash of the q code points from each place on (0 where a text ends before)."""
     n = len(codes)
     h = np.zeros(n, np.uint64)
+    if n < q:
+        return h
     ok = np.ones(n, bool)
     for j in range(q):
         h[: n - j] = h[: n - j] * np.uint64(_BASE) + codes[j:]
@@ -145,7 +147,7 @@ class Windows:
         self.bits = max(16, min(27, int(math.log2(len(flat) + 1)) + 6))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(flat >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.least = int(self.bound.min(initial=1))
+        self.least = int(self.bound.min()) if len(self.bound) else 1
         self.reach = int((size + self.edits).max(initial=1))
 
     def matches(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
@@ -174,16 +176,13 @@ class Windows:
         index = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         win, diag = self.window[index], hit - self.offset[index]
         width = 2 * self.edits[win] + 1  # a path with k edits stays within this many diagonals
-        keys = []
-        for half in (0, 1):  # overlapping bands: every path of so many diagonals lies in one of them
-            band = (diag + half * width) // (2 * width)
-            keys.append(np.stack([win, band * 2 * width - half * width], 1))
         got = []
-        for key in keys:
-            if not len(key):
-                continue
-            code = key[:, 0] * np.int64(1 << 34) + key[:, 1] + (1 << 20)
-            order = np.argsort(code, kind="stable")
+        for half in (0, 1):  # overlapping bands: every path of so many diagonals lies in one of them
+            code = win * np.int64(1 << 34) + (diag + half * width) // (2 * width) + (1 << 20)
+            # A small table of counts, which may only count too much, leaves few hits to sort.
+            slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
+            maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= self.bound[win])
+            order = maybe[np.argsort(code[maybe], kind="stable")]
             u, first, c = np.unique(code[order], return_index=True, return_counts=True)
             ok = c >= self.bound[win[order[first]]]
             for f, k in zip(first[ok].tolist(), c[ok].tolist(), strict=True):
