@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from .common import column, cut, hash_words, mix64, one_label, raw_texts, scan, slices
 
 ROWS, DIM, NONZERO, WINDOW, BLOCKS = 1 << 13, 32, 4, 2, 32
+#: Characters worked on at once: bounds a task's memory.
+SLICE_CHARS = 2_000_000
 #: The bound on labelled rows that the network is fitted on.
 MAX_LABELLED = 20_000
 _PIECE = re.compile(rb"[a-z0-9\x80-\xff]+|[^a-z0-9\x80-\xff\s]+")
@@ -64,7 +66,7 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
         total = None
         for batch in batches:
             texts = raw_texts(batch)
-            for a, b in slices([len(t) for t in texts], 8_000_000):
+            for a, b in slices([len(t) for t in texts], SLICE_CHARS):
                 rows, counts = pieces(texts[a:b])
                 got = contexts(rows, counts)
                 total = got if total is None else total + got
@@ -100,15 +102,15 @@ def pool(rows: np.ndarray, counts: np.ndarray, vectors: np.ndarray) -> np.ndarra
         return out
     at = (np.cumsum(counts) - counts)[full]
     n = counts[full][:, None]
-    v = vectors[rows]
+    v = vectors.astype(np.float32)[rows]
     mean = np.add.reduceat(v, at) / n
     out[full, :DIM] = mean
     out[full, DIM : 2 * DIM] = np.sqrt(np.maximum(np.add.reduceat(v * v, at) / n - mean * mean, 0))
     for j, off in enumerate((1, 2)):
-        near = np.zeros(len(rows))
+        near = np.zeros(len(rows), np.float32)
         near[off:] = (v[off:] * v[:-off]).sum(1)
-        same = np.zeros(len(rows))
-        same[off:] = near[off:] > 0.999999
+        same = np.zeros(len(rows), np.float32)
+        same[off:] = near[off:] > 0.9999
         for a in range(off):
             near[np.minimum(at + a, len(near) - 1)] = 0
             same[np.minimum(at + a, len(near) - 1)] = 0
@@ -189,7 +191,7 @@ def classify(documents: DataFrame, labels: DataFrame, usable, bound: int = MAX_L
 
     def vectorise(batch):
         ids, texts = column(batch, "doc_id"), raw_texts(batch)
-        for a, b in slices([len(t) for t in texts], 8_000_000):
+        for a, b in slices([len(t) for t in texts], SLICE_CHARS):
             x = pool(*pieces(texts[a:b]), vectors.value)
             yield {"doc_id": ids.slice(a, b - a), "x": [r.astype("<f4").tobytes() for r in x]}
 
