@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import evidence, ordered, resample, risk
@@ -52,8 +52,7 @@ def surface(df: DataFrame, x: str, y: str, value: str, xs: list) -> DataFrame:
 
 def lorenz(df: DataFrame, value: str = "r") -> DataFrame:
     """(share_of_winners, share_of_gross) by distinct winning result, the best first."""
-    counts = df.where(F.col(value) > 0).groupBy(value).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, 0)
-    run = counts.select((F.sum("n").over(w)).alias("k"), F.sum(F.col("n") * F.col(value)).over(w).alias("s"))
-    total = counts.agg(F.sum("n").alias("kn"), F.sum(F.col("n") * F.col(value)).alias("sn"))
-    return run.crossJoin(F.broadcast(total)).select((F.col("k") / F.col("kn")).alias("share_of_winners"), (F.col("s") / F.col("sn")).alias("share_of_gross"))
+    counts = df.where(F.col(value) > 0).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n")).withColumn("s", F.col("n") * F.col("v"))
+    run = ordered.sums_before(counts, "v", ("n", "s"), descending=True)
+    total = counts.agg(F.sum("n").alias("kn"), F.sum("s").alias("sn"))
+    return run.crossJoin(F.broadcast(total)).select(((F.col("before_n") + F.col("n")) / F.col("kn")).alias("share_of_winners"), ((F.col("before_s") + F.col("s")) / F.col("sn")).alias("share_of_gross"))

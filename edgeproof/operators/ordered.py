@@ -74,6 +74,27 @@ def islands(df: DataFrame, inside: Column, order: tuple[str, ...], by: tuple[str
     return df.withColumn("__own", F.sum(outside).over(w)).join(whole, [*by, block]).withColumn("island", F.col("__own") + F.col("__base")).drop("__own", "__base")
 
 
+#: Ranges that values are cut into for running sums by value.
+RANGES = 64
+
+
+def sums_before(df: DataFrame, value: str, columns: tuple[str, ...], by: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+    """Add before_c for each column c: its sum over rows whose value comes earlier in the order.
+
+    df has one row a value (and group). Values are cut into ranges at approximate quantiles, so any
+    number of them is spread over tasks; only the ranges' totals meet in one small window.
+    """
+    cuts = df.groupBy(*by).agg(F.percentile_approx(value, F.array(*(F.lit(k / RANGES) for k in range(1, RANGES))), 10_000).alias("__cuts"))
+    x = F.col(value)
+    below = F.size(F.filter("__cuts", lambda e: e < x))
+    ranged = (df.join(cuts, list(by)) if by else df.crossJoin(F.broadcast(cuts))).withColumn("__range", -below if descending else below).drop("__cuts")
+    local = Window.partitionBy(*by, "__range").orderBy(x.desc() if descending else x.asc()).rowsBetween(Window.unboundedPreceding, -1)
+    whole = ranged.groupBy(*by, "__range").agg(*(F.sum(c).alias(f"__s_{c}") for c in columns))
+    bases = whole.select(*by, "__range", *(F.coalesce(F.sum(f"__s_{c}").over(_before(by, "__range")), F.lit(0)).alias(f"__b_{c}") for c in columns))
+    out = ranged.withColumns({f"__o_{c}": F.coalesce(F.sum(c).over(local), F.lit(0)) for c in columns}).join(bases, [*by, "__range"])
+    return out.select(*df.columns, *((F.col(f"__o_{c}") + F.col(f"__b_{c}")).alias(f"before_{c}") for c in columns))
+
+
 def calendar_returns(df: DataFrame, unit: str, ts: str = "ts", ret: str = "ret", by: tuple[str, ...] = ()) -> DataFrame:
     """by..., bin, ret: compounded by day, week (Monday), month or year; bins without rows between
     the first and the last are there too, with return 0."""

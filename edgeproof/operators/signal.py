@@ -54,11 +54,8 @@ def signal_decay(df: DataFrame, score: str = "score", fwd: str = "fwd", horizon:
 def average_rank(df: DataFrame, value: str, name: str, by: tuple[str, ...] = ()) -> DataFrame:
     """Add the rank with ties averaged, without sorting the rows in one task: distinct values are
     counted, their counts accumulate in value order, and the ranks are joined back."""
-    counts = df.where(F.col(value).isNotNull()).groupBy(*by, value).agg(F.count("*").alias("__n"))
-    w = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-
-    before = F.sum("__n").over(w.orderBy(value).rowsBetween(Window.unboundedPreceding, -1))
-    ranks = counts.select(*by, F.col(value).alias("__v"), (F.coalesce(before, F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).alias("__v")).agg(F.count("*").alias("__n"))
+    ranks = ordered.sums_before(counts, "__v", ("__n",), by).select(*by, "__v", (F.col("before___n") + (F.col("__n") + 1) / 2).alias(name))
     keys = [F.col(f"a.{k}") == F.col(f"b.{k}") for k in by]
     joined = df.alias("a").join(ranks.alias("b"), [*keys, F.col(f"a.{value}") == F.col("b.__v")], "left")
     return joined.select("a.*", F.col(f"b.{name}"))
@@ -183,8 +180,7 @@ def pnl_concentration(df: DataFrame, value: str = "r", tops: tuple[float, ...] =
     x = F.col(value)
     counts = df.groupBy(value).agg(F.count("*").alias("c"))
     total = df.agg(F.count(value).alias("n"), F.sum(F.when(x > 0, x)).alias("gross"), F.sum(value).alias("net")).where("gross > 0")
-    w = Window.orderBy(F.col(value).desc()).rowsBetween(Window.unboundedPreceding, -1)
-    run = counts.withColumn("before", F.coalesce(F.sum("c").over(w), F.lit(0)))
+    run = ordered.sums_before(counts, value, ("c",), descending=True).withColumnRenamed("before_c", "before")
     grid = total.withColumn("top", F.explode(F.array(*map(F.lit, tops)))).withColumn("k", F.ceil(F.col("n") * F.col("top")))
     taken = F.greatest(F.lit(0), F.least(F.col("c"), F.col("k") - F.col("before")))
     return run.crossJoin(F.broadcast(grid)).groupBy("top").agg(ratio(F.sum(taken * F.col(value)), F.first("gross")).alias("of_gross"), F.when(F.first("net") > 0, ratio(F.sum(taken * F.col(value)), F.first("net"))).alias("of_net"))

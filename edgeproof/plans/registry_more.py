@@ -104,7 +104,7 @@ def _roll_sql(expr: str) -> str:
 
 
 for _k, _x in _ROLL.items():
-    frame(f"signal_rolling_{_k}", lambda s, d, k=_k: signal.rolling_metric(fixtures.daily(s, d), window=60, metric=k).select("ts", "rolling"), _roll_sql(_x), "SELECT ts, round(rolling, 11) AS rolling FROM ro", 11)
+    frame(f"signal_rolling_{_k}", lambda s, d, k=_k: signal.rolling_metric(fixtures.daily(s, d), window=60, metric=k).select("ts", "rolling"), _roll_sql(_x), "SELECT ts, round(rolling, 14) AS rolling FROM ro", 14)
 frame("signal_rolling_stability", lambda s, d: signal.rolling_stability(fixtures.daily(s, d), window=60), _roll_sql(_ROLL["mean"]), "SELECT round(avg(rolling), 6) AS mean, round(stddev_samp(rolling), 6) AS sd, round(avg(CASE WHEN rolling > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round(min(rolling), 6) AS min, round(max(rolling), 6) AS max FROM ro WHERE rolling IS NOT NULL")
 frame("signal_edge_decay", lambda s, d: signal.edge_decay(base1(s, d)), sql.B1, "SELECT round(regr_slope(r, idx), 6) AS slope, round(regr_slope(r, idx)/sqrt((regr_syy(r, idx) - pow(regr_sxy(r, idx), 2)/regr_sxx(r, idx))/(count(r)-2)/regr_sxx(r, idx)), 6) AS t, count(r) AS n FROM b1")
 _TOP = f"{sql.F1}, tk AS (SELECT r, row_number() OVER (ORDER BY r DESC) AS k FROM f1), gn AS (SELECT count(r) AS n, sum(r) FILTER (WHERE r > 0) AS gross, sum(r) AS net FROM f1)"

@@ -59,7 +59,7 @@ def strategy(spark: SparkSession, n_trades: int = 420, win_rate: float = 0.42, p
     rows = rows.withColumn("at", F.floor(u("entry") * (days - 12)).cast("long"))
     held = F.when(won, 4 + F.floor(u("held") * 26)).otherwise(2 + F.floor(u("held") * 10))
     rows = rows.withColumn("out", F.least(F.col("at") + held, F.lit(days - 1)).cast("long"))
-    rows = with_position(rows, ("at", "id")).withColumn("block", F.floor(F.col("idx") / 25))
+    rows = with_position(rows.withColumn("year", F.floor(F.col("at") / 250)), ("at", "id"), block="year").withColumn("block", F.floor(F.col("idx") / 25))
     regime = F.element_at(F.array(F.lit("up"), F.lit("flat"), F.lit("down")), (F.floor(uniform(seed, "regime", "block") * 3) + 1).cast("int"))
     trades = rows.select(
         "idx", business_day(start, F.col("at")).alias("entry"), business_day(start, F.col("out")).alias("exit"), "r", (F.col("r") * 0.01).alias("ret"),

@@ -19,9 +19,9 @@ from ..operators import trade
 def windowed_metrics(live: DataFrame, length: str = "30 days", slide: str = "1 day", late: str = "2 days") -> DataFrame:
     """(strategy, start, end, n, expectancy, profit_factor) by sliding window of time."""
     x = F.col("r")
-    rows = live.withWatermark("ts", late) if live.isStreaming else live
+    rows = live.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if live.isStreaming else live
     out = rows.groupBy("strategy", F.window("ts", length, slide).alias("w")).agg(F.count(x).alias("n"), trade.expectancy(x).alias("expectancy"), trade.profit_factor(x).alias("profit_factor"))
-    return out.select("strategy", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n", "expectancy", "profit_factor")
+    return out.select("strategy", F.col("w.start").cast("timestamp_ntz").alias("start"), F.col("w.end").cast("timestamp_ntz").alias("end"), "n", "expectancy", "profit_factor")
 
 
 def breaches(live: DataFrame, intervals: DataFrame) -> DataFrame:
