@@ -9,7 +9,7 @@ from ..functions import colour, formats
 from ..operators import charts, execution, generalization, ordered, risk, scorecard, signal
 from ..sources import fixtures, generators, published
 from ..streaming import live
-from . import sql
+from . import programme, sql
 from .registry import _BOOT, _NEFF, _NW, _NWT, _PATHS, _PF, _ACF, REPS, RISK, TRADE, _bins_sql, add, base1, base2, drawn, frame, rounded, scalar
 
 # Generalization -------------------------------------------------------------------------------
@@ -214,6 +214,22 @@ add("generated_comparable_pair", lambda s, d: generators.comparable_pair(s))
 add("generated_signal", lambda s, d: generators.signal(s))
 frame("generated_business_days", lambda s, d: s.range(300).select("id", generators.business_day("2012-01-02", F.col("id")).alias("day")), "", "SELECT CAST(row_number() OVER (ORDER BY day) - 1 AS BIGINT) AS id, CAST(day AS TIMESTAMP) AS day FROM (SELECT CAST(unnest(generate_series(DATE '2012-01-02', DATE '2013-12-31', INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) < 6 QUALIFY row_number() OVER (ORDER BY day) <= 300")
 
+
+
+def _portfolio(s, d):
+    """Nations as positions of equal weight, and a cash row."""
+    n = fixtures.read(s, d, "nation").select(F.col("n_name").alias("ticker"), F.when(F.col("n_nationkey") == 3, F.lit("Perfil X")).otherwise(F.lit("")).alias("label"), (F.lit(0.5) / 25 + F.col("n_nationkey") / 10000 - 0.0012).alias("weight"), F.lit(False).alias("is_cash"))
+    return n.unionByName(s.createDataFrame([(published.CASH, "", 0.5, True)], n.schema))
+
+
+_POS = "po AS (SELECT n_name AS ticker, CASE WHEN n_nationkey = 3 THEN 'Perfil X' ELSE '' END AS label, 0.5/25 + n_nationkey/10000.0 - 0.0012 AS weight, false AS cash FROM nation UNION ALL SELECT 'CAIXA', '', 0.5, true)"
+frame("portfolio_card", lambda s, d: published.portfolio_card(_portfolio(s, d).withColumn("label", F.lit(""))), _POS, "SELECT CAST(row_number() OVER (ORDER BY cash, weight DESC, ticker) AS INTEGER) AS ord, ticker, '' AS label, round(weight, 6) AS weight FROM po")
+frame("portfolio_label_check", lambda s, d: published.check_labels(_portfolio(s, d)).select("ticker", F.array_join("terms", ",").alias("terms")), _POS, "SELECT ticker, array_to_string(t, ',') AS terms FROM (SELECT ticker, list_filter([" + ", ".join(f"'{t}'" for t in published.LABEL_BANNED) + "], lambda x: contains(lower(ticker || ' ' || label), x)) AS t FROM po WHERE NOT cash) WHERE len(t) > 0")
+frame("programme_growth", lambda s, d: programme.growth(fixtures.daily(s, d), fixtures.benchmark(s, d)), f"{sql.F2}, {sql.F3}", f"SELECT round((SELECT {RISK['cagr']} FROM f2), 6) AS cagr, round((SELECT avg(ret)*252 FROM f2), 6) AS arithmetic, round((SELECT {RISK['cagr'].replace('ret', 'bench')} FROM f3), 6) AS reference_cagr")
+frame("programme_pain", lambda s, d: programme.pain(fixtures.daily(s, d)), sql.EPISODES, f"SELECT round(min(dd), 6) AS max_drawdown, round({RISK['time_under_water']}, 6) AS time_under_water, round({RISK['ulcer_index']}, 6) AS ulcer_index, (SELECT count(*) FROM ep) AS episodes, (SELECT count(recovery) FROM ep) AS closed FROM dd")
+frame("programme_ratios", lambda s, d: programme.ratios(fixtures.daily(s, d)), sql.DD, f"SELECT round({RISK['sharpe']}, 6) AS sharpe, round({RISK['sortino']}, 6) AS sortino, round({RISK['calmar']}, 6) AS calmar FROM dd")
+frame("programme_excess", lambda s, d: programme.excess(fixtures.daily(s, d), fixtures.benchmark(s, d), REPS), f"{_BOOT}, {sql.F3}, xy AS (SELECT b2.r AS y, bench AS x FROM b2 JOIN f3 ON f3.ts = b2.ts), se AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2)/regr_sxx(y, x))/(count(*)-2)/regr_sxx(y, x)) AS seb, sum(x*x) AS x2, count(*) AS n FROM xy)", "SELECT round(a, 6) AS alpha, round(a/(seb*sqrt(x2/n)), 6) AS t_alpha, round(b, 6) AS beta, round(b/seb, 6) AS t_beta, round(r2, 6) AS r2, n, round((SELECT quantile_cont(v, 0.025) FROM v), 6) AS low, round((SELECT quantile_cont(v, 0.975) FROM v), 6) AS high FROM se")
+
 # Charts, formats, colours ---------------------------------------------------------------------
 
 _HIST = "SELECT bin, round(a + bin*(b-a)/{n}, 6) AS lo, round(a + (bin+1)*(b-a)/{n}, 6) AS hi, count(*) AS n FROM (SELECT CAST(least(floor((x-a)/((b-a)/{n})), {n}-1) AS INTEGER) AS bin, a, b FROM {t} CROSS JOIN (SELECT min(x) AS a, max(x) AS b FROM {t})) GROUP BY bin, a, b"

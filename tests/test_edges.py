@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from edgeproof.functions.semantics import clean
 from edgeproof.operators import evidence, execution, generalization, ordered, resample, risk, scorecard, signal, trade
+from edgeproof.plans import programme
 from edgeproof.sources import generators, published
 
 R = lambda: F.col("r")
@@ -168,6 +169,19 @@ def test_csv_sources(spark, tmp_path):
             published.portfolio_card(published.load_portfolio(spark, str(tmp_path / "c.csv")))
 
 
+def test_programme(spark, tmp_path):
+    s = generators.strategy(spark)
+    pieces = programme.catalogue(s.daily, generators.benchmark(s.daily), reps=50)
+    manifest = programme.run(spark, pieces, f"file://{tmp_path}/out")
+    listed = spark.read.json(f"file://{tmp_path}/out/manifest").collect()
+    assert len(listed) == manifest.count() == 5
+    for r in listed:
+        assert spark.read.parquet(r["path"]).columns == list(r["columns"])
+    with pytest.raises(ValueError):
+        programme.run(spark, {"x": programme.Piece("Hot Signals today", dict)}, f"file://{tmp_path}/no")
+    assert not (tmp_path / "no").exists()
+
+
 def test_nothing_outside_needs_llm():
     import pathlib
 
