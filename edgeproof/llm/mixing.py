@@ -108,7 +108,7 @@ def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float
     key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("b"), F.col("source")))
     total = documents.count()
     shards = max(1, math.ceil(total / shard_docs))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"))
+    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
     sized = cut(documents.select("doc_id", key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("place")).withColumn("shard", F.pmod(F.col("place"), F.lit(shards)).cast("long")), "sized")
     cells = cut(sized.groupBy("source_key", "shard").agg(F.sum("size").alias("words")), "cells")
     goals = cut(targets(cells.groupBy("source_key").agg(F.sum("words").alias("words")), weights, share, cap), "targets")

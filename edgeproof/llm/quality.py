@@ -200,7 +200,7 @@ def classify(documents: DataFrame, labels: DataFrame, usable, bound: int = MAX_L
     n = known.count()
     if n > bound:
         known = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
-    rows = pooled.join(known, "doc_id").select("doc_id", "x", "label").toPandas().sort_values(["doc_id", "x"])
+    rows = pooled.join(F.broadcast(known), "doc_id").select("doc_id", "x", "label").toPandas().sort_values(["doc_id", "x"])  # about bound rows at most
     x = np.stack([np.frombuffer(v, "<f4") for v in rows["x"]]).astype(np.float64) if len(rows) else np.zeros((0, FEATURES))
     net = train(x, rows["label"].to_numpy(dtype=float))
     sent = spark.sparkContext.broadcast(net)
