@@ -19,7 +19,7 @@ def long_hash(*xs):
 
 
 def closed_syncmers(text, most=96):
-    pieces = re.findall(r"[^\x20\x09-\x0D]{1,8}", text)
+    pieces = re.findall(r"[^\x20\x09-\x0D]{1,%d}" % (2 if len(text) < 256 else 8), text)
     h = [signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in pieces]
     pack = lambda x, i: (x & ~0xFFFFF) | ((i << 1) & 0xFFFFF)
     if not h:
@@ -43,10 +43,11 @@ def test_anchors(spark, sf, documents):
 
 def test_likeness(spark):
     a = " ".join(f"w{i}" for i in range(400))
-    rows = [("same", a, a), ("none", a, " ".join(f"z{i}" for i in range(400))), ("shift", a, "new start here " + a), ("empty", "", ""), ("half", "", a), ("three", a, " ".join(f"w{i}" for i in range(300)))]
+    rows = [("same", a, a), ("none", a, " ".join(f"z{i}" for i in range(400))), ("shift", a, "new start here " + a), ("empty", "", ""), ("half", "", a), ("three", a, " ".join(f"w{i}" for i in range(300))), ("short", "a few words only here", "a few words only that")]
     df = spark.createDataFrame(rows, "k string, a string, b string")
     got = {r["k"]: r["x"] for r in df.select("k", likeness(anchors(F.col("a")), anchors(F.col("b"))).alias("x")).collect()}
     assert got["same"] == 1 and got["none"] == 0 and got["empty"] == 1 and got["half"] == 0
+    assert 0.3 < got["short"] < 1
     assert got["shift"] > 0.9 and 0.55 < got["three"] < 0.95
 
 
