@@ -25,7 +25,7 @@ from .common import column, hash_words, mix64, one_label, raw_texts, scan, slice
 #: Hashed feature space; characters of prefixes and suffixes that are features.
 SPACE, AFFIXES = 1 << 18, (3, 4, 5, 6, 7)
 #: The bound on labelled documents that the field is fitted on, and on characters of each batch.
-MAX_LABELLED, BATCH_CHARS = 4_000, 2_000_000
+MAX_LABELLED, BATCH_CHARS = 3_000, 2_000_000
 #: Clean documents for each toxic one that the field itself is fitted on; all take part in the
 #: token labels and in the documents' logistic model.
 CLEAN_SHARE = 2
@@ -39,29 +39,43 @@ def tokens(text: str) -> list[tuple[int, int]]:
 
 
 class Vocabulary:
-    """Feature numbers of distinct words, worked out once each."""
+    """Numbers of distinct words, and the features of each, worked out once."""
 
     def __init__(self):
         self.of: dict[str, int] = {}
-        self.rows: list[list[bytes]] = []
 
-    def features(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(number of each word, feature table of the numbers)."""
-        of, fresh = {}, []
-        index = np.fromiter((of.setdefault(w, len(of)) for w in words), dtype=np.int64, count=len(words))
-        for w in of:
-            b = w.lower()
-            fresh += [("w:" + b).encode(), *(f"p{k}:{b[:k]}".encode() for k in AFFIXES), *(f"s{k}:{b[-k:]}".encode() for k in AFFIXES[:3])]
-        table = (mix64(hash_words(fresh)) >> np.uint64(46)).astype(np.int64).reshape(len(of), 1 + len(AFFIXES) + 3) if of else np.zeros((0, 9), np.int64)
-        return index, table
+    def index(self, words: list[str]) -> np.ndarray:
+        of = self.of
+        return np.fromiter((of.setdefault(w, len(of)) for w in words), dtype=np.int64, count=len(words))
+
+    def table(self) -> np.ndarray:
+        """Hashed features of each word: itself, its prefixes, its suffixes."""
+        words, out = list(self.of), []
+        for s in range(0, len(words), 50_000):  # the features as text take the most memory
+            fresh = []
+            for w in words[s : s + 50_000]:
+                b = w.lower()
+                fresh += [("w:" + b).encode(), *(f"p{k}:{b[:k]}".encode() for k in AFFIXES), *(f"s{k}:{b[-k:]}".encode() for k in AFFIXES[:3])]
+            out.append((mix64(hash_words(fresh)) >> np.uint64(46)).astype(np.int64).reshape(-1, 1 + len(AFFIXES) + 3))
+        return np.concatenate(out) if out else np.zeros((0, 1 + len(AFFIXES) + 3), np.int64)
 
 
 def read(texts: list[str]) -> tuple[list[list[tuple[int, int]]], np.ndarray, np.ndarray, np.ndarray]:
     """Spans of each text, numbers of tokens, each token's row in the table, the table."""
-    spans = [tokens(t) for t in texts]
+    spans, words = [tokens(t) for t in texts], Vocabulary()
     counts = np.array([len(s) for s in spans], dtype=np.int64)
-    index, table = Vocabulary().features([t[a:b] for t, s in zip(texts, spans, strict=True) for a, b in s])
-    return spans, counts, index, table
+    index = words.index([t[a:b] for t, s in zip(texts, spans, strict=True) for a, b in s])
+    return spans, counts, index, words.table()
+
+
+def read_sample(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As read, without spans and a slice at a time: for the driver."""
+    words, counts, index = Vocabulary(), [], []
+    for a, b in slices([len(t) for t in texts], BATCH_CHARS):
+        found = [_TOKEN.findall(t) for t in texts[a:b]]
+        counts += [len(f) for f in found]
+        index.append(words.index([w for f in found for w in f]))
+    return np.array(counts, dtype=np.int64), np.concatenate(index) if index else np.zeros(0, np.int64), words.table()
 
 
 @dataclass
@@ -143,15 +157,16 @@ def _token_labels(counts, index, table, toxic, lift: float = 12.0, support: floa
     clean ones and found in at least 4 toxic documents and that share of them."""
     doc = np.repeat(np.arange(len(counts)), counts)
     bad = toxic[doc]
+    width = table.shape[1]
+    # Occurrences of words, carried over to their features.
     n1, n0 = bad.sum() + 1, (~bad).sum() + 1
-    feats = table[index]
-    c1 = np.bincount(feats[bad].ravel(), minlength=SPACE)
-    c0 = np.bincount(feats[~bad].ravel(), minlength=SPACE)
+    c1, c0 = (np.bincount(table.ravel(), weights=np.repeat(np.bincount(index[m], minlength=len(table)), width), minlength=SPACE) for m in (bad, ~bad))
     rate = ((c1 + 0.1) / n1) / ((c0 + 1.0) / n0)
-    pairs = np.unique(feats[bad] * np.int64(len(counts)) + doc[bad][:, None])
-    docs = np.bincount(pairs // max(1, len(counts)), minlength=SPACE)
+    seen = np.unique(index[bad] * np.int64(len(counts)) + doc[bad])
+    pairs = np.unique(table[seen // len(counts)] * np.int64(len(counts)) + (seen % len(counts))[:, None])
+    docs = np.bincount(pairs // len(counts), minlength=SPACE)
     hot = (rate >= lift) & (docs >= max(4.0, support * toxic.sum()))
-    return (hot[feats].any(1) & bad).astype(float)
+    return (hot[table].any(1)[index] & bad).astype(float)
 
 
 def fit(rows: pd.DataFrame, rounds: tuple[int, ...] = (30, 15)) -> Field:
@@ -164,7 +179,7 @@ def fit(rows: pd.DataFrame, rounds: tuple[int, ...] = (30, 15)) -> Field:
         p = min(max(field.prior, 1e-3), 1 - 1e-3)
         field.head[5] = math.log(p / (1 - p))
         return field
-    _, counts_all, index_all, table = read([t or "" for t in rows["text"]])
+    counts_all, index_all, table = read_sample([t or "" for t in rows["text"]])
     labelled = _token_labels(counts_all, index_all, table, y)
     clean = np.flatnonzero(~y)
     used = np.sort(np.concatenate([np.flatnonzero(y), clean[:: max(1, len(clean) // max(1, CLEAN_SHARE * int(y.sum())))]]))
@@ -206,11 +221,12 @@ def fit(rows: pd.DataFrame, rounds: tuple[int, ...] = (30, 15)) -> Field:
 
 def training_rows(documents: DataFrame, labels: DataFrame, usable, bound: int = MAX_LABELLED) -> pd.DataFrame:
     """Labelled rows to fit on: all, or a sample by a hash of the id of about bound rows."""
-    known = one_label(labels, "toxic")
-    rows = documents.where(usable & F.col("text").isNotNull()).select("doc_id", "text").join(known, "doc_id")
-    n = known.where(usable).count()
+    known = one_label(labels, "toxic").where(usable)
+    n = known.count()
     if n > bound:
-        rows = rows.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+        known = known.where(F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(1 << 30)) < int(bound / n * (1 << 30)))
+    # What is left of the labels is about bound rows: small enough to send to the texts.
+    rows = documents.where(F.col("text").isNotNull()).select("doc_id", "text").join(F.broadcast(known), "doc_id")
     return rows.select("doc_id", "text", "label").toPandas().sort_values("doc_id", ignore_index=True)
 
 
