@@ -95,6 +95,23 @@ def sums_before(df: DataFrame, value: str, columns: tuple[str, ...], by: tuple[s
     return out.select(*df.columns, *((F.col(f"__o_{c}") + F.col(f"__b_{c}")).alias(f"before_{c}") for c in columns))
 
 
+def quantiles(df: DataFrame, value: str, probs: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
+    """(by..., p, value): exact quantiles, interpolated linearly, of a column of any size.
+
+    percentile() keeps all distinct values of a group in one task; here they are spread over ranges
+    and only the rows at the wanted ranks come together.
+    """
+    counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
+    run = sums_before(counts, "v", ("n",), by)
+    h = (F.col("total") - 1) * F.col("p")
+    want = counts.groupBy(*by).agg(F.sum("n").alias("total")).where("total > 0").withColumn("p", F.explode(F.array(*(F.lit(float(p)) for p in probs))))
+    want = want.select(*by, "p", F.floor(h).alias("lo"), F.least(F.floor(h) + 1, F.col("total") - 1).alias("hi"), (h - F.floor(h)).alias("part"))
+    both = run.join(want, list(by)) if by else run.crossJoin(F.broadcast(want))
+    at = lambda rank: F.max(F.when((F.col("before_n") <= F.col(rank)) & (F.col(rank) < F.col("before_n") + F.col("n")), F.col("v")))
+    ends = both.groupBy(*by, "p").agg(at("lo").alias("a"), at("hi").alias("b"), F.first("part").alias("part"))
+    return ends.select(*by, "p", (F.col("a") + F.col("part") * (F.col("b") - F.col("a"))).alias("value"))
+
+
 def calendar_returns(df: DataFrame, unit: str, ts: str = "ts", ret: str = "ret", by: tuple[str, ...] = ()) -> DataFrame:
     """by..., bin, ret: compounded by day, week (Monday), month or year; bins without rows between
     the first and the last are there too, with return 0."""

@@ -116,6 +116,10 @@ _GHHI = "sum(x*x)/pow(sum(x), 2) FROM (SELECT sum(r) AS x FROM f1 GROUP BY asset
 frame("signal_hhi_by_asset", lambda s, d: signal.hhi(fixtures.trades(s, d), group="asset"), sql.F1, f"SELECT round(h, 6) AS hhi FROM (SELECT {_GHHI.replace(' FROM (', ' AS h FROM (', 1)})")
 frame("signal_breadth", lambda s, d: signal.breadth(fixtures.trades(s, d), group="asset"), sql.F1, f"SELECT round(1/h, 6) AS breadth FROM (SELECT {_GHHI.replace(' FROM (', ' AS h FROM (', 1)})")
 
+_PROBS = (0.0, 0.05, 0.25, 0.5, 0.75, 0.95, 1.0)
+frame("function_exact_quantiles", lambda s, d: ordered.quantiles(fixtures.trades(s, d), "r", _PROBS), sql.F1, " UNION ALL ".join(f"SELECT CAST({p} AS DOUBLE) AS p, round(quantile_cont(r, {p}), 6) AS value FROM f1" for p in _PROBS))
+frame("function_exact_quantiles_by_regime", lambda s, d: ordered.quantiles(fixtures.trades(s, d), "r", _PROBS, ("regime",)), sql.F1, " UNION ALL ".join(f"SELECT regime, CAST({p} AS DOUBLE) AS p, round(quantile_cont(r, {p}), 6) AS value FROM f1 GROUP BY 1" for p in _PROBS))
+
 # Execution ------------------------------------------------------------------------------------
 
 _HELD = "date_diff('day', CAST(entry AS DATE), exit_day)"

@@ -101,6 +101,14 @@ def test_ties(spark):
     assert signal.without_worst(frame(spark, [1, 2, 3]), n=3).first()["expectancy"] is None
 
 
+def test_exact_quantiles(spark):
+    df = frame(spark, [3, 1, 2, 2, None, 10])
+    got = {r["p"]: r["value"] for r in ordered.quantiles(df, "r", (0.0, 0.3, 0.5, 1.0)).collect()}
+    assert got == {0.0: 1.0, 0.3: pytest.approx(2.0), 0.5: 2.0, 1.0: 10.0}
+    assert ordered.quantiles(frame(spark, []), "r", (0.5,)).count() == 0
+    assert ordered.quantiles(frame(spark, [7]), "r", (0.25,)).first()["value"] == 7.0
+
+
 def test_errors(spark):
     with pytest.raises(ValueError):
         generalization.walk_forward(frame(spark, range(59)))
