@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chain import batches, gather, recursions
-from .common import column, cut, drop_cut, mix64, raw_texts, scan, slices, token_batch
+from .common import column, cut, mix64, raw_texts, scan, slices, token_batch
 
 #: States, word classes (the end is one more), discount, blocks of the count tables.
 STATES, CLASSES, DISCOUNT, BLOCKS = 8, 1 << 13, 0.5, 16

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, hash_words, mix64, raw_texts, scan, slices, token_batch
+from .common import column, cut, mix64, raw_texts, scan, slices, token_batch
 from .components import components
 
 #: Sketch bytes that may differ less often than this at the threshold (deviations), block sizes.
