@@ -55,7 +55,7 @@ def load_portfolio(spark: SparkSession, path: str) -> DataFrame:
     """(ticker, label, weight, is_cash). Other columns than exactly ticker, nota, peso are an error, as
     is a file without a cash row."""
     raw = spark.read.option("header", True).option("encoding", "UTF-8").csv(path)
-    if [c.lstrip("﻿") for c in raw.columns] != PORTFOLIO_COLUMNS:
+    if [c.lstrip("\ufeff") for c in raw.columns] != PORTFOLIO_COLUMNS:
         raise ValueError(f"columns must be exactly {PORTFOLIO_COLUMNS}, not {raw.columns}")
     raw = raw.toDF(*PORTFOLIO_COLUMNS)
     ticker = F.upper(F.trim("ticker"))

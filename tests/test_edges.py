@@ -164,7 +164,7 @@ def test_csv_sources(spark, tmp_path):
     assert published.reserved(results).first()["janela"] == "B" and published.full_sample(results).first()["beta"] is None
     assert published.weighted_cagr(published.windows(results)).first()["cagr"] == pytest.approx(math.exp((100 * math.log(1.1) + 300 * math.log(1.2)) / 400) - 1)
     assert published.headline(results).first()["headline"] == "Full sample: excess +4.00% (t = 2.50). Reserved window: +3.00% (t = 2.00)."
-    (tmp_path / "p.csv").write_text("﻿ticker,nota,peso\n petr4 ,,0.3\nvale3,ok,0.2\nCAIXA,,0.5\n", encoding="utf-8")
+    (tmp_path / "p.csv").write_text("\ufeffticker,nota,peso\n petr4 ,,0.3\nvale3,ok,0.2\nCAIXA,,0.5\n", encoding="utf-8")
     card = published.portfolio_card(published.load_portfolio(spark, str(tmp_path / "p.csv"))).orderBy("ord").collect()
     assert [(r["ticker"], r["weight"]) for r in card] == [("PETR4", 0.3), ("VALE3", 0.2), ("CAIXA", 0.5)]
     for bad in ("ticker,nota,peso,extra\nA,,1,2\n", "ticker,nota,peso\nA,,1\n"):
