@@ -106,10 +106,18 @@ SUMMARY = {
 }
 
 
+#: Of the summary, what comes from one list of quantiles instead of a percentile each.
+_PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
+
+
 def summary(df: DataFrame, r: str = "r", by: tuple[str, ...] = ()) -> DataFrame:
-    """The whole chapter: (by..., ord, metric, value). One aggregation, and one more for the MAD."""
-    rows = clean(df, r)
-    one = rows.groupBy(*by).agg(*(f(F.col(r)).alias(k) for k, f in SUMMARY.items()))
+    """The whole chapter: (by..., ord, metric, value). One aggregation, whose quantiles share one
+    list of values, and one more for the MAD."""
+    rows, x = clean(df, r), F.col(r)
+    plain = [f(x).alias(k) for k, f in SUMMARY.items() if f not in (median_trade, tail_ratio, iqr)]
+    q = lambda i: F.col("__q")[i]
+    one = rows.groupBy(*by).agg(*plain, F.percentile(x, F.array(*map(F.lit, _PROBS))).alias("__q"), F.count(x).alias("__n"))
+    one = one.withColumns({"median": q(2), "iqr": q(3) - q(1), "tail_ratio": F.when(F.col("__n") >= 20, ratio(q(4), F.abs(q(0))))})
     other = mad(rows, r, by)
     both = one.join(other, list(by)) if by else one.crossJoin(other)
     return tall(both, [*SUMMARY, "mad"], by)
