@@ -2,7 +2,8 @@
 
 States emit word classes (hashed, a fixed number, and the end of text), and a class emits its words
 with discounted corpus frequencies, an unseen word taking the discounted mass: together a
-distribution over texts. Baum-Welch counts are worked out a partition at a time and added up;
+distribution over texts. Baum-Welch starts from the corpus' class counts with seeded noise; its
+counts are worked out a partition at a time, over all training documents in every round, and added up;
 a text's likelihood is exact, by the scaled forward recursion over the whole text.
 
 The corpus is encoded once, in chunks of documents: word numbers local to the chunk and the chunk's
@@ -12,6 +13,7 @@ counts that a chunk cannot know itself go back to it.
 
 from __future__ import annotations
 
+import itertools
 import math
 from dataclasses import dataclass
 
@@ -22,12 +24,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .chain import batches, gather, recursions
-from .common import column, cut, mix64, raw_texts, scan, slices, token_batch
+from .common import column, cut, mix64, ragged, raw_texts, scan, slices, token_batch
 
 #: States, word classes (the end is one more), discount, blocks of the count tables.
 STATES, CLASSES, DISCOUNT, BLOCKS = 8, 1 << 13, 0.5, 16
-#: Characters of a chunk, of what is split into words at once, training documents of the sample that only finds where to start.
-CHUNK_CHARS, SLICE_CHARS, START_DOCS = 12_000_000, 2_000_000, 1_500
+#: Baum-Welch rounds, each over all training documents.
+ROUNDS = 10
+#: Characters of a chunk, of what is split into words at once, tokens of the chunks counted together.
+CHUNK_CHARS, SLICE_CHARS, COUNT_TOKENS = 12_000_000, 2_000_000, 4_000_000
 _CHUNK = "chunk long, ids array<bigint>, held array<boolean>, counts binary, tokens binary, words binary, n_train binary"
 
 
@@ -113,15 +117,46 @@ class Model:
     def counts(self, seq: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
         """Expected starts, transitions and emissions of sequences, and their log likelihood."""
         first, xi, out, ll = np.zeros(STATES), np.zeros((STATES, STATES)), np.zeros((CLASSES + 1, STATES)), 0.0
-        at = np.cumsum(n) - n
-        for g in batches(n, 300_000):
-            x = seq[gather(at[g], n[g])]
-            r = recursions(self.emit[x], n[g], self.step, self.start)
-            first, xi, ll = first + r.first, xi + r.xi, ll + r.loglik.sum()
-            for s in range(STATES):
-                out[:, s] += np.bincount(x, weights=r.gamma[:, s], minlength=CLASSES + 1)
+        for g in batches(n, 600_000):
+            got = self._count(seq, (np.cumsum(n) - n)[g], n[g])
+            first, xi, out, ll = first + got[0], xi + got[1], out + got[2], ll + got[3]
         return first, xi, out, ll
 
+    def _count(self, seq: np.ndarray, starts: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, float]:
+        """One batch, the longest sequence first: chain.recursions in single precision and in place,
+        as each place is scaled and a place of all sequences is one slice."""
+        longest = int(n[0])
+        active = np.searchsorted(-n, -np.arange(longest), "left")
+        ends = np.cumsum(active)
+        x = seq[starts[ragged(active)] + np.repeat(np.arange(longest), active)]
+        step, back, one = self.step.astype("f4"), np.ascontiguousarray(self.step.T, "f4"), np.ones(STATES, "f4")
+        e = self.emit.astype("f4")[x]
+        alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty(len(e), "f4")
+        at = [slice(lo, hi) for lo, hi in zip((ends - active).tolist(), ends.tolist(), strict=True)]
+        last = alpha[:0]
+        for t, here in enumerate(at):
+            cur = alpha[here]
+            if t:
+                np.dot(last[: len(cur)], step, out=cur)
+            else:
+                cur[:] = self.start
+            cur *= e[here]
+            c = np.dot(cur, one)
+            scale[here] = c
+            cur /= c[:, None]
+            last = cur
+        e /= scale[:, None]
+        xi = np.zeros((STATES, STATES))
+        for t in range(longest - 1, 0, -1):
+            msg = e[at[t]]
+            msg *= beta[at[t]]
+            below = slice(at[t - 1].start, at[t - 1].start + len(msg))
+            xi += alpha[below].T @ msg
+            np.dot(msg, back, out=beta[below])
+        alpha *= beta
+        out = np.stack([np.bincount(x, weights=alpha[:, s], minlength=CLASSES + 1) for s in range(STATES)], axis=1)
+        return alpha[at[0]].sum(0, dtype=float), xi * self.step, out, float(np.log(scale.astype(float)).sum())
+
     @classmethod
     def update(cls, first: np.ndarray, xi: np.ndarray, out: np.ndarray) -> Model:
         """New parameters from counts. Emissions lean on the classes' overall shares, so every
@@ -137,11 +172,16 @@ def _expect(chunks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     sent = chunks.sparkSession.sparkContext.broadcast(model)
 
     def part(batches_):
-        total = None
-        for batch in batches_:
-            for c in _chunks(batch):
-                got = sent.value.counts(*c.sequences(np.flatnonzero(~c.held)))[:3]
+        total, held_back, size = None, [], 0
+        # Chunks are counted some at a time: long documents side by side take as many steps as one.
+        for c in itertools.chain((c for batch in batches_ for c in _chunks(batch)), [None]):
+            if c is not None:
+                held_back.append(c.sequences(np.flatnonzero(~c.held)))
+                size += len(held_back[-1][0])
+            if held_back and (c is None or size >= COUNT_TOKENS):
+                got = sent.value.counts(*(np.concatenate(x) for x in zip(*held_back, strict=True)))[:3]
                 total = got if total is None else [x + y for x, y in zip(total, got, strict=True)]
+                held_back, size = [], 0
         if total is not None:
             flat = np.concatenate([x.ravel() for x in total])
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in np.array_split(flat, BLOCKS)], pa.binary())], names=["block", "data"])
@@ -158,26 +198,7 @@ def _expect(chunks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return flat[:STATES], flat[STATES : STATES + STATES**2].reshape(STATES, STATES), flat[STATES + STATES**2 :].reshape(-1, STATES)
 
 
-def _start(documents: DataFrame, share: float) -> Model:
-    """Where Baum-Welch starts: a few rounds on a bounded sample of training documents."""
-    rows = documents.where(~F.col("held_out") & (F.pmod(F.xxhash64(F.lit(9), "doc_id"), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))))
-
-    def classes(batch):
-        h, counts = token_batch(raw_texts(batch))
-        c, at = class_of(h).astype("<u2"), np.cumsum(counts) - counts
-        return {"seq": [c[a : a + n].tobytes() for a, n in zip(at, counts, strict=True)]}
-
-    sample = scan(rows.select("doc_id", "text"), classes, "seq binary").toPandas()["seq"].tolist()
-    seqs = [np.append(np.frombuffer(x, "<u2").astype(np.int64), CLASSES) for x in sorted(sample)]
-    flat = np.concatenate(seqs) if seqs else np.array([CLASSES])
-    n = np.array([len(x) for x in seqs] or [1])
-    model = Model.initial(np.bincount(flat, minlength=CLASSES + 1).astype(float))
-    for _ in range(8):
-        model = Model.update(*model.counts(flat, n)[:3])
-    return model
-
-
-def language_model(documents: DataFrame, rounds: int = 2) -> DataFrame:
+def language_model(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """documents(doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
     base_score, score: learnt from the rows that are not held out.
 
@@ -205,8 +226,8 @@ def language_model(documents: DataFrame, rounds: int = 2) -> DataFrame:
     total = int(n_class.sum()) + n_training
     distinct = int(v_class.sum()) + (n_training > 0)
 
-    model = _start(docs, START_DOCS / max(1, n_training))
-    for _ in range(rounds if n_training else 0):
+    model = Model.initial(np.append(n_class, n_training))
+    for _ in range(rounds if n_training else 1):  # without training rows a round of no counts makes all even
         model = Model.update(*_expect(chunks, model))
     spark = documents.sparkSession
     sent = spark.sparkContext.broadcast((model, n_class, v_class))
