@@ -4,8 +4,8 @@ A text is cut into pieces (runs of up to 8 characters that are not white space,
 texts). Of each run of 4
 pieces the inner runs of 2 are hashed; the run is a closed syncmer if the least of them is its
 first or its last. Which runs are chosen depends on nothing but the run, so shared passages choose
-the same anchors wherever they stand. A fingerprint has the anchors with the least hashes, and
-where each stands; two fingerprints are as alike as the anchors that both hold on one diagonal.
+the same anchors wherever they stand. A fingerprint has every anchor and where each stands; two
+fingerprints are as alike as the anchors that both hold on diagonals with a run of them.
 """
 
 from __future__ import annotations
@@ -15,9 +15,8 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Anchors kept, bits of a packed anchor that hold its place, pieces that matched anchors may
-#: be apart from the usual shift.
-ANCHORS, PLACE_BITS, DRIFT = 96, 20, 64
+#: Bits of a packed anchor that hold its place, diagonals that matched anchors of a run may be apart.
+PLACE_BITS, DRIFT = 20, 64
 #: Texts of fewer characters are cut into smaller pieces, or hardly any run would survive an edit.
 SHORT = 256
 #: The lowest bit of a packed anchor stays free: it tells two fingerprints apart when they are merged.
@@ -29,8 +28,8 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column, most: int = ANCHORS) -> Column:
-    """The text's closed syncmers with the least hashes, each hash once, packed as hash and place.
+def anchors(text: Column) -> Column:
+    """All closed syncmers of the text, packed as hash and place, in the order of their hashes.
 
     Texts of fewer than 4 pieces have one anchor, all their pieces; without a piece there is none.
     """
@@ -41,59 +40,51 @@ def anchors(text: Column, most: int = ANCHORS) -> Column:
         return h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(at.cast("long"), 1).bitwiseAND(F.lit(_MASK)))
 
     def of_pairs(pairs: Column, n: Column) -> Column:
-        shifted = lambda k: F.slice(pairs, k, F.greatest(n, F.lit(0)))
-        twos = F.zip_with(pairs, shifted(2), lambda a, b: F.struct(a.alias("a"), b.alias("b")))
-        triples = F.zip_with(twos, shifted(3), lambda x, c: F.struct(x["a"].alias("a"), x["b"].alias("b"), c.alias("c")))
-
         def mark(x: Column, i: Column) -> Column:
-            return F.when((i <= n - 4) & (F.least(x["a"], x["c"]) <= x["b"]), packed(F.xxhash64(x["a"], x["c"]), i))
+            last = F.get(pairs, i + 2)
+            return F.when((i <= n - 4) & (F.least(x, last) <= F.get(pairs, i + 1)), packed(F.xxhash64(x, last), i))
 
-        return F.transform(triples, mark)
+        return F.transform(pairs, mark)
 
     def chosen(h: Column) -> Column:
         n = F.size(h)
-        pairs = F.zip_with(h, F.slice(h, 2, n), lambda a, b: F.xxhash64(a, b))
+        pairs = F.transform(h, lambda a, i: F.xxhash64(a, F.get(h, i + 1)))
         return F.when(n >= 4, let(pairs, lambda p: of_pairs(p, n))).when(n > 0, F.array(packed(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), ",")), F.lit(0))))
 
-    def least(s: Column) -> Column:
-        once = F.filter(s, lambda x, i: (i == 0) | (F.shiftright(x, PLACE_BITS) != F.shiftright(F.get(s, i - 1), PLACE_BITS)))
-        return F.slice(once, 1, most)
-
     marked = let(F.transform(pieces, lambda w: F.xxhash64(w)), chosen)
-    sorted_ = F.array_compact(F.sort_array(marked))
-    return F.coalesce(let(sorted_, least), F.array().cast("array<bigint>"))
+    return F.coalesce(F.sort_array(F.array_compact(marked)), F.array().cast("array<bigint>"))
 
 
 def written(anchors_: Column) -> Column:
     """A fingerprint as text: hexadecimal anchors."""
-    return F.array_join(F.transform(anchors_, lambda x: F.lower(F.lpad(F.hex(x), 16, "0"))), ",")
+    return F.lower(F.array_join(F.transform(anchors_, lambda x: F.lpad(F.hex(x), 16, "0")), ","))
 
 
-def likeness(a: Column, b: Column, most: int = ANCHORS) -> Column:
-    """Anchors that both have, near their usual shift, over those that either has: 0 to 1.
+def likeness(a: Column, b: Column) -> Column:
+    """Anchors that both have, on diagonals that hold a run, over those that either has: 0 to 1.
 
-    A full fingerprint says nothing of hashes above its last one, so only what lies below both
-    ends counts. Two empty fingerprints are alike (1); an empty one is like no other (0).
+    A repeated hash counts once, where it stands first. A match is part of a run if another one lies
+    within DRIFT diagonals, so passages count wherever they moved to; a text's only match counts too.
+    Two empty fingerprints are alike (1); an empty one is like no other (0).
     """
-    end = lambda x: F.when(F.size(x) >= most, F.element_at(x, -1).bitwiseOR(F.lit(_MASK)))
-    limit = F.coalesce(F.least(end(a), end(b)), F.lit((1 << 63) - 1))
+    def once(x: Column) -> Column:
+        return F.filter(x, lambda v, i: (i == 0) | (F.shiftright(v, PLACE_BITS) != F.shiftright(F.get(x, i - 1), PLACE_BITS)))
 
     def pair(x: Column, y: Column) -> Column:
         """The shift of two neighbours in the merged order that have one hash."""
         gap = F.shiftright(y.bitwiseAND(F.lit(_MASK)), 1) - F.shiftright(x.bitwiseAND(F.lit(_MASK)), 1)
         return F.when(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.when(x.bitwiseAND(F.lit(1)) == 0, gap).otherwise(-gap))
 
-    def near(shifts: Column) -> Column:
-        usual = F.get(F.sort_array(shifts), F.floor(F.size(shifts) / 2).cast("int"))
-        return F.when(F.size(shifts) == 0, F.lit(0)).otherwise(let(usual, lambda m: F.size(F.filter(shifts, lambda s: F.abs(s - m) <= DRIFT))))
+    def in_runs(shifts: Column) -> Column:
+        beside = lambda s, i: (F.coalesce(s - F.get(shifts, i - 1) <= DRIFT, F.lit(False))) | (F.coalesce(F.get(shifts, i + 1) - s <= DRIFT, F.lit(False)))
+        return F.when(F.size(shifts) == 1, F.lit(1)).otherwise(F.size(F.filter(shifts, beside)))
 
     def of(x: Column, y: Column) -> Column:
         merged = F.sort_array(F.concat(x, F.transform(y, lambda v: v + 1)))
-        shifts = let(merged, lambda m: F.array_compact(F.zip_with(m, F.slice(m, 2, F.size(m)), pair)))
-        return let(shifts, lambda s: near(s) / (F.size(x) + F.size(y) - F.size(s)))
+        shifts = let(merged, lambda m: F.sort_array(F.array_compact(F.zip_with(m, F.slice(m, 2, F.size(m)), pair))))
+        return let(shifts, lambda s: in_runs(s) / (F.size(x) + F.size(y) - F.size(s)))
 
-    below = lambda x, t: F.filter(x, lambda v: v <= t)
-    ratio = let(limit, lambda t: let(below(a, t), lambda x: let(below(b, t), lambda y: of(x, y))))
+    ratio = let(a, lambda u: let(b, lambda v: let(once(u), lambda x: let(once(v), lambda y: of(x, y)))))
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(ratio)
 
 
@@ -114,13 +105,13 @@ def successors(ids: DataFrame) -> DataFrame:
     return ranged.select("id", F.coalesce(F.lead("id").over(Window.partitionBy("range").orderBy("id")), link[F.col("range")]).alias("next"))
 
 
-def fingerprint(documents: DataFrame, most: int = ANCHORS) -> DataFrame:
+def fingerprint(documents: DataFrame) -> DataFrame:
     """doc_id, n_chars, fingerprint (anchors) of each document row; null texts are empty."""
     text = F.coalesce("text", F.lit(""))
-    return documents.select("doc_id", F.length(text).cast("long").alias("n_chars"), anchors(text, most).alias("anchors"))
+    return documents.select("doc_id", F.length(text).cast("long").alias("n_chars"), anchors(text).alias("anchors"))
 
 
-def with_edited(documents: DataFrame, most: int = ANCHORS) -> DataFrame:
+def with_edited(documents: DataFrame) -> DataFrame:
     """Each document, its text with the last quarter replaced by the head of the next document's,
     both fingerprints, and the likeness of its own to the edited text's and the next document's.
 
@@ -131,22 +122,21 @@ def with_edited(documents: DataFrame, most: int = ANCHORS) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     every = documents.select("doc_id", text.alias("text"))
     docs = every.where("doc_id is not null")
-    need = docs.groupBy("doc_id").agg(F.max(F.floor(F.length("text") / 4)).cast("int").alias("need"))
-    follows = cut(need.join(successors(docs.select(F.col("doc_id").alias("id"))), F.col("doc_id") == F.col("id")).select("doc_id", "need", "next"), "follows")
-    # The documents' exchange by id serves both joins: a next document sends the head of its text and
-    # its fingerprint to the one before, which then has all it needs.
-    asked = follows.select(F.col("next"), F.col("doc_id").alias("prev"), "need")
-    sent = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.substring("text", F.lit(1), F.col("need")).alias("head"), anchors(F.col("text"), most).alias("ahead"))
-    sent = sent.groupBy("prev").agg(F.min_by(F.struct("head", "ahead"), "rank").alias("sent"))
-    joined = docs.join(sent, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "sent.head", "sent.ahead")
-    joined = joined.unionByName(every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("head"), F.lit(None).cast("array<bigint>").alias("ahead")))
+    follows = cut(successors(docs.select(F.col("doc_id").alias("id"))), "follows")
+    # The documents' exchange by id serves both joins: a next document sends its text, which is less to
+    # move than its anchors, to the one before, which then has all it needs.
+    asked = follows.select("next", F.col("id").alias("prev"))
+    sent = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.col("text").alias("ahead"))
+    sent = sent.groupBy("prev").agg(F.min_by("ahead", "rank").alias("ahead"))
+    joined = docs.join(sent, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "ahead")
+    joined = joined.unionByName(every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("ahead")))
     n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.coalesce("head", F.lit("")), F.lit(1), F.floor(n / 4).cast("int")))
+    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.coalesce("ahead", F.lit("")), F.lit(1), F.floor(n / 4).cast("int")))
     both = joined.select("doc_id", "text", "ahead", edited.alias("edited")).select(
         "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        anchors(F.col("text"), most).alias("own"), anchors(F.col("edited"), most).alias("other"), "ahead",
+        anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("other"), F.when(F.col("ahead").isNotNull(), anchors(F.col("ahead"))).alias("ahead"),
     )
     return both.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other"), most).alias("near_edited"), F.when(F.col("ahead").isNotNull(), likeness(F.col("own"), F.col("ahead"), most)).alias("near_next"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), F.when(F.col("ahead").isNotNull(), likeness(F.col("own"), F.col("ahead"))).alias("near_next"),
     )

@@ -1,0 +1,50 @@
+"""Fingerprints keep every closed syncmer and match on all diagonals."""
+
+import random
+import re
+
+import pytest
+import xxhash
+from pyspark.sql import functions as F
+from test_syncmers import long_hash, signed
+
+from edgeproof.llm.syncmers import anchors, fingerprint, likeness
+
+
+def every_syncmer(text):
+    h = [signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in re.findall(r"[^\x20\x09-\x0D]{1,%d}" % (2 if len(text) < 256 else 8), text)]
+    pack = lambda x, i: (x & ~0xFFFFF) | ((i << 1) & 0xFFFFF)
+    if len(h) < 4:
+        return [pack(signed(xxhash.xxh64_intdigest(",".join(map(str, h)).encode(), 42)), 0)] if h else []
+    inner = [long_hash(a, b) for a, b in zip(h, h[1:])]
+    return sorted(pack(long_hash(inner[i], inner[i + 2]), i) for i in range(len(h) - 3) if min(inner[i : i + 3]) in (inner[i], inner[i + 2]))
+
+
+def prose(seed, n):
+    rng = random.Random(seed)
+    return " ".join("".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9))) for _ in range(n))
+
+
+def test_every_anchor(spark, sf, documents):
+    texts = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").limit(40).collect()] + ["", "a", "a b c", "a b c d", "same " * 50, "x" * 300, prose(1, 4000), "\u00c9\u6f22\u5b57 \U0001f600" * 9]
+    got = {r["doc_id"]: list(r["anchors"]) for r in fingerprint(documents([(i, t, "s") for i, t in enumerate(texts)])).collect()}
+    assert got == {i: every_syncmer(t or "") for i, t in enumerate(texts)}
+
+
+def alike(spark, a, b):
+    return spark.createDataFrame([(a, b)], "a string, b string").select(likeness(anchors(F.col("a")), anchors(F.col("b")))).first()[0]
+
+
+def test_passage_in_a_long_text(spark):
+    """50 shared words are seen in texts of 3,000, as one run over all anchors."""
+    passage, x, y = prose(2, 50), prose(3, 3000), prose(4, 3000)
+    a, b = f"{x} {passage}", f"{passage} {y}"
+    u, v = ({h >> 20 for h in every_syncmer(t)} for t in (a, b))
+    assert len(u & v) > 20
+    assert alike(spark, a, b) == pytest.approx(len(u & v) / len(u | v))
+
+
+def test_insertion_in_the_middle(spark):
+    """A copy with 200 words put in its middle keeps the matches on both sides."""
+    words = prose(5, 600).split()
+    assert alike(spark, " ".join(words), " ".join([*words[:300], *prose(6, 200).split(), *words[300:]])) > 0.7
