@@ -1,7 +1,6 @@
 """Document fingerprints of closed syncmers, in SQL expressions only.
 
-A text is cut into pieces (runs of up to 8 characters that are not white space, of up to 2 in short
-texts). Of each run of 4
+A text is cut into pieces (runs of up to 4 characters that are not white space). Of each run of 4
 pieces the inner runs of 2 are hashed; the run is a closed syncmer if the least of them is its
 first or its last. Which runs are chosen depends on nothing but the run, so shared passages choose
 the same anchors wherever they stand. A fingerprint has every anchor and where each stands; two
@@ -15,10 +14,9 @@ from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Bits of a packed anchor that hold its place, diagonals that matched anchors of a run may be apart.
-PLACE_BITS, DRIFT = 20, 64
-#: Texts of fewer characters are cut into smaller pieces, or hardly any run would survive an edit.
-SHORT = 256
+#: Characters of a piece, bits of a packed anchor that hold its place, diagonals that matched anchors
+#: of a run may be apart.
+PIECE, PLACE_BITS, DRIFT = 4, 20, 64
 #: The lowest bit of a packed anchor stays free: it tells two fingerprints apart when they are merged.
 _MASK = (1 << PLACE_BITS) - 1
 
@@ -33,8 +31,7 @@ def anchors(text: Column) -> Column:
 
     Texts of fewer than 4 pieces have one anchor, all their pieces; without a piece there is none.
     """
-    cut_in = lambda n: F.regexp_extract_all(text, F.lit(rf"([^\x20\x09-\x0D]{{1,{n}}})"), F.lit(1))
-    pieces = F.when(F.length(text) < SHORT, cut_in(2)).otherwise(cut_in(8))
+    pieces = F.regexp_extract_all(text, F.lit(rf"([^\x20\x09-\x0D]{{1,{PIECE}}})"), F.lit(1))
 
     def packed(h: Column, at: Column) -> Column:
         return h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(at.cast("long"), 1).bitwiseAND(F.lit(_MASK)))

@@ -1,4 +1,4 @@
-"""Fingerprints keep every closed syncmer and match on all diagonals."""
+"""Fingerprints keep every closed syncmer, of pieces of one length, and match on all diagonals."""
 
 import random
 import re
@@ -8,11 +8,11 @@ import xxhash
 from pyspark.sql import functions as F
 from test_syncmers import long_hash, signed
 
-from edgeproof.llm.syncmers import anchors, fingerprint, likeness
+from edgeproof.llm.syncmers import anchors, fingerprint, likeness, with_edited
 
 
 def every_syncmer(text):
-    h = [signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in re.findall(r"[^\x20\x09-\x0D]{1,%d}" % (2 if len(text) < 256 else 8), text)]
+    h = [signed(xxhash.xxh64_intdigest(p.encode(), 42)) for p in re.findall(r"[^\x20\x09-\x0D]{1,4}", text)]
     pack = lambda x, i: (x & ~0xFFFFF) | ((i << 1) & 0xFFFFF)
     if len(h) < 4:
         return [pack(signed(xxhash.xxh64_intdigest(",".join(map(str, h)).encode(), 42)), 0)] if h else []
@@ -48,3 +48,10 @@ def test_insertion_in_the_middle(spark):
     """A copy with 200 words put in its middle keeps the matches on both sides."""
     words = prose(5, 600).split()
     assert alike(spark, " ".join(words), " ".join([*words[:300], *prose(6, 200).split(), *words[300:]])) > 0.7
+
+
+def test_no_switch_by_length(spark, documents):
+    """Texts of 300 characters stay alike when an empty successor or an edit brings them under 256."""
+    text = prose(7, 200)[:300]
+    near = {r["doc_id"]: r for r in with_edited(documents([(1, text, "s"), (2, "", "s"), (3, text[:250], "s"), (4, text[:260], "s")])).collect()}
+    assert near[1]["near_edited"] > 0.6 and near[3]["near_next"] > 0.8
