@@ -166,10 +166,13 @@ class Windows:
         maybe = maybe[np.cumsum(dense)[:-1] > 0]
         lo = np.searchsorted(self.gram, h[maybe], "left")
         n = np.searchsorted(self.gram, h[maybe], "right") - lo
-        found = []
+        found: dict = {}
         for a, b in slices(n.tolist(), 4_000_000):
-            found += self._bands(codes, starts, maybe[a:b], lo[a:b], n[a:b])
-        return found
+            # What begins in a slice ends within reach of its last place: slices overlap by that much.
+            b = int(np.searchsorted(maybe, maybe[b - 1] + self.reach, "right"))
+            for t, w, *hit in self._bands(codes, starts, maybe[a:b], lo[a:b], n[a:b]):
+                found[t, w] = min(found.get((t, w), hit), hit)
+        return [(t, w, *hit) for (t, w), hit in found.items()]
 
     def _bands(self, codes, starts, place, lo, n):
         hit = np.repeat(place, n)
