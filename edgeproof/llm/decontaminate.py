@@ -1,7 +1,9 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are normalised (lower case, every run of other characters than letters and digits one
-space). Benchmark items are cut into overlapping windows. A window w of length m that occurs in a
+space). Benchmark items are cut into overlapping windows, long ones for edited copies and short
+ones for parts of items: any short + short_step - 1 = 63 normalised characters of an item hold a whole
+short window, which is found with up to 3 edits. A window w of length m that occurs in a
 document with at most k edits shares at least m + 1 - q (k + 1) q-grams with it, all within
 2k + 1 neighbouring diagonals. So documents' q-grams are looked up in the windows' q-grams, hits
 are counted in overlapping bands of diagonals, and bands that meet the bound are verified by a
@@ -24,10 +26,13 @@ _BASE = 0x100000001B3
 
 @dataclass(frozen=True)
 class Budget:
-    """Window length and step in normalised characters, gram length, edits a character."""
+    """Window length and step in normalised characters, the same of the short windows that find
+    parts of items, gram length, edits a character."""
 
     window: int = 120
     step: int = 60
+    short: int = 48
+    short_step: int = 16
     q: int = 8
     rate: float = 0.08
     #: Characters of benchmark text a pass over the documents looks for: the bound on what is sent
@@ -130,8 +135,10 @@ class Windows:
             m = len(codes)
             if m < budget.q:
                 continue
-            w = min(m, budget.window)
-            for s in sorted({*range(0, m - w + 1, budget.step), m - w}):
+            spans = set()
+            for w, step in ((min(m, budget.window), budget.step), (min(m, budget.short), budget.short_step)):
+                spans |= {(s, w) for s in (*range(0, m - w + 1, step), m - w)}
+            for s, w in sorted(spans):
                 self.item.append(item)
                 self.start.append(s)
                 self.codes.append(codes[s : s + w])

@@ -31,3 +31,18 @@ def test_passages_across_cuts(monkeypatch):
         monkeypatch.setattr(decontaminate, "slices", lambda sizes, limit, most=most: real(sizes, min(limit, most)))
         got = index.matches(codes, starts)
         assert sorted(x[:2] for x in got) == [x[:2] for x in whole] and len({x[:2] for x in got}) == len(got)
+
+
+def test_parts_of_items():
+    """Any 63 normalised characters of an item are found, at every start, with 3 edits as well."""
+    rng = random.Random(12)
+    item = words(rng, 60)
+    assert len(item) > 240
+    item = item[:240]
+    index = Windows([(1, item)], Budget())
+    lead, tail = words(rng, 20), words(rng, 20)
+    for s in range(240 - 63 + 1):
+        part = item[s : s + 63]
+        for passage in (part, edited(rng, part, 21)):
+            codes, _, starts = normalise([f"{lead} q{passage}q {tail}"])
+            assert index.matches(codes, starts), (s, passage)
