@@ -251,9 +251,18 @@ _TERMS = ("the", "en", "io")
 frame("format_banned_terms", lambda s, d: fixtures.read(s, d, "documents").select("doc_id", F.array_join(published.banned_terms(F.coalesce("text", F.lit("")), (*_TERMS, *published.TITLE_BANNED)), ",").alias("terms")), "", "SELECT doc_id, coalesce(array_to_string(list_filter([" + ", ".join(f"'{t}'" for t in (*_TERMS, *published.TITLE_BANNED)) + "], lambda t: contains(lower(coalesce(text, '')), t)), ','), '') AS terms FROM documents")
 
 
+#: The palette of the pairwise check: the eight colours of Okabe and Ito.
+PALETTE = ("#000000", "#e69f00", "#56b4e9", "#009e73", "#f0e442", "#0072b2", "#d55e00", "#cc79a7")
+
+
 def _palette(s, d):
+    """Colours from the part keys that the SQL has."""
+    return _colours(s, d).where("pos <= 40")
+
+
+def _colours(s, d):
     """Colours from part keys: six hexadecimal digits of a hash."""
-    return fixtures.read(s, d, "part").where("p_partkey <= 40").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("#"), F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 6)).alias("colour"))
+    return fixtures.read(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("#"), F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 6)).alias("colour"))
 
 
 def _lin(i: int) -> str:
@@ -266,8 +275,8 @@ _COL += "lm AS (SELECT *, " + ", ".join(f"cbrt({x[0]}*r + {x[1]}*g + {x[2]}*b) A
 _COL += "lab AS (SELECT *, " + ", ".join(f"({x[0]}*l + {x[1]}*m + {x[2]}*s) AS {n}" for n, x in zip(("ll", "aa", "bb"), colour.TO_LAB, strict=True)) + ", 0.2126*r + 0.7152*g + 0.0722*b AS lu FROM lm)"
 frame("colour_oklch", lambda s, d: _palette(s, d).select("pos", *(c.alias(n) for n, c in zip(("lightness", "chroma", "hue"), colour.oklch(F.col("colour")), strict=True)), colour.luminance(F.col("colour")).alias("luminance"), colour.contrast(F.col("colour"), F.lit("#ffffff")).alias("contrast")), _COL, "SELECT pos, round(ll, 6) AS lightness, round(sqrt(aa*aa + bb*bb), 6) AS chroma, round(CASE WHEN atan2(bb, aa) < 0 THEN degrees(atan2(bb, aa)) + 360 ELSE degrees(atan2(bb, aa)) END, 6) AS hue, round(lu, 6) AS luminance, round(1.05/(lu + 0.05), 6) AS contrast FROM lab")
 frame("colour_delta_e", lambda s, d: _palette(s, d).select("pos", colour.delta_e(F.col("colour"), F.lit("#000000")).alias("delta_e")), _COL, "SELECT pos, round(100*sqrt(ll*ll + aa*aa + bb*bb), 6) AS delta_e FROM lab")
-add("colour_simulated", lambda s, d: rounded(_palette(s, d).select("pos", *(colour.delta_e(F.col("colour"), F.lit("#000000"), k).alias(k) for k in colour.DEFICIENCY))))
-add("colour_palette_check", lambda s, d: rounded(colour.validate(_palette(s, d).where("pos <= 6"), pairs="all")))
+add("colour_simulated", lambda s, d: rounded(_colours(s, d).select("pos", *(colour.delta_e(F.col("colour"), F.lit("#000000"), k).alias(k) for k in colour.DEFICIENCY))))
+add("colour_palette_check", lambda s, d: rounded(colour.validate(s.createDataFrame(list(enumerate(PALETTE, 1)), "pos long, colour string"), pairs="all")))
 
 # Live trading ---------------------------------------------------------------------------------
 
