@@ -1,24 +1,31 @@
 """Document fingerprints of closed syncmers, in SQL expressions only.
 
-A text is cut into pieces (runs of up to 4 characters that are not white space). Of each run of 4
-pieces the inner runs of 2 are hashed; the run is a closed syncmer if the least of them is its
-first or its last. Which runs are chosen depends on nothing but the run, so shared passages choose
-the same anchors wherever they stand. A fingerprint has every anchor and where each stands; two
+The k-mers of a text are its runs of 16 characters, at every character. Of each one the inner runs of
+6 are hashed; the k-mer is a closed syncmer if the least of them is its first or its last. Which ones
+are chosen depends on nothing but the k-mer, so shared passages choose the same anchors wherever they
+stand, with or without white space. A fingerprint has every anchor and where it stands; two
 fingerprints are as alike as the anchors that both hold on diagonals with a run of them.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut
 
-#: Characters of a piece, bits of a packed anchor that hold its place, diagonals that matched anchors
-#: of a run may be apart.
-PIECE, PLACE_BITS, DRIFT = 4, 20, 64
-#: The lowest bit of a packed anchor stays free: it tells two fingerprints apart when they are merged.
+#: Characters of an inner run, inner runs of a k-mer, and so characters of a k-mer.
+INNER, SPAN = 6, 11
+KMER = INNER + SPAN - 1
+#: A packed anchor is 32 bits of hash, 31 bits of place and a lowest bit that stays free: it tells two
+#: fingerprints apart when they are merged. A place never wraps: a string is shorter than 2^31.
+PLACE_BITS = 32
 _MASK = (1 << PLACE_BITS) - 1
+#: Diagonals, in characters, that matched anchors of a run may be apart.
+DRIFT = 256
+_NONE = "array<bigint>"
 
 
 def let(value: Column, body) -> Column:
@@ -26,30 +33,52 @@ def let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def anchors(text: Column) -> Column:
-    """All closed syncmers of the text, packed as hash and place, in the order of their hashes.
+def place_of(anchor: Column) -> Column:
+    """Where an anchor stands, in code points."""
+    return F.shiftright(anchor.bitwiseAND(F.lit(_MASK)), 1)
 
-    Texts of fewer than 4 pieces have one anchor, all their pieces; without a piece there is none.
-    """
-    pieces = F.regexp_extract_all(text, F.lit(rf"([^\x20\x09-\x0D]{{1,{PIECE}}})"), F.lit(1))
 
-    def packed(h: Column, at: Column) -> Column:
-        return h.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(at.cast("long"), 1).bitwiseAND(F.lit(_MASK)))
+def closed(text: Column) -> Column:
+    """The closed syncmers of the text, packed as hash and place, by place."""
 
-    def of_pairs(pairs: Column, n: Column) -> Column:
-        def mark(x: Column, i: Column) -> Column:
-            last = F.get(pairs, i + 2)
-            return F.when((i <= n - 4) & (F.least(x, last) <= F.get(pairs, i + 1)), packed(F.xxhash64(x, last), i))
+    def mark(h: Column):
+        def one(edge: Column, i: Column) -> Column:
+            # The lesser of the first and the last against each inner run between them: the first
+            # greater one ends it, so few are looked at.
+            least = reduce(lambda a, b: a & b, (edge <= F.get(h, i + j) for j in range(1, SPAN - 1)))
+            name = F.xxhash64(*(F.get(h, i + j) for j in (*range(0, SPAN - 1, INNER), SPAN - 1)))
+            return F.when(least, name.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(i.cast("long"), 1)))
 
-        return F.transform(pairs, mark)
+        return one
 
     def chosen(h: Column) -> Column:
-        n = F.size(h)
-        pairs = F.transform(h, lambda a, i: F.xxhash64(a, F.get(h, i + 1)))
-        return F.when(n >= 4, let(pairs, lambda p: of_pairs(p, n))).when(n > 0, F.array(packed(F.xxhash64(F.array_join(F.transform(h, lambda x: x.cast("string")), ",")), F.lit(0))))
+        edges = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - (SPAN - 1), F.lit(0))), F.slice(h, SPAN, F.size(h)), lambda a, b: F.least(a, b))
+        return F.array_compact(F.transform(edges, mark(h)))
+
+    runs = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{INNER}}}))."), F.lit(1))  # the last sign moves on by a code point
+    return let(F.transform(runs, lambda x: F.xxhash64(x)), chosen)
+
+
+def whole(found: Column, text: Column) -> Column:
+    """Anchors in the order of their hashes. A text without a closed syncmer (all texts shorter than a
+    k-mer are) has one anchor, all of it; an empty text has none."""
+    alone = F.when(F.length(text) > 0, F.array(F.xxhash64(text).bitwiseAND(F.lit(~_MASK)))).otherwise(F.array().cast(_NONE))
+    return F.when(F.size(found) > 0, F.sort_array(found)).otherwise(alone)
+
+
+def anchors(text: Column) -> Column:
+    """The fingerprint of a text: see closed and whole."""
+    return let(closed(text), lambda found: whole(found, text))
+
 
-    marked = let(F.transform(pieces, lambda w: F.xxhash64(w)), chosen)
-    return F.coalesce(F.sort_array(F.array_compact(marked)), F.array().cast("array<bigint>"))
+def spliced(left: Column, kept: Column, right: Column, taken: Column, text: Column, after: Column) -> Column:
+    """The closed syncmers of text[:kept] + after[:taken] from those of text (left) and after (right):
+    a k-mer lies in one of the two or crosses the seam, and only those that cross are worked out."""
+    most = F.lit(KMER - 1)
+    before = F.least(kept, most)
+    seam = F.concat(F.substring(text, kept - before + 1, before), F.substring(after, F.lit(1), F.least(taken, most)))
+    moved = lambda found, by: F.transform(found, lambda x: x + F.shiftleft(by.cast("long"), 1))
+    return F.concat(F.filter(left, lambda x: place_of(x) <= kept - KMER), moved(closed(seam), kept - before), moved(F.filter(right, lambda x: place_of(x) <= taken - KMER), kept))
 
 
 def written(anchors_: Column) -> Column:
@@ -69,7 +98,7 @@ def likeness(a: Column, b: Column) -> Column:
 
     def pair(x: Column, y: Column) -> Column:
         """The shift of two neighbours in the merged order that have one hash."""
-        gap = F.shiftright(y.bitwiseAND(F.lit(_MASK)), 1) - F.shiftright(x.bitwiseAND(F.lit(_MASK)), 1)
+        gap = place_of(y) - place_of(x)
         return F.when(F.shiftright(x, PLACE_BITS) == F.shiftright(y, PLACE_BITS), F.when(x.bitwiseAND(F.lit(1)) == 0, gap).otherwise(-gap))
 
     def in_runs(shifts: Column) -> Column:
@@ -113,8 +142,9 @@ def with_edited(documents: DataFrame) -> DataFrame:
     both fingerprints, and the likeness of its own to the edited text's and the next document's.
 
     The next document has the next greater id; of repeated ids, the row whose text hashes least
-    stands for the id. Rows with a null id have no next: their edited text only loses its end, and
-    near_next is null. Null texts are empty.
+    stands for the id. Rows with a null id have no next: an empty text stands for it. Null texts are
+    empty. A text is fingerprinted once where it stands and once as its predecessor's next; the edited
+    text's anchors are put together from these two.
     """
     text = F.coalesce("text", F.lit(""))
     every = documents.select("doc_id", text.alias("text"))
@@ -125,15 +155,17 @@ def with_edited(documents: DataFrame) -> DataFrame:
     asked = follows.select("next", F.col("id").alias("prev"))
     sent = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.col("text").alias("ahead"))
     sent = sent.groupBy("prev").agg(F.min_by("ahead", "rank").alias("ahead"))
-    joined = docs.join(sent, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", "ahead")
-    joined = joined.unionByName(every.where("doc_id is null").select("doc_id", "text", F.lit(None).cast("string").alias("ahead")))
-    n = F.length("text")
-    edited = F.concat(F.substring("text", F.lit(1), n - F.floor(n / 4).cast("int")), F.substring(F.coalesce("ahead", F.lit("")), F.lit(1), F.floor(n / 4).cast("int")))
-    both = joined.select("doc_id", "text", "ahead", edited.alias("edited")).select(
-        "doc_id", F.length("text").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
-        anchors(F.col("text")).alias("own"), anchors(F.col("edited")).alias("other"), F.when(F.col("ahead").isNotNull(), anchors(F.col("ahead"))).alias("ahead"),
+    joined = docs.join(sent, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", F.coalesce("ahead", F.lit("")).alias("ahead"))
+    joined = joined.unionByName(every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("ahead")))
+    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
+    head = F.substring("ahead", F.lit(1), quarter)
+    found = joined.select("doc_id", "text", "ahead", n.alias("n"), (n - quarter).alias("kept"), F.length(head).alias("taken"), F.concat(F.substring("text", F.lit(1), n - quarter), head).alias("edited"), closed(F.col("text")).alias("own"), closed(F.col("ahead")).alias("next"))
+    other = spliced(F.col("own"), F.col("kept"), F.col("next"), F.col("taken"), F.col("text"), F.col("ahead"))
+    both = found.select(
+        "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),
+        whole(F.col("own"), F.col("text")).alias("own"), let(other, lambda x: whole(x, F.col("edited"))).alias("other"), whole(F.col("next"), F.col("ahead")).alias("next"),
     )
     return both.select(
         "doc_id", "n_chars", "edited_sha256", written(F.col("own")).alias("fingerprint"), written(F.col("other")).alias("edited_fingerprint"),
-        likeness(F.col("own"), F.col("other")).alias("near_edited"), F.when(F.col("ahead").isNotNull(), likeness(F.col("own"), F.col("ahead"))).alias("near_next"),
+        likeness(F.col("own"), F.col("other")).alias("near_edited"), likeness(F.col("own"), F.col("next")).alias("near_next"),
     )
