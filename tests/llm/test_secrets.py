@@ -1,11 +1,12 @@
 import math
 import random
 import re
+import time
 from collections import Counter
 
 from pyspark.sql import functions as F
 
-from edgeproof.llm.secrets import ALLOWED, CANDIDATE, CLASSES, WINDOW, find_secrets, hot_part, joined
+from edgeproof.llm.secrets import ALLOWED, CANDIDATE, CLASSES, WINDOW, allowed, find_secrets, hot_part, joined, places
 
 KEYWORD = "|".join("".join(f"[{c.lower()}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
 ASSIGN = re.compile(rf"(?:{KEYWORD})[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)")
@@ -17,6 +18,12 @@ def base_spans(t):
     return sorted(spans + [(m.start(), 2, m.end()) for m in re.finditer("[0-9a-f]+", t) if len(m[0]) >= 24])
 
 
+def is_allowed(c):
+    first, *rest = re.split("[_/=+-]+", c)
+    words = re.fullmatch("[A-Za-z]{1,24}", first) and all(re.fullmatch("[A-Za-z]{0,24}", x) for x in rest)
+    return bool(words or len(set(c)) == 1 or any(re.search(p, c) for p in ALLOWED[1:]))
+
+
 def windows(c):
     limit = next(x for _, p, x in CLASSES if re.search(p, c))
     hot = []
@@ -44,7 +51,7 @@ def test_spans(spark, documents):
         assert [tuple(x) for x in got[i] if x["kind"] < 3] == base
         want = []
         for m in re.finditer(CANDIDATE, t):
-            a, b = (0, 0) if re.search(ALLOWED, m[0]) else windows(m[0])
+            a, b = (0, 0) if is_allowed(m[0]) else windows(m[0])
             if b and not any(s < m.start() + b and m.start() + a < e for s, _, e in base):
                 want.append((m.start() + a, 3, m.start() + b))
         assert [tuple(x) for x in got[i] if x["kind"] == 3] == want
@@ -58,7 +65,32 @@ def test_allow_list_and_classes(spark):
     df = spark.createDataFrame([(x,) for x in rows], "c string").select("c", hot_part(F.col("c")).alias("p"))
     got = {r["c"]: tuple(r["p"]) for r in df.collect()}
     assert all(got[c] == windows(c) for c in rows)
-    assert all(re.search(ALLOWED, c) for c in rows[:5]) and not re.search(ALLOWED, rows[5])
+    assert all(is_allowed(c) for c in rows[:5]) and not is_allowed(rows[5])
+
+
+def test_allow_list_by_brute_force(spark):
+    rng = random.Random(4)
+    rows = ["".join(rng.choice(["a", "Bc", "-", "_", "==", "/", "7", "x" * 24, "y" * 25]) for _ in range(rng.randrange(1, 12))) for _ in range(4000)]
+    got = spark.createDataFrame([(x,) for x in rows], "c string").select("c", allowed(F.col("c")).alias("a")).collect()
+    assert all(r["a"] == is_allowed(r["c"]) for r in got) and 100 < sum(r["a"] for r in got) < 3900
+
+
+def test_signs_and_matches_without_end(documents):
+    """Texts that a pattern with returns, or a fold over all matches, would never finish."""
+    n = 100_000
+    texts = ["a" + "-" * 10_000 + "1", "ab-" * 40_000 + "7", "-" * 200_000, "deadbeefdeadbeefdeadbeef " * n, "token=abcdef " * n, "Zx9kQ2vB7nM4wE8rT1yU " * 20_000 + "deadbeefdeadbeefdeadbeef " * 20_000]
+    began = time.perf_counter()
+    got = {r["doc_id"]: r for r in find_secrets(documents([(i, t, "s") for i, t in enumerate(texts)])).select("doc_id", F.size("spans").alias("n"), F.try_element_at("spans", F.lit(-1))["end"].alias("end")).collect()}
+    assert time.perf_counter() - began < 30
+    assert [got[i]["n"] for i in range(3)] == [0, 0, 0]
+    assert got[3]["n"] == n and got[3]["end"] == 25 * n - 1 and got[4]["n"] == n and got[4]["end"] == 13 * n - 1
+    assert got[5]["n"] == 40_000
+
+
+def test_places_over_many_stretches(spark):
+    text = "".join("x" * (i % 7) + "ab" for i in range(1500))
+    got = spark.createDataFrame([(text,)], "t string").select(places(F.col("t"), "ab").alias("p")).first()["p"]
+    assert [(x["start"], x["end"]) for x in got] == [m.span() for m in re.finditer("ab", text)]
 
 
 def test_odd_rows(odd, empty):
