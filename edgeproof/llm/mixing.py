@@ -1,26 +1,29 @@
 """Mixing sources to target weights by Sainte-Lague apportionment.
 
-Equal blocks of words are the seats. Seats go to sources by highest quotients, then from each
-source to its shards (hashed groups of documents of bounded size) in the same way, so that every
-shard has an integer quota and selects its own blocks: documents of a shard stand in a seeded
-order, its words form a ring, and the quota takes blocks from the ring's start, going round a
-second time where a target exceeds the source. Nothing but quotas is ordered across shards.
+Equal blocks of words are the seats. A source gets whole blocks and one last part of a block, so its
+quota is its target to the word. Blocks go from each source to its shards (hashed groups of its
+documents of bounded size; a rare source is one shard) by highest quotients, so that every shard has
+an integer quota and selects its own blocks: documents of a shard stand in a seeded order, its words
+form a ring, and the quota takes blocks from the ring's start, going round a second time where a
+target exceeds the source. Nothing but quotas is ordered across shards.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import WORD, cut
 
-#: Words in a block (a seat), and documents meant for a shard.
+#: Words in a block (a seat), documents meant for a shard, shards of a group.
 BLOCK, SHARD_DOCS, FAN = 16, 1024, 512
+SPACE = r"[\x20\x09-\x0D]"
 
 
 def sainte_lague(weights, seats: int, caps=None) -> np.ndarray:
@@ -61,19 +64,37 @@ def sainte_lague(weights, seats: int, caps=None) -> np.ndarray:
     return got
 
 
-def _share(down: DataFrame, up: str, unit: str) -> DataFrame:
-    """Hand each parent's seats on to its units. down: key, parent, unit, words, seats, cap."""
+def apportion(words, quota: int, block: int, most) -> np.ndarray:
+    """Words for each unit, quota in all (as far as most allows): whole blocks by highest quotients, the
+    rest of the quota to the unit that the next block would go to. A unit stops at most words, and what
+    a last block has beyond that goes to the units with room, in order."""
+    w, most = np.asarray(words, np.int64), np.asarray(most, np.int64)
+    caps = -(-most // block)
+    seats = sainte_lague(w, quota // block, caps)
+    out = seats * block
+    if rest := quota - int(out.sum()):
+        open_ = np.flatnonzero((seats < caps) & (w > 0))
+        if len(open_):
+            out[open_[np.argmax(w[open_] / (2 * seats[open_] + 1))]] += min(rest, block)
+    out = np.minimum(out, most)
+    room = most - out
+    before = np.cumsum(room) - room
+    return out + np.clip(quota - int(out.sum()) - before, 0, room)
+
+
+def _share(down: DataFrame, up: str, unit: str, block: int) -> DataFrame:
+    """Hand each parent's quota on to its units. down: source_key, the parent, unit, words, quota, most."""
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values([unit])
-        return pdf[["source_key", unit]].assign(quota=sainte_lague(pdf["words"], int(pdf["seats"].iloc[0]), pdf["cap"]))
+        return pdf[["source_key", unit]].assign(quota=apportion(pdf["words"], int(pdf["quota"].iloc[0]), block, pdf["most"]))
 
     return down.groupBy("source_key", *([up] if up else [])).applyInPandas(group, f"source_key string, {unit} long, quota long")
 
 
 def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: float) -> DataFrame:
-    """source_key, words -> weight and target: weighted shares of share x all words, none above
-    cap x its source, what is above going to the others by weight until none is."""
+    """source_key, words, docs -> source_size, docs, target: weighted shares of share x all words, none
+    above cap x its source, what is above going to the others by weight until none is."""
     # The rank of a source among all: sorted partitions, and each partition's first rank.
     parts = cut(sources.orderBy("source_key").select("*", F.spark_partition_id().alias("part")).withColumn("at", F.monotonically_increasing_id() - F.shiftleft(F.col("part").cast("long"), 33)), "sources")
     counts = sorted((r["part"], r["n"]) for r in parts.groupBy("part").agg(F.count("*").alias("n")).collect())
@@ -82,7 +103,7 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: flo
         first[part], total = total, total + n
     starts = F.coalesce(*(F.when(F.col("part") == p, F.lit(s)) for p, s in first.items() if s), F.lit(0)) if total else F.lit(0)
     w = F.element_at(F.array(*map(F.lit, weights)), (F.pmod(starts + F.col("at"), F.lit(len(weights))) + 1).cast("int"))
-    ranked = cut(parts.select("source_key", "words", w.alias("weight"), (F.lit(cap) * F.col("words")).alias("most")), "weights")
+    ranked = cut(parts.select("source_key", "words", "docs", w.alias("weight"), (F.lit(cap) * F.col("words")).alias("most")), "weights")
     everything = ranked.agg(F.sum("words"), F.sum("weight")).first()
     goal, rate = share * float(everything[0] or 0), math.inf
     if everything[1]:
@@ -95,52 +116,87 @@ def targets(sources: DataFrame, weights: tuple[int, ...], share: float, cap: flo
                 rate = new if not free else max(rate, new)
                 break
             rate = new
-    return ranked.select("source_key", F.col("words").alias("source_size"), F.when(F.lit(math.isinf(rate)), F.col("most")).otherwise(F.least("most", F.lit(rate if math.isfinite(rate) else 0.0) * F.col("weight"))).alias("target"))
-
+    return ranked.select("source_key", F.col("words").cast("long").alias("source_size"), "docs", F.when(F.lit(math.isinf(rate)), F.col("most")).otherwise(F.least("most", F.lit(rate if math.isfinite(rate) else 0.0) * F.col("weight"))).alias("target"))
+
+
+@dataclass(frozen=True)
+class Mix:
+    """Weights of the sources in order, repeating; share of all words; how often a document may be
+    taken; words of a block; documents of a shard; the seed of the order within shards."""
+
+    weights: tuple[int, ...] = (3, 1, 2)
+    share: float = 1.5
+    cap: int = 2
+    block: int = BLOCK
+    shard_docs: int = SHARD_DOCS
+    seed: int = 7
+
+    def _rows(self, documents: DataFrame, *keep: Column) -> DataFrame:
+        """keep, source_key, size, and what the order within a shard goes by."""
+        key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("b"), F.col("source")))
+        size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
+        return documents.select(*keep, key.alias("source_key"), size.alias("size"), F.xxhash64(F.lit(self.seed), "doc_id", "text").alias("place"))
+
+    def _dealt(self, rows: DataFrame, goals: DataFrame) -> DataFrame:
+        """Rows with words, their source's goal and their shard: as many shards as the source needs."""
+        shards = F.ceil(F.col("docs") / self.shard_docs)
+        return rows.where("size > 0").join(goals, "source_key").withColumn("shard", F.pmod(F.col("place"), shards).cast("long")).drop("docs")
+
+    def _plan(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Goals of the sources, quotas of the shards."""
+        sources = rows.groupBy("source_key").agg(F.sum("size").alias("words"), F.count(F.when(F.col("size") > 0, 1)).alias("docs"))
+        goals = cut(targets(sources, self.weights, self.share, self.cap), "targets")
+        cells = cut(self._dealt(rows, goals).groupBy("source_key", "shard").agg(F.sum("size").alias("words")), "cells").withColumn("group", F.floor(F.col("shard") / FAN))
+        most = (F.lit(self.cap) * F.col("words")).cast("long").alias("most")
+        groups = cells.groupBy("source_key", "group").agg(F.sum("words").alias("words"))
+        wanted = goals.select("source_key", F.round("target").cast("long").alias("quota"))
+        upper = _share(groups.select("*", most).join(wanted, "source_key"), "", "group", self.block)
+        lower = _share(cells.select("*", most).join(upper, ["source_key", "group"]), "group", "shard", self.block)
+        return goals, cut(lower.join(cells.select("source_key", "shard", "words"), ["source_key", "shard"]), "quotas")
+
+    def _taken(self, rows: DataFrame, goals: DataFrame, quotas: DataFrame, *order: str) -> DataFrame:
+        """Rows with words, and how many of them are taken: the quota along the ring, pass after pass."""
+        ring = Window.partitionBy("source_key", "shard").orderBy("place", *order, "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        placed = self._dealt(rows, goals).withColumn("end", F.sum("size").over(ring)).join(quotas, ["source_key", "shard"])
+        start = F.col("end") - F.col("size")
+        within = lambda k: F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - k * F.col("words") - start))
+        return placed.withColumn("taken", sum((within(k) for k in range(1, self.cap)), within(0)).cast("long"))
+
+
+def mix(documents: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """One row a document row: its size in words, its source's size and target, words taken, its shard.
+
+    taken is whole passes over the document plus the part of it that the last block covers. A source's
+    taken words are its target, rounded. Null and empty texts have size 0, nothing of them is taken and
+    they have no shard; a null source is a source of its own, last in order; null ids are ordinary rows;
+    repeated rows are drawn each for itself (those equal in id and text stand in one shard); an empty
+    table gives no rows.
+    """
+    rows = cut(how._rows(documents, F.col("doc_id")), "sized")
+    goals, quotas = how._plan(rows)
+    out = ("doc_id", "size", "source_size", "target", "taken", "shard")
+    none = rows.where("size = 0").join(goals, "source_key").withColumns({"taken": F.lit(0).cast("long"), "shard": F.lit(None).cast("long")})
+    return how._taken(rows, goals, quotas, "doc_id").select(*out).unionByName(none.select(*out))
 
-def mix(documents: DataFrame, weights: tuple[int, ...] = (3, 1, 2), share: float = 1.5, cap: float = 2.0, block: int = BLOCK, shard_docs: int = SHARD_DOCS, seed: int = 7) -> DataFrame:
-    """One row a document row: its size in words, its source's size and target, words taken.
 
-    taken is whole passes over the document plus the part of it that the last block covers.
-    Null texts have size 0; a null source is a source of its own, last in order; null ids are
-    ordinary rows; repeated rows are drawn each for itself; an empty table gives no rows.
-    """
-    key = F.when(F.col("source").isNull(), F.lit("n")).otherwise(F.concat(F.lit("b"), F.col("source")))
-    total = documents.count()
-    shards = max(1, math.ceil(total / shard_docs))
-    order = F.xxhash64(F.lit(seed), F.col("doc_id"), F.when(F.col("doc_id").isNull(), F.col("text")))
-    sized = cut(documents.select("doc_id", key.alias("source_key"), F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"), order.alias("place")).withColumn("shard", F.pmod(F.col("place"), F.lit(shards)).cast("long")), "sized")
-    cells = cut(sized.groupBy("source_key", "shard").agg(F.sum("size").alias("words")), "cells")
-    goals = cut(targets(cells.groupBy("source_key").agg(F.sum("words").alias("words")), weights, share, cap), "targets")
-
-    # Sources: the same divisor for all, found from few numbers; then shard groups, then shards.
-    seats = goals.select("source_key", F.round(F.col("target") / block).cast("long").alias("seats"))  # the divisor is the block
-    groups = cells.withColumn("group", F.floor(F.col("shard") / FAN)).groupBy("source_key", "group").agg(F.sum("words").alias("words"), F.sum(F.floor(F.lit(cap) * F.col("words") / block)).alias("cap"))
-    upper = _share(groups.join(seats, "source_key"), "", "group").withColumnRenamed("quota", "seats")
-    lower = cells.withColumn("group", F.floor(F.col("shard") / FAN)).withColumn("cap", F.floor(F.lit(cap) * F.col("words") / block)).join(upper, ["source_key", "group"])
-    quotas = cut(_share(lower, "group", "shard").join(cells, ["source_key", "shard"]).select("source_key", "shard", "words", (F.col("quota") * block).alias("quota")), "quotas")
-
-    ring = Window.partitionBy("source_key", "shard").orderBy("place", "doc_id", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    placed = sized.withColumn("end", F.sum("size").over(ring)).join(quotas, ["source_key", "shard"])
-    start = F.col("end") - F.col("size")
-    within = lambda shift: F.greatest(F.lit(0), F.least(F.col("size"), F.col("quota") - shift * F.col("words") - start))
-    taken = sum((within(k) for k in range(1, math.ceil(cap))), within(0))
-    return placed.withColumn("taken", taken.cast("long")).join(goals, "source_key").select("doc_id", "size", F.col("source_size").cast("long").alias("source_size"), "target", "taken", F.col("shard"))
-
-
-def realise(documents: DataFrame, mixed: DataFrame) -> DataFrame:
-    """The mix as documents: a row for each whole pass, and one cut row for a part that is taken.
-
-    A part keeps its words from the start, as they stand; copies keep the id.
+def realise(documents: DataFrame, how: Mix = Mix()) -> DataFrame:
+    """The mix as documents, all columns: a row for each whole pass, and one cut row for a part that is
+    taken. A part keeps its words from the start, as they stand; copies keep the id. Every row carries
+    its own share of the mix through the one exchange by shard, so null and repeated ids lose nothing.
     """
     cols = documents.columns
-    picked = mixed.where("taken > 0").groupBy("doc_id").agg(F.max("size").alias("__size"), F.max("taken").alias("__taken"))
-    both = documents.join(picked.withColumnRenamed("doc_id", "__id"), F.col("doc_id").eqNullSafe(F.col("__id")))
-    whole, rest = F.floor(F.col("__taken") / F.col("__size")), F.pmod(F.col("__taken"), F.col("__size")).cast("int")
-    lead = F.when(F.col("text").rlike(r"^[\x20\x09-\x0D]"), F.lit(1)).otherwise(F.lit(0))
-    after = F.element_at(F.split("text", r"[\x20\x09-\x0D]+", rest + lead + 1), -1)
-    full = both.withColumn("__k", F.explode(F.when(whole > 0, F.sequence(F.lit(1), whole)).otherwise(F.array().cast("array<bigint>"))))
-    part = both.where(rest > 0).withColumn("text", F.substring(F.col("text"), F.lit(1), F.length("text") - F.length(after)))
+    rows = how._rows(documents, F.struct(*(F.col(f"`{c}`") for c in cols)).alias("row"), F.col("doc_id"))
+    light = cut(how._rows(documents, F.col("doc_id")), "sized")
+    goals, quotas = how._plan(light)
+    picked = how._taken(rows, goals, quotas, "doc_id").where("taken > 0")
+    whole, rest = F.floor(F.col("taken") / F.col("size")).cast("int"), F.pmod(F.col("taken"), F.col("size")).cast("int")
+    each = picked.select("row", rest.alias("rest"), F.explode(F.concat(F.array_repeat(F.lit(False), whole), F.array_repeat(F.lit(True), F.signum(rest).cast("int")))).alias("cut"))
+    text, cut_ = F.col("row.text"), F.col("cut")
+    lead = F.when(text.rlike(f"^{SPACE}"), F.lit(1)).otherwise(F.lit(0))
+    after = F.element_at(F.split(text, f"{SPACE}+", F.col("rest") + lead + 1), -1)
+    part = F.col("row").withField("text", F.substring(text, F.lit(1), F.length(text) - F.length(after)))
+    each = each.withColumn("row", F.when(cut_, part).otherwise(F.col("row")))
     if "n_chars" in cols:
-        part = part.withColumn("n_chars", F.length("text").cast(documents.schema["n_chars"].dataType))
-    return full.select(cols).unionByName(part.select(cols))
+        chars = F.length("row.text").cast(documents.schema["n_chars"].dataType)
+        each = each.withColumn("row", F.when(cut_, F.col("row").withField("n_chars", chars)).otherwise(F.col("row")))
+    return each.select("row.*")
