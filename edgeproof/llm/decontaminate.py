@@ -7,7 +7,9 @@ short window, which is found with up to 3 edits. A window w of length m that occ
 document with at most k edits shares at least m + 1 - q (k + 1) q-grams with it, all within
 2k + 1 neighbouring diagonals. So documents' q-grams are looked up in the windows' q-grams, hits
 are counted in overlapping bands of diagonals, and bands that meet the bound are verified by a
-banded alignment. A cheap form of the same bound on runs of hits leaves most text untouched.
+banded alignment, many bands side by side. A cheap form of the same bound on runs of hits, for short
+and for long windows, leaves most text untouched. An item shorter than a gram is held by a text that
+is nothing else.
 """
 
 from __future__ import annotations
@@ -16,10 +18,11 @@ import math
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, mix64, raw_texts, scan, slices
+from .common import column, cut, mix64, raw_texts, scan, slices
 
 _BASE = 0x100000001B3
 
@@ -95,31 +98,46 @@ def grams(codes: np.ndarray, q: int) -> np.ndarray:
     return h
 
 
-def align(window: np.ndarray, text: np.ndarray, diagonal: int, band: int, most: int) -> tuple[int, int, int] | None:
-    """Least edits of window against any part of text whose path stays within the band around the
-    diagonal, if at most most: (edits, start, end), else None. Row by row over the band."""
-    m, width = len(window), 2 * band + 1
-    big = 10**6
-    offs = np.arange(width)
-    cols = diagonal - band + offs  # text position before which row 0 stands
-    row = np.where((cols >= 0) & (cols <= len(text)), 0, big)
-    start = cols.copy()
+def align_all(patterns: np.ndarray, codes: np.ndarray, base: np.ndarray, end: np.ndarray, diagonal: np.ndarray, band: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Least edits of each pattern (a row) against any part of codes[base:end] whose path stays within
+    the band around its diagonal: edits (over most if there is none), start, end. All pairs go row by
+    row over the band together; those that can't stay within most leave."""
+    n, m = patterns.shape
+    big, offs = np.int32(10**6), np.arange(2 * band + 1, dtype=np.int32)
+    edits, first, last = np.full(n, most + 1, np.int64), np.zeros(n, np.int64), np.zeros(n, np.int64)
+    who, shift = np.arange(n), (diagonal - band)[:, None]
+    lo, hi = (base - diagonal + band)[:, None], (end - diagonal + band)[:, None]  # of the text, from column 0 of row 0 on
+    row = np.where((offs >= lo) & (offs <= hi), 0, big).astype(np.int32)
+    start = np.broadcast_to(offs, row.shape)
     for i in range(m):
-        at = cols + i
-        inside = (at >= 0) & (at < len(text))
-        same = np.zeros(width, bool)
-        same[inside] = text[at[inside]] == window[i]
+        at = offs + np.int32(i)
+        inside = (at >= lo) & (at < hi)
+        same = codes[np.where(inside, at + shift, 0)] == patterns[who, i][:, None]
         diag = np.where(inside, row + ~same, big)
-        up = np.append(row[1:] + 1, big)
-        best, s = np.where(diag <= up, diag, up), np.where(diag <= up, start, np.append(start[1:], 0))
-        run = best - offs
-        low = np.minimum.accumulate(run)
-        src = np.maximum.accumulate(np.where(run == low, offs, 0))
-        row, start = low + offs, s[src]
-        if row.min() > most:
-            return None
-    j = int(row.argmin())
-    return (int(row[j]), int(start[j]), int(cols[j] + m)) if row[j] <= most else None
+        up = np.append(row[:, 1:] + 1, np.full((len(row), 1), big), axis=1)
+        take = diag <= up
+        best = np.where(take, diag, up) - offs
+        low = np.minimum.accumulate(best, axis=1)
+        src = np.maximum.accumulate(np.where(best == low, offs, 0), axis=1)
+        start = np.take_along_axis(np.where(take, start, np.append(start[:, 1:], np.zeros((len(row), 1), np.int32), axis=1)), src, 1)
+        row = low + offs
+        if i % 8 == 7 or i == m - 1:
+            ok = row.min(axis=1) <= most
+            if not ok.all():
+                row, start, who, shift, lo, hi = (x[ok] for x in (row, start, who, shift, lo, hi))
+            if not len(who):
+                return edits, first, last
+    j = row.argmin(axis=1)
+    rows = np.arange(len(who))
+    edits[who], first[who], last[who] = row[rows, j], start[rows, j] + shift[:, 0], j + shift[:, 0] + m
+    return edits, first, last
+
+
+def align(window: np.ndarray, text: np.ndarray, diagonal: int, band: int, most: int) -> tuple[int, int, int] | None:
+    """One window against one text: (edits, start, end), or None if it takes more than most edits."""
+    one = lambda x: np.array([x], np.int64)
+    k, a, b = (int(x[0]) for x in align_all(window[None, :], text, one(0), one(len(text)), one(diagonal), band, most))
+    return (k, a, b) if k <= most else None
 
 
 class Windows:
@@ -127,6 +145,7 @@ class Windows:
 
     def __init__(self, items: list[tuple[int, str]], budget: Budget):
         self.budget, self.item, self.codes, self.start = budget, [], [], []
+        self.tiny: dict[bytes, list] = {}
         for item, text in items:
             codes, _, _ = normalise([text])
             codes = codes[:-1]
@@ -134,6 +153,8 @@ class Windows:
                 codes = codes[:-1]
             m = len(codes)
             if m < budget.q:
+                if m:
+                    self.tiny.setdefault(codes.tobytes(), []).append(item)
                 continue
             spans = set()
             for w, step in ((min(m, budget.window), budget.step), (min(m, budget.short), budget.short_step)):
@@ -154,114 +175,177 @@ class Windows:
         self.bits = max(16, min(27, int(math.log2(len(flat) + 1)) + 6))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(flat >> np.uint64(64 - self.bits)).astype(np.int64)] = True
-        self.least = int(self.bound.min()) if len(self.bound) else 1
         self.reach = int((size + self.edits).max(initial=1))
+        # Short and long windows apart: how far a window's grams lie apart, how many of them there are.
+        kinds = [size <= budget.short, size > budget.short]
+        self.runs = [(int((size + self.edits)[k].max()), int(self.bound[k].min())) for k in kinds if k.any()]
 
     def matches(self, codes: np.ndarray, starts: np.ndarray) -> list[tuple[int, int, int, int, int]]:
         """(text, window, edits, start, end) for each window found in the normalised texts."""
-        q = self.budget.q
         if not len(self.gram):
             return []
-        h = grams(codes, q)
+        h = grams(codes, self.budget.q)
         maybe = np.flatnonzero(self.filter[(h >> np.uint64(64 - self.bits)).astype(np.int64)] & (h != 0))
-        # A window's grams lie within reach: places with too few possible hits around them go.
-        run = np.searchsorted(maybe, maybe + self.reach) - np.searchsorted(maybe, maybe)
-        dense = np.zeros(len(maybe) + 1, np.int64)
-        good = np.flatnonzero(run >= self.least)
-        np.add.at(dense, good, 1)
-        np.add.at(dense, good + run[good], -1)
-        maybe = maybe[np.cumsum(dense)[:-1] > 0]
+        # A window's grams lie within reach: places with too few possible hits around them go, then
+        # once more with what are hits indeed.
+        maybe = self._dense(maybe)
         lo = np.searchsorted(self.gram, h[maybe], "left")
         n = np.searchsorted(self.gram, h[maybe], "right") - lo
+        real = n > 0
+        maybe, lo, n = maybe[real], lo[real], n[real]
+        stay = np.isin(maybe, self._dense(maybe), assume_unique=True)
+        maybe, lo, n = maybe[stay], lo[stay], n[stay]
         found: dict = {}
-        for a, b in slices(n.tolist(), 4_000_000):
+        for a, b in slices(n.tolist(), 2_000_000):
             # What begins in a slice ends within reach of its last place: slices overlap by that much.
             b = int(np.searchsorted(maybe, maybe[b - 1] + self.reach, "right"))
             for t, w, *hit in self._bands(codes, starts, maybe[a:b], lo[a:b], n[a:b]):
                 found[t, w] = min(found.get((t, w), hit), hit)
         return [(t, w, *hit) for (t, w), hit in found.items()]
 
+    def _dense(self, places: np.ndarray) -> np.ndarray:
+        """Places with as many others within reach as some window demands."""
+        marks = np.zeros(len(places) + 1, np.int64)
+        for reach, least in self.runs:
+            run = np.searchsorted(places, places + reach) - np.arange(len(places))
+            good = np.flatnonzero(run >= least)
+            marks += np.bincount(good, minlength=len(marks)) - np.bincount(good + run[good], minlength=len(marks))
+        return places[np.cumsum(marks)[:-1] > 0]
+
     def _bands(self, codes, starts, place, lo, n):
         hit = np.repeat(place, n)
         index = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         win, diag = self.window[index], hit - self.offset[index]
         width = 2 * self.edits[win] + 1  # a path with k edits stays within this many diagonals
-        got = []
+        parts = []
         for half in (0, 1):  # overlapping bands: every path of so many diagonals lies in one of them
-            code = win * np.int64(1 << 34) + (diag + half * width) // (2 * width) + (1 << 20)
+            band = (diag + half * width) // (2 * width)
+            code = win * np.int64(1 << 34) + band + (1 << 20)
             # A small table of counts, which may only count too much, leaves few hits to sort.
             slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
             maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= self.bound[win])
             order = maybe[np.argsort(code[maybe], kind="stable")]
-            u, first, c = np.unique(code[order], return_index=True, return_counts=True)
+            _, first, c = np.unique(code[order], return_index=True, return_counts=True)
             ok = c >= self.bound[win[order[first]]]
-            for f, k in zip(first[ok].tolist(), c[ok].tolist(), strict=True):
-                rows = order[f : f + k]
-                got.append((int(win[rows[0]]), int(np.median(diag[rows])), int(hit[rows[0]])))
-        out = {}
-        for w, d, at in sorted(set(got)):
-            text = int(np.searchsorted(starts, at, "right") - 1)
-            pattern, k = self.codes[w], int(self.edits[w])
-            end = int(starts[text + 1]) - 1 if text + 1 < len(starts) else len(codes) - 1
-            base = int(starts[text])
-            if d >= base and d + len(pattern) <= end and (codes[d : d + len(pattern)] == pattern).all():
-                hit = (0, d, d + len(pattern))
-            else:
-                hit = align(pattern, codes[base:end], d - base, 3 * k + 1, k)
-                hit = hit and (hit[0], hit[1] + base, hit[2] + base)
-            if hit and ((text, w) not in out or hit < out[text, w]):
-                out[text, w] = hit
+            first, mid = order[first[ok]], order[(first + c // 2)[ok]]
+            w = win[first]
+            # A window, the text, the middle hit's diagonal and the middle of the band.
+            parts.append(np.stack([w, np.searchsorted(starts, hit[first], "right") - 1, diag[mid], (2 * band[first] - half + 1) * width[first]], axis=1))
+        todo = np.unique(np.concatenate(parts), axis=0)
+        size = np.array([len(c) for c in self.codes], dtype=np.int64)[todo[:, 0]]
+        got = []
+        for m, k in sorted(set(zip(size.tolist(), self.edits[todo[:, 0]].tolist(), strict=True))):
+            w, text, exact, middle = todo[(size == m) & (self.edits[todo[:, 0]] == k)].T
+            patterns = np.stack([self.codes[x] for x in w.tolist()])
+            base, end = starts[text], np.append(starts[1:], len(codes))[text] - 1
+            inside = (exact >= base) & (exact + m <= end)
+            equal = np.zeros(len(w), bool)
+            equal[inside] = (codes[exact[inside, None] + np.arange(m)] == patterns[inside]).all(1)
+            got += [(t, x, 0, d, d + m) for t, x, d in zip(text[equal].tolist(), w[equal].tolist(), exact[equal].tolist(), strict=True)]
+            rest = np.flatnonzero(~equal)
+            for at in range(0, len(rest), 4096):
+                r = rest[at : at + 4096]
+                edits, a, b = align_all(patterns[r], codes, base[r], end[r], middle[r], 2 * k + 1, k)
+                ok = edits <= k
+                got += zip(text[r][ok].tolist(), w[r][ok].tolist(), edits[ok].tolist(), a[ok].tolist(), b[ok].tolist(), strict=True)
+        out: dict = {}
+        for t, w, *hit in got:
+            if (t, w) not in out or hit < out[t, w]:
+                out[t, w] = hit
         return [(t, w, *x) for (t, w), x in out.items()]
 
+    def leaks(self, texts: list[str]) -> list[tuple[int, object, int, int, int, int]]:
+        """(text, item, windows, edits, start, end) for each text and each item that it holds."""
+        codes, place, starts = normalise(texts)
+        by: dict = {}
+        for text, win, edits, s, e in self.matches(codes, starts):
+            by.setdefault((text, self.item[win]), []).append((edits, int(place[s]), int(place[max(s, e - 1)]) + 1))
+        if self.tiny:
+            ends = np.append(starts[1:], len(codes)) - 1
+            for text in np.flatnonzero(ends - starts <= self.budget.q + 1).tolist():
+                a, b = int(starts[text]), int(ends[text])
+                a, b = a + int(b > a and codes[a] == 32), b - int(b > a and codes[b - 1] == 32)
+                for item in self.tiny.get(codes[a:b].tobytes(), ()) if b > a else ():
+                    by.setdefault((text, item), []).append((0, int(place[a]), int(place[b - 1]) + 1))
+        return [(t, item, len(x), min(y[0] for y in x), min(y[1] for y in x), max(y[2] for y in x)) for (t, item), x in sorted(by.items(), key=lambda y: (y[0][0], str(y[0][1])))]
+
+
+def _blocks(benchmark: DataFrame, budget: Budget):
+    """The benchmark's items in blocks of about block_chars, sent to the tasks one at a time: a block
+    reaches the driver when it is asked for, and the one before is let go. All texts of an item are in
+    one block, so a document and an item meet in one pass. Yields the block and whether it is the only one."""
+    spark = benchmark.sparkSession
+    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
+    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
+    blocks = max(1, math.ceil(total / budget.block_chars))
+    for b in range(blocks):
+        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])  # about block_chars
+        yield sent, blocks == 1
+        if blocks > 1:
+            sent.destroy()
+
 
 def find_leaks(documents: DataFrame, benchmark: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """One row for each document and item it holds a window of: doc_id, item_id, n_windows (found),
+    """One row for each document row and item it holds a window of: doc_id, item_id, n_windows (found),
     edits (the least), start and end (code points of the text, around all that was found).
 
-    Null texts hold nothing; items that are null or shorter than a gram can't be found; null ids
-    are kept as they are; repeated rows give a row each time; an empty table on either side gives
-    no rows. A benchmark larger than block_chars is looked for in blocks, a pass each.
+    Null texts hold nothing, null items and those without a letter or digit are held by none; an item
+    shorter than a gram is held by texts that normalise to it; null ids are kept as they are; repeated
+    rows give a row each time; texts of one item id are one item; an empty table on either side gives
+    no rows. A benchmark larger than block_chars is looked for in blocks, a pass each, whose rows are
+    written before the next one is read.
     """
-    spark = documents.sparkSession
-    items = benchmark.where("text is not null").select(F.col("item_id").cast("long").alias("item_id"), "text")
-    total = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = max(1, math.ceil(total / budget.block_chars))
+    schema = "doc_id long, item_id long, n_windows int, edits int, start int, end int"
     out = None
-    for b in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b)
-        sent = spark.sparkContext.broadcast([(r["item_id"], r["text"]) for r in part.orderBy("item_id", "text").collect()])  # at most about block_chars
-        found = scan(documents.select("doc_id", "text"), _finder(sent, budget), "doc_id long, item_id long, n_windows int, edits int, start int, end int")
+    for sent, only in _blocks(benchmark, budget):
+        found = scan(documents.select("doc_id", "text"), _finder(sent, budget), schema)
+        found = found if only else cut(found, "leaks")
         out = found if out is None else out.unionByName(found)
     return out
 
 
+def _windows(state: dict, sent, budget: Budget) -> Windows:
+    if "w" not in state:
+        state["w"] = Windows(sent.value, budget)
+    return state["w"]
+
+
 def _finder(sent, budget: Budget):
     state: dict = {}
 
     def run(batch):
-        if "w" not in state:
-            state["w"] = Windows(sent.value, budget)
-        w: Windows = state["w"]
+        w = _windows(state, sent, budget)
         ids = column(batch, "doc_id").to_pylist()
         texts = [t.decode("utf-8", "replace") for t in raw_texts(batch)]
         for a, b in slices([len(t) for t in texts], 2_000_000):
-            codes, place, starts = normalise(texts[a:b])
-            by: dict = {}
-            for text, win, edits, s, e in w.matches(codes, starts):
-                by.setdefault((text, w.item[win]), []).append((edits, int(place[s]), int(place[max(s, e - 1)]) + 1))
-            rows = [(ids[a + t], item, len(x), min(y[0] for y in x), min(y[1] for y in x), max(y[2] for y in x)) for (t, item), x in sorted(by.items(), key=lambda y: (y[0][0], str(y[0][1])))]
+            rows = [(ids[a + t], *x) for t, *x in w.leaks(texts[a:b])]
             if rows:
                 yield dict(zip(("doc_id", "item_id", "n_windows", "edits", "start", "end"), zip(*rows, strict=True), strict=True))
 
     return run
 
 
+def _cleaner(sent, budget: Budget, at: int):
+    state: dict = {}
+
+    def run(batches):
+        for batch in batches:
+            w = _windows(state, sent, budget)
+            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(at).cast(pa.binary()).to_pylist()]
+            for a, b in slices([len(t) for t in texts], 2_000_000):
+                clean = np.ones(b - a, bool)
+                clean[[t for t, *_ in w.leaks(texts[a:b])]] = False
+                yield batch.slice(a, b - a).filter(pa.array(clean))
+
+    return run
+
+
 def decontaminate(documents: DataFrame, benchmark: DataFrame, budget: Budget = Budget()) -> DataFrame:
-    """The documents that hold no part of the benchmark. Rows with a null id are looked at by their
-    text alone, and go with every null-id row that has the same text."""
-    key = F.xxhash64(F.coalesce("text", F.lit("")))
-    named = find_leaks(documents.where("doc_id is not null"), benchmark, budget).select("doc_id").distinct()
-    kept = documents.where("doc_id is not null").join(named, "doc_id", "left_anti")
-    nameless = documents.where("doc_id is null").withColumn("__key", key)
-    leaks = find_leaks(nameless.select(F.col("__key").alias("doc_id"), "text"), benchmark, budget).select(F.col("doc_id").alias("__key")).distinct()
-    return kept.unionByName(nameless.join(leaks, "__key", "left_anti").drop("__key"))
+    """The document rows that hold no part of the benchmark, all columns. Each row is judged by its own
+    text and nothing is shuffled; with several blocks, what one leaves is written for the next."""
+    at = documents.columns.index("text")
+    for sent, only in _blocks(benchmark, budget):
+        documents = documents.mapInArrow(_cleaner(sent, budget, at), documents.schema)
+        documents = documents if only else cut(documents, "decontaminated")
+    return documents

@@ -46,3 +46,44 @@ def test_parts_of_items():
         for passage in (part, edited(rng, part, 21)):
             codes, _, starts = normalise([f"{lead} q{passage}q {tail}"])
             assert index.matches(codes, starts), (s, passage)
+
+
+def test_hits_of_every_slice_by_brute_force():
+    """Every window of every item against every text, aligned without any filter."""
+    rng = random.Random(13)
+    items = [(i, words(rng, n)) for i, n in enumerate((6, 12, 25, 40))]
+    index = Windows(items, Budget())
+    texts = [words(rng, 25) for _ in range(12)]
+    for k, t in enumerate(texts[:8]):
+        i = k % 4
+        texts[k] = f"{t} {edited(rng, items[i][1], (9, 14, 20, 500)[k // 2 % 4])} {t[::-1]}"
+    codes, _, starts = normalise(texts)
+    ends = np.append(starts[1:], len(codes)) - 1
+    want = set()
+    for t, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        for w, pattern in enumerate(index.codes):
+            row = np.zeros(b - a + 1, int)
+            for i, c in enumerate(pattern, 1):  # least edits against any part
+                diag = row[:-1] + (codes[a:b] != c)
+                new = np.minimum(np.append(i, diag), row + 1)
+                row = np.minimum.accumulate(new - np.arange(len(new))) + np.arange(len(new))
+            if row.min() <= index.edits[w]:
+                want.add((t, w, int(row.min())))
+    assert {x[:3] for x in index.matches(codes, starts)} == want and len(want) > 10
+
+
+def test_tiny_items():
+    index = Windows([(1, "Yes!"), (2, "42"), (3, "?!")], Budget())
+    assert [x[:2] for x in index.leaks([" yes ", "yes and no", "42.", "", "?!", "YES", "421"])] == [(0, 1), (2, 2), (5, 1)]
+
+
+def test_one_item_of_two_texts_over_blocks(spark, documents):
+    """An item's texts are found as one item, however many blocks the benchmark takes."""
+    rng = random.Random(14)
+    a, b, c = (words(rng, 30) for _ in range(3))
+    bench = spark.createDataFrame([(1, a), (1, b), (2, c), (3, "yes")], "item_id long, text string")
+    docs = documents([(7, f"{a} and {b}", "s"), (7, c, "s"), (8, words(rng, 50), "s"), (9, "Yes.", "s")]).withColumnRenamed("rank", "__key")
+    for budget in (Budget(), Budget(block_chars=100)):
+        got = sorted((r["doc_id"], r["item_id"]) for r in decontaminate.find_leaks(docs, bench, budget).collect())
+        assert got == [(7, 1), (7, 2), (9, 3)]
+        assert [r["doc_id"] for r in decontaminate.decontaminate(docs, bench, budget).collect()] == [8]
