@@ -1,15 +1,18 @@
 """N-gram Jaccard join by a MinHash LSH forest, with exact verification.
 
 1. Documents with the same set of word shingles form a class; only one of each class goes on.
-2. Every class has one label in each prefix trie: a run of minhash values. Matching starts at the
-   full depth of the tries and drops values from the end until a pair at the threshold is found
-   with the target recall; classes that share such a prefix in some trie stand in one bucket.
-3. A sketch (the low bytes of all minhash values) links the members of a bucket that can be
-   similar. The links' components are candidate groups.
-4. Within a group, block by block, all pairs are verified by their exact Jaccard similarity. Only
-   counts and one link a member to its leader leave a block, never the pairs.
-
-Large buckets and groups are cut into blocks, and a task works on a pair of blocks: nothing is
+2. The forest has a number of prefix tries. In each one a class stands at the path of its minhash
+   values. At the floor, the longest prefix that a pair at the threshold shares in some trie with the
+   target recall, the tries are cut into subtries; a subtrie's paths are sorted, and the longest common
+   prefixes of neighbours make its levels. Matching starts at the full depth and shortens prefixes a
+   value at a time: members of one run whose sketches (all minhash values) can be similar are linked.
+   A run stops where its members are all linked, as no shorter prefix of theirs can add anything, or at
+   the floor, where the recall is reached.
+3. The links' components are candidate groups. Within a group, block by block, all pairs are verified
+   by their exact Jaccard similarity. Only counts and one link a member to its leader leave a block,
+   never the pairs.
+
+Large subtries and groups are cut into blocks, and a task works on a pair of blocks: nothing is
 capped, and a task's memory is bounded. The work in a group of near copies is quadratic in its
 distinct texts, which an exact number of links needs.
 """
@@ -25,10 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, mix64, raw_texts, scan, slices, token_batch
+from .common import WORD, column, cut, mix64, raw_texts, scan, slices, token_batch
 from .components import components
 
-#: Sketch bytes that may differ less often than this at the threshold (deviations), block sizes.
+#: How many deviations less often than the mean sketch values may agree at the threshold; block sizes.
 SIGMAS, BUCKET_BLOCK, GROUP_BLOCK = 5.5, 2048, 512
 
 
@@ -39,19 +42,20 @@ class Forest:
     width: int = 5
     similarity: float = 0.8
     tries: int = 20
-    depth: int = 5
+    depth: int = 6
     recall: float = 0.9999
     seed: int = 11
 
-    def matched_depth(self) -> int:
-        """The longest prefix, from the full depth down, that reaches the recall."""
+    def floor(self) -> int:
+        """The longest prefix, from the full depth down, that pairs at the threshold share in some trie
+        with the recall wanted: where shortening ends."""
         d = self.depth
         while d > 1 and 1 - (1 - self.similarity**d) ** self.tries < self.recall:
             d -= 1
         return d
 
     def least_alike(self) -> int:
-        """Equal sketch bytes that a pair at the threshold has, save for SIGMAS deviations."""
+        """Equal sketch values that a pair at the threshold has, save for SIGMAS deviations."""
         k, s = self.tries * self.depth, self.similarity
         return max(1, math.floor(k * s - SIGMAS * math.sqrt(k * s * (1 - s))))
 
@@ -83,7 +87,7 @@ def _signatures(forest: Forest):
     rng = np.random.default_rng(forest.seed)
     k = forest.tries * forest.depth
     mul, add = rng.integers(1, 1 << 63, k, dtype=np.uint64) | np.uint64(1), rng.integers(0, 1 << 63, k, dtype=np.uint64)
-    used = forest.matched_depth()
+    used = forest.floor()
 
     def run(batch):
         ids, place, texts = column(batch, "doc_id"), column(batch, "place"), raw_texts(batch)
@@ -108,7 +112,7 @@ def _signatures(forest: Forest):
                 "doc_id": ids.slice(a, b - a), "place": place.slice(a, b - a), "n_shingles": sizes,
                 "d1": one.view(np.int64), "d2": two.view(np.int64),
                 "labels": pa.ListArray.from_arrays(pa.array(offs), pa.array(labels.ravel().view(np.int64))),
-                "sketch": [x.tobytes() for x in (m & 255).astype(np.uint8)],
+                "sketch": [x.tobytes() for x in (m & 0xFFFF).astype("<u2")],
             }
 
     return run
@@ -125,55 +129,72 @@ def _blocks(df: DataFrame, key: str, member: str, size: int) -> DataFrame:
     return df.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), m - 1))).withColumn("bi", F.least("own", "other")).withColumn("bj", F.greatest("own", "other")).drop("other", "n")
 
 
-def _link(sketches: np.ndarray, least: int) -> np.ndarray:
-    """For each row, the first row of its component by pairs with at least so many equal bytes."""
-    lead = np.full(len(sketches), -1)
-    rest = np.arange(len(sketches))
+def _merge(group: np.ndarray, sketch: np.ndarray, rows: np.ndarray, least: int) -> None:
+    """Join the groups of a run's rows by pairs with at least so many equal values, in place."""
+    rest = rows
     while len(rest):
-        seed, rest = rest[0], rest[1:]
-        lead[seed], queue = seed, [seed]
+        own = group[rest] == group[rest[0]]
+        name, queue, rest = group[rest[0]], rest[own].tolist(), rest[~own]
         while queue and len(rest):
-            near = (sketches[rest] == sketches[queue.pop()]).sum(1) >= least
-            lead[rest[near]] = seed
-            queue += rest[near].tolist()
-            rest = rest[~near]
-    return lead
+            near = (sketch[rest] == sketch[queue.pop()]).sum(1) >= least
+            if near.any():
+                more = np.isin(group[rest], group[rest[near]])
+                queue += rest[more].tolist()
+                group[rest[more]] = name
+                rest = rest[~more]
+
+
+def forest_links(paths: np.ndarray, sketch: np.ndarray, floor: int, least: int) -> np.ndarray:
+    """For each row of a subtrie, a row that names its group. paths: the values below the floor."""
+    order = np.lexsort(paths.T[::-1]) if paths.shape[1] else np.arange(len(paths))
+    paths = paths[order]
+    common = floor + np.cumprod(paths[1:] == paths[:-1], axis=1).sum(1)
+    group, sketch = np.arange(len(order)), sketch[order]
+    for depth in range(floor + paths.shape[1], floor - 1, -1):
+        cuts = np.flatnonzero(common < depth) + 1
+        for rows in np.split(np.arange(len(order)), cuts):
+            if len(rows) > 1 and (group[rows] != group[rows[0]]).any():  # else a shorter prefix adds nothing
+                _merge(group, sketch, rows, least)
+    out = np.empty(len(order), np.int64)
+    out[order] = order[group]
+    return out
 
 
 def candidate_edges(classes: DataFrame, forest: Forest) -> DataFrame:
-    """classes(rep, labels, sketch) -> edges a, b between classes that can be similar."""
-    rows = classes.select("rep", "sketch", F.posexplode("labels").alias("trie", "label"))
+    """classes(node, labels, sketch) -> edges a, b between classes that can be similar. Only classes
+    that share a subtrie with another one send their sketch."""
+    rows = classes.select("node", F.posexplode("labels").alias("trie", "label"))
     counts = rows.groupBy("trie", "label").agg(F.count("*").alias("n")).where("n > 1")
-    dealt = _blocks(rows.join(counts, ["trie", "label"]), "label", "rep", BUCKET_BLOCK)
-    least = forest.least_alike()
-    bins = max(1, math.ceil(dealt.sparkSession._jsc.sc().defaultParallelism() * 8))
+    shared = rows.join(counts, ["trie", "label"])
+    dealt = _blocks(shared, "label", "node", BUCKET_BLOCK).join(classes.select("node", "sketch"), "node")
+    least, floor, depth, tries = forest.least_alike(), forest.floor(), forest.depth, forest.tries
+    keys = ["trie", "label", "bi", "bj"]
+    bins = max(dealt.sparkSession._jsc.sc().defaultParallelism() * 8, classes.count() // 500)
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["trie", "label", "bi", "bj", "rep"], ignore_index=True)
-        reps, sketch = pdf["rep"].to_numpy(), np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), -1)
-        new = (pdf[["trie", "label", "bi", "bj"]].to_numpy()[1:] != pdf[["trie", "label", "bi", "bj"]].to_numpy()[:-1]).any(1)
-        a, b, seen = [], [], set()
-        for s, e in zip(starts := np.concatenate([[0], np.flatnonzero(new) + 1]), np.append(starts[1:], len(pdf)), strict=True):
-            if e - s > 1:
-                key = reps[s:e].tobytes()
-                if key not in seen:  # the same members in another trie
-                    seen.add(key)
-                    lead = _link(sketch[s:e], least)
-                    a.append(reps[s:e])
-                    b.append(reps[s:e][lead])
-        a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
+        pdf = pdf.sort_values([*keys, "node"], ignore_index=True)
+        nodes, sketch = pdf["node"].to_numpy(), np.frombuffer(b"".join(pdf["sketch"]), "<u2").reshape(len(pdf), tries * depth)
+        trie = pdf["trie"].to_numpy()
+        new = (pdf[keys].to_numpy()[1:] != pdf[keys].to_numpy()[:-1]).any(1)
+        starts = np.concatenate([[0], np.flatnonzero(new) + 1])
+        size = np.diff(np.append(starts, len(pdf)))
+        two = starts[size == 2]  # most subtries: a pair
+        two = two[(sketch[two] == sketch[two + 1]).sum(1) >= least] if len(two) else two
+        a, b = [nodes[two + 1]], [nodes[two]]
+        for s, n in zip(starts[size > 2].tolist(), size[size > 2].tolist(), strict=True):
+            rows = slice(s, s + n)
+            first = trie[s] * depth
+            lead = forest_links(sketch[rows, first + floor : first + depth], sketch[rows], floor, least)
+            a.append(nodes[rows])
+            b.append(nodes[rows][lead])
+        a, b = np.concatenate(a), np.concatenate(b)
         return pd.DataFrame({"a": a[a != b], "b": b[a != b]}).drop_duplicates()
 
-    # Few rows share a label, so whole labels go to a bin; a large bucket's block pairs are apart.
-    deal = dealt.withColumn("bin", F.pmod(F.xxhash64("trie", "label", "bi", "bj"), F.lit(_bins(classes, bins))))
+    # Few rows share a label, so whole labels go to a bin; a large subtrie's block pairs are apart.
+    deal = dealt.withColumn("bin", F.pmod(F.xxhash64(*keys), F.lit(bins)))
     return deal.groupBy("bin").applyInPandas(group, "a long, b long").distinct()
 
 
-def _bins(classes: DataFrame, least: int) -> int:
-    """Bins of about 2,000 classes' rows each, so a bin stays bounded at any input size."""
-    return max(least, classes.count() // 500)
-
-
 def jaccard_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairwise intersections, from a bit matrix of the shared shingles only."""
     n = len(sets)
@@ -194,37 +215,60 @@ def jaccard_counts(sets: list[np.ndarray]) -> np.ndarray:
 
 
 def verify_links(members: DataFrame, forest: Forest, bins: int) -> DataFrame:
-    """members(comp, rep, copies, text, n) -> rep, links, n_texts, leader.
+    """members(comp, node, copies, text, n) -> node, links, leader.
 
-    links counts the documents, n_texts the classes linked to rep in one block pair; leader is the
-    least class that links lead to within it.
+    links counts the documents linked to node in one block pair; leader is the least class that links
+    lead to within it.
     """
     s, width = forest.similarity, forest.width
 
     def group(pdf: pd.DataFrame) -> pd.DataFrame:
         out = []
         for _, g in pdf.groupby(["comp", "bi", "bj"], sort=False):
-            g = g.drop_duplicates("rep").sort_values("rep")
-            reps, copies, own = g["rep"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
+            g = g.drop_duplicates("node").sort_values("node")
+            nodes, copies, own = g["node"].to_numpy(), g["copies"].to_numpy(), g["own"].to_numpy()
             sets = shingle_sets([t.encode("utf-8", "replace") for t in g["text"].fillna("")], width)
             size = np.array([len(x) for x in sets], dtype=np.float64)
             linked = jaccard_counts(sets) >= s / (1 + s) * (size[:, None] + size[None, :]) - 1e-6
             np.fill_diagonal(linked, False)
             if g["bi"].iloc[0] != g["bj"].iloc[0]:
                 linked &= own[:, None] != own[None, :]  # pairs of one block are counted in its own pair
-            lead = np.arange(len(reps))
+            lead = np.arange(len(nodes))
             while True:  # least label over links
-                new = np.minimum(lead, np.where(linked, lead[None, :], len(reps)).min(1))
+                new = np.minimum(lead, np.where(linked, lead[None, :], len(nodes)).min(1))
                 new = new[new]
                 if (new == lead).all():
                     break
                 lead = new
-            out.append(pd.DataFrame({"rep": reps, "links": linked @ copies, "n_texts": linked.sum(1), "leader": reps[lead]}))
-        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("rep", "links", "n_texts", "leader")})
+            out.append(pd.DataFrame({"node": nodes, "links": linked @ copies, "leader": nodes[lead]}))
+        return pd.concat(out) if out else pd.DataFrame({c: pd.Series(dtype="int64") for c in ("node", "links", "leader")})
 
-    dealt = _blocks(members, "comp", "rep", GROUP_BLOCK)
+    dealt = _blocks(members, "comp", "node", GROUP_BLOCK)
     dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("comp", "bi", "bj"), F.lit(bins)))
-    return dealt.groupBy("bin").applyInPandas(group, "rep long, links long, n_texts long, leader long")
+    return dealt.groupBy("bin").applyInPandas(group, "node long, links long, leader long")
+
+
+def _joined(documents: DataFrame, forest: Forest) -> DataFrame:
+    """Every row with an id: doc_id, place (its text's hash), n_shingles, and its class: rep (its least
+    id), copies, links, comp (the group of classes that links make) and least (the group's least id)."""
+    base = documents.select("doc_id", "text", F.xxhash64(F.coalesce("text", F.lit(""))).alias("place"))
+    signed = cut(scan(base, _signatures(forest), "doc_id long, place long, n_shingles long, d1 long, d2 long, labels array<bigint>, sketch binary").where("doc_id is not null"), "signatures")
+    classes = signed.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
+    # A class has a number of its own, as rows of one id may be in several; it stays as it is written.
+    classes = cut(classes.select("d1", "d2", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place"), "copies", "labels", "sketch", F.monotonically_increasing_id().alias("node")), "classes")
+    groups = cut(components(candidate_edges(classes, forest)), "groups")
+    sizes = groups.groupBy("comp").agg(F.count("*").alias("n"))
+    chosen = groups.join(sizes, "comp").join(classes.select("node", "rep", "place", "copies"), "node")
+    texts = base.withColumnRenamed("doc_id", "rep").join(chosen, ["rep", "place"])
+    bins = max(documents.sparkSession._jsc.sc().defaultParallelism() * 4, groups.count() // 128)
+    checked = cut(verify_links(texts.select("comp", "node", "copies", "text", "n"), forest, bins), "checked")
+    links = checked.groupBy("node").agg(F.sum("links").alias("links"))
+    final = cut(components(checked.select(F.col("node").alias("a"), F.col("leader").alias("b"))).join(classes.select("node", "rep"), "node"), "final")
+    least = final.groupBy("comp").agg(F.min("rep").alias("least"))
+    final = final.select("node", "comp").join(least, "comp")
+    found = classes.select("d1", "d2", "rep", "copies", "node").join(links, "node", "left").join(final, "node", "left")
+    found = found.select("d1", "d2", "rep", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.coalesce("comp", "node").alias("comp"), F.coalesce("least", "rep").alias("least"))
+    return signed.select("doc_id", "place", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
 
 
 def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
@@ -235,38 +279,26 @@ def near_duplicates(documents: DataFrame, forest: Forest = Forest()) -> DataFram
     similarity is at the threshold or above, copies included, n_copies the class's size. Texts of
     fewer words than a shingle are one shingle; null and empty texts have none: they are alone
     (class_id is the id, n_links 0). Rows with a null id are kept, with null class and no links.
-    Repeated rows are copies of each other.
+    Repeated rows are copies of each other; rows of one id and different texts are judged by their texts.
     """
-    place = F.xxhash64(F.coalesce("text", F.lit("")))
-    base = documents.select("doc_id", "text", place.alias("place"))
-    signed = cut(scan(base, _signatures(forest), "doc_id long, place long, n_shingles long, d1 long, d2 long, labels array<bigint>, sketch binary"), "signatures")
-    usable = signed.where("n_shingles > 0 and doc_id is not null")
-    classes = usable.groupBy("d1", "d2").agg(F.min(F.struct("doc_id", "place")).alias("first"), F.count("*").alias("copies"), F.first("labels").alias("labels"), F.first("sketch").alias("sketch"))
-    classes = cut(classes.select("d1", "d2", F.col("first.doc_id").alias("rep"), F.col("first.place").alias("place"), "copies", "labels", "sketch"), "classes")
-    groups = cut(components(candidate_edges(classes, forest)), "groups")
-    sizes = groups.groupBy("comp").agg(F.count("*").alias("n"))
-    chosen = groups.withColumnRenamed("node", "rep").join(sizes, "comp").join(classes.select("rep", "place", "copies"), "rep")
-    texts = base.withColumnRenamed("doc_id", "rep").join(chosen, ["rep", "place"])
-    bins = max(documents.sparkSession._jsc.sc().defaultParallelism() * 4, groups.count() // 128)
-    checked = cut(verify_links(texts.select("comp", "rep", "copies", "text", "n"), forest, bins), "checked")
-    links = checked.groupBy("rep").agg(F.sum("links").alias("links"), F.sum("n_texts").alias("n_texts"))
-    final = components(checked.select(F.col("rep").alias("a"), F.col("leader").alias("b")))
-    found = classes.select("d1", "d2", "rep", "copies").join(links, "rep", "left").join(final.withColumnRenamed("node", "rep"), "rep", "left")
-    found = found.select("d1", "d2", "rep", "copies", "links", "n_texts", F.coalesce("comp", "rep").alias("comp"))
     own = F.col("n_shingles") > 0
-    rows = signed.where("doc_id is not null").select("doc_id", "n_shingles", "d1", "d2").join(found, ["d1", "d2"], "left")
-    out = rows.select(
-        "doc_id", F.when(own, F.col("rep")).otherwise(F.col("doc_id")).alias("rep_id"), F.when(own, F.col("comp")).otherwise(F.col("doc_id")).alias("class_id"),
-        F.when(own, F.coalesce("links", F.lit(0)) + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"), F.when(own, F.col("copies")).otherwise(F.lit(1)).alias("n_copies"),
+    out = _joined(documents, forest).select(
+        "doc_id", F.when(own, F.col("rep")).otherwise(F.col("doc_id")).alias("rep_id"), F.when(own, F.col("least")).otherwise(F.col("doc_id")).alias("class_id"),
+        F.when(own, F.col("links") + F.col("copies") - 1).otherwise(F.lit(0)).alias("n_links"), F.when(own, F.col("copies")).otherwise(F.lit(1)).alias("n_copies"),
     )
-    nameless = signed.where("doc_id is null").select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("rep_id", "class_id")), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
+    nameless = documents.where("doc_id is null").select("doc_id", *(F.lit(None).cast("long").alias(c) for c in ("rep_id", "class_id")), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("n_copies"))
     return out.unionByName(nameless)
 
 
 def deduplicate(documents: DataFrame, forest: Forest = Forest()) -> DataFrame:
-    """One document of each class stays: the one with the least id (of repeated rows, one).
+    """One document row of each group that links make stays: the one with the least id, and of rows with
+    that id the one whose text hashes least (of rows equal in id and text, one). All columns.
 
-    Rows with a null id, and null or empty texts, are in no class and stay.
+    Rows with a null id, and null or empty texts, are in no class and all stay.
     """
-    kept = near_duplicates(documents, forest).where("class_id = doc_id").select("doc_id").distinct()
-    return documents.where("doc_id is null").unionByName(documents.where("doc_id is not null").dropDuplicates(["doc_id"]).join(kept, "doc_id", "left_semi"))
+    alone = F.col("row.doc_id").isNull() | ~F.coalesce(F.col("row.text").rlike(WORD), F.lit(False))
+    rows = documents.select(F.struct(*(F.col(f"`{c}`") for c in documents.columns)).alias("row"))
+    first = _joined(documents, forest).where("n_shingles > 0").groupBy("comp").agg(F.min(F.struct("doc_id", "place")).alias("first"))
+    named = rows.where(~alone).select("row", F.col("row.doc_id").cast("long").alias("doc_id"), F.xxhash64("row.text").alias("place"))
+    kept = named.join(first.select("first.doc_id", "first.place"), ["doc_id", "place"], "left_semi").dropDuplicates(["doc_id", "place"])
+    return rows.where(alone).unionByName(kept.select("row")).select("row.*")

@@ -78,10 +78,75 @@ def test_odd_rows(odd, empty):
     assert near_duplicates(empty).count() == 0 and deduplicate(empty).count() == 0
 
 
-def test_depth_shortens_to_the_recall():
-    assert Forest(tries=20, depth=5, recall=0.9999).matched_depth() == 4
-    assert Forest(tries=20, depth=8, recall=0.9).matched_depth() == 8
-    assert Forest(tries=1, depth=5, recall=0.999).matched_depth() == 1
+def test_floor_reaches_the_recall():
+    assert Forest(tries=20, depth=6, recall=0.9999).floor() == 4
+    assert Forest(tries=20, depth=8, recall=0.9).floor() == 8
+    assert Forest(tries=1, depth=5, recall=0.999).floor() == 1
+
+
+def test_prefixes_shorten_as_far_as_they_must(monkeypatch):
+    """A run whose members are linked at a longer prefix is not matched again at a shorter one."""
+    runs, real = [], neardup._merge
+    monkeypatch.setattr(neardup, "_merge", lambda group, sketch, rows, least: (runs.append(len(rows)), real(group, sketch, rows, least)))
+    alike, apart = np.zeros((4, 20), int), np.arange(60).reshape(3, 20)
+    same = np.zeros((4, 2), int)
+    assert len(set(neardup.forest_links(same, alike, 4, 10).tolist())) == 1 and runs == [4]  # at the full depth only
+    runs.clear()
+    paths = np.array([[0, 0], [0, 1], [0, 1], [5, 0], [0, 0], [5, 0], [7, 7]])
+    lead = neardup.forest_links(paths, np.concatenate([alike, apart]), 4, 10)
+    assert len({*lead[:4].tolist()}) == 1 and len(set(lead.tolist())) == 4 and runs == [2, 2, 2, 4, 2, 7]
+
+
+def test_links_of_a_subtrie_by_brute_force():
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        n = int(rng.integers(2, 14))
+        paths, sketch = rng.integers(0, 2, (n, 2)), rng.integers(0, 3, (n, 12))
+        lead = neardup.forest_links(paths, sketch, 4, 7)
+        want = np.arange(n)
+        for _ in range(n):
+            for i in range(n):
+                for j in range(n):
+                    if (sketch[i] == sketch[j]).sum() >= 7:
+                        want[i] = want[j] = min(want[i], want[j])
+        assert (lead[:, None] == lead[None, :]).tolist() == (want[:, None] == want[None, :]).tolist()
+
+
+def test_recall_of_pairs_at_the_threshold(spark, documents):
+    """Pairs just above the threshold, found by the forest itself."""
+    rng = random.Random(9)
+    rows, pairs = [], []
+    for g in range(300):
+        base = [f"g{g}w{k}" for k in range(100)]
+        other = list(base)
+        for at in rng.sample(range(10, 90, 20), 2):  # two words apart: 10 shingles of 96 on either side
+            other[at] = f"x{g}{at}"
+        pairs.append((2 * g, 2 * g + 1))
+        rows += [(2 * g, " ".join(base), "s"), (2 * g + 1, " ".join(other), "s")]
+    got = {r["doc_id"]: r["class_id"] for r in near_duplicates(documents(rows)).collect()}
+    assert 86 / 106 < 0.82 and sum(got[a] == got[b] for a, b in pairs) >= 0.99 * len(pairs)
+
+
+def test_rows_of_one_id(documents):
+    """Rows with one id and different texts are different documents, and keep their other columns."""
+    rng = random.Random(10)
+    a, b, c = (" ".join(f"w{rng.randrange(9000)}" for _ in range(60)) for _ in range(3))
+    docs = documents([(7, a, "s1"), (7, b, "s2"), (7, b, "s2"), (8, b, "s3"), (9, c, "s4"), (6, c, "s5"), (2, "", "s6"), (2, "", "s6"), (None, a, "s7")]).withColumnRenamed("rank", "place")
+    got = sorted((r["doc_id"] or 0, r["class_id"] or 0, r["n_links"]) for r in near_duplicates(docs).collect())
+    assert got == [(0, 0, 0), (2, 2, 0), (2, 2, 0), (6, 6, 1), (7, 7, 0), (7, 7, 2), (7, 7, 2), (8, 7, 2), (9, 6, 1)]
+    kept = deduplicate(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r["doc_id"] or 0, r["source"]) for r in kept.collect()) == [(0, "s7"), (2, "s6"), (2, "s6"), (6, "s5"), (7, "s1"), (7, "s2")]
+
+
+def test_hubs(spark, monkeypatch):
+    """Stars whose centres are hubs, in a chain."""
+    from edgeproof.llm import components as module
+
+    monkeypatch.setattr(module, "HUB", 5)
+    edges = [(c * 100 + i, c * 100 + 50) for c in range(8) for i in range(40)] + [(c * 100 + 50, c * 100 + 150) for c in range(7)]
+    got = {r["node"]: r["comp"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert set(got.values()) == {0} and len(got) == 8 * 41
 
 
 def test_intersections():
