@@ -12,6 +12,7 @@ from .common import ragged
 @dataclass
 class Result:
     loglik: np.ndarray  # natural logarithm, one a sequence
+    each: np.ndarray  # its parts: of each token given those before it, in input order
     gamma: np.ndarray | None = None  # state marginals, one row a token, in input order
     xi: np.ndarray | None = None  # expected transitions
     first: np.ndarray | None = None  # expected first states
@@ -43,10 +44,11 @@ def recursions(scores: np.ndarray, counts: np.ndarray, step: np.ndarray, start:
         cur /= c[:, None]
         alpha[lo:hi], scale[lo:hi] = cur, c
         lo = hi
-    loglik = np.empty(len(counts))
+    loglik, each = np.empty(len(counts)), np.empty(n)
+    each[index] = np.log(scale)
     loglik[order] = np.bincount(who, weights=np.log(scale), minlength=len(counts))
     if not backward:
-        return Result(loglik)
+        return Result(loglik, each)
     beta, xi = np.ones((n, s)), np.zeros((s, s))
     hi = n
     for t in range(longest - 1, 0, -1):
@@ -58,7 +60,7 @@ def recursions(scores: np.ndarray, counts: np.ndarray, step: np.ndarray, start:
         hi = lo
     gamma = np.empty((n, s))
     gamma[index] = alpha * beta
-    return Result(loglik, gamma, xi * step, (alpha[: active[0]] * beta[: active[0]]).sum(0) if n else np.zeros(s))
+    return Result(loglik, each, gamma, xi * step, (alpha[: active[0]] * beta[: active[0]]).sum(0) if n else np.zeros(s))
 
 
 def batches(counts: np.ndarray, limit: int = 400_000) -> list[np.ndarray]:

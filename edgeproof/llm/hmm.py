@@ -1,14 +1,16 @@
 """A hidden Markov language model over words.
 
 States emit word classes (hashed, a fixed number, and the end of text), and a class emits its words
-with discounted corpus frequencies, an unseen word taking the discounted mass: together a
+with discounted corpus frequencies. What is discounted, in all classes together, is the probability of
+one more event, an unseen word: as in the base score all unseen words are one. Together this is a
 distribution over texts. Baum-Welch starts from the corpus' class counts with seeded noise; its
 counts are worked out a partition at a time, over all training documents in every round, and added up;
 a text's likelihood is exact, by the scaled forward recursion over the whole text.
 
 The corpus is encoded once, in chunks of documents: word numbers local to the chunk and the chunk's
-distinct words. Words meet their corpus counts by one shuffle of (word, chunk) rows, and only
-counts that a chunk cannot know itself go back to it.
+distinct words. Words' corpus counts are added up before and after one shuffle. Those of the words in
+the most chunks, of which there are a bounded number, are sent to all tasks; of the others, the words in
+more than one chunk meet their chunks by a join in which no word has many rows.
 """
 
 from __future__ import annotations
@@ -20,7 +22,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chain import batches, gather, recursions
@@ -32,6 +34,9 @@ STATES, CLASSES, DISCOUNT, BLOCKS = 8, 1 << 13, 0.5, 16
 ROUNDS = 10
 #: Characters of a chunk, of what is split into words at once, tokens of the chunks counted together.
 CHUNK_CHARS, SLICE_CHARS, COUNT_TOKENS = 12_000_000, 2_000_000, 4_000_000
+#: A word is common if it is in so many chunks, or in more than one in so many of all rows of a word and
+#: a chunk: there are at most so many common words.
+COMMON_CHUNKS, COMMON_WORDS = 64, 100_000
 _CHUNK = "chunk long, ids array<bigint>, held array<boolean>, counts binary, tokens binary, words binary, n_train binary"
 
 
@@ -80,9 +85,10 @@ class Chunk:
         tokens = np.ascontiguousarray(np.frombuffer(row["tokens"], np.uint8).reshape(4, -1).T).view("<u4")[:, 0] if row["tokens"] else np.zeros(0, "<u4")
         return cls(list(row["ids"]), np.array(row["held"], dtype=bool), np.frombuffer(row["counts"], "<u4").astype(np.int64), tokens, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["n_train"], "<u4").astype(np.int64))
 
-    def sequences(self, which: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Word classes of the documents chosen, each with the end class, and their lengths."""
-        own, starts = class_of(self.words), np.cumsum(self.counts) - self.counts
+    def sequences(self, which: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Word classes (or what own has for each word) of the documents chosen, each with the end class,
+        and their lengths."""
+        own, starts = class_of(self.words) if own is None else own, np.cumsum(self.counts) - self.counts
         n = self.counts[which] + 1
         out = np.full(int(n.sum()), CLASSES, np.int64)
         last = np.cumsum(n) - 1
@@ -198,66 +204,84 @@ def _expect(chunks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
     return flat[:STATES], flat[STATES : STATES + STATES**2].reshape(STATES, STATES), flat[STATES + STATES**2 :].reshape(-1, STATES)
 
 
+def _word_counts(chunks: DataFrame) -> tuple[DataFrame, np.ndarray, np.ndarray, pd.DataFrame]:
+    """Counts that chunks can't know themselves, as (chunk, word, c); tokens and distinct words of each
+    class; words and counts of the common words."""
+
+    def pairs(batch):
+        for chunk, c in zip(column(batch, "chunk").to_pylist(), _chunks(batch), strict=True):
+            yield {"word": c.words.view(np.int64), "chunk": np.full(len(c.words), chunk), "n": c.n_train}
+
+    rows = cut(scan(chunks, pairs, "word long, chunk long, n long"), "words")
+    totals = cut(rows.groupBy("word").agg(F.sum("n").alias("c"), F.count("*").alias("k")), "totals")
+
+    def of_class(batch):
+        word, c = column(batch, "word").to_numpy(), column(batch, "c").to_numpy()
+        yield {"class": class_of(word.view(np.uint64)), "n": c, "v": (c > 0).astype(np.int64), "k": column(batch, "k")}
+
+    n_class, v_class, n_rows = np.zeros(CLASSES), np.zeros(CLASSES), 0
+    for r in scan(totals, of_class, "class int, n long, v long, k long").groupBy("class").agg(*(F.sum(x).alias(x) for x in "nvk")).collect():  # at most CLASSES rows
+        n_class[r["class"]], v_class[r["class"]], n_rows = r["n"], r["v"], n_rows + r["k"]
+    most = max(COMMON_CHUNKS, n_rows // COMMON_WORDS)
+    common = totals.where(F.col("k") > most).select("word", "c").toPandas().sort_values("word")  # at most COMMON_WORDS, and few below a large corpus
+    others = totals.where(F.col("k").between(2, most)).select("word", "c")
+    rest = rows.join(F.broadcast(rows.sparkSession.createDataFrame(common[["word"]], "word long")), "word", "left_anti") if len(common) else rows
+    return rest.join(others, "word").where("c <> n").select("chunk", "word", "c"), n_class, v_class, common
+
+
 def language_model(documents: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """documents(doc_id, text, held_out) -> doc_id, held_out, n_tokens, n_known, train_tokens,
-    base_score, score: learnt from the rows that are not held out.
+    base_score, score, known_base_score, known_score: learnt from the rows that are not held out.
 
     base_score is the log10 probability under add-one word frequencies, score that of the hidden
-    Markov model. Null and empty texts are one end; null ids and repeated rows are rows like any;
-    with no training rows every word is unseen and classes are evenly likely.
+    Markov model; the known_ columns are the parts of the tokens that training texts have, each given all
+    tokens before it, so the rest is what unseen words add. Null and empty texts are one end; null ids and
+    repeated rows are rows like any; with no training rows every word is unseen and classes are evenly
+    likely.
     """
     docs = documents.select("doc_id", "text", "held_out")
-    n_docs, n_training = docs.agg(F.count("*"), F.count(F.when(~F.col("held_out"), 1))).first()
+    n_training = docs.agg(F.count(F.when(~F.col("held_out"), 1))).first()[0]
     chunks = cut(docs.mapInArrow(_encode, _CHUNK), "chunks")
-
-    # Every distinct word of every chunk, with its count over all chunks' training documents.
-    def pairs(batch):
-        for chunk, c in zip(column(batch, "chunk").to_pylist(), _chunks(batch), strict=True):
-            yield {"word": c.words.view(np.int64), "chunk": np.full(len(c.words), chunk), "n": c.n_train, "class": class_of(c.words)}
-
-    by_word = Window.partitionBy("word")
-    words = scan(chunks, pairs, "word long, chunk long, n long, class int")
-    counted = words.withColumn("c", F.sum("n").over(by_word)).withColumn("one", (F.row_number().over(by_word.orderBy("chunk")) == 1) & (F.col("c") > 0))
-    counted = cut(counted, "counted")
-    classes = counted.groupBy("class").agg(F.sum("n").alias("n"), F.count(F.when(F.col("one"), 1)).alias("v")).collect()  # at most CLASSES rows
-    n_class, v_class = np.zeros(CLASSES), np.zeros(CLASSES)
-    for r in classes:
-        n_class[r["class"]], v_class[r["class"]] = r["n"], r["v"]
+    away, n_class, v_class, common = _word_counts(chunks)
     total = int(n_class.sum()) + n_training
     distinct = int(v_class.sum()) + (n_training > 0)
 
     model = Model.initial(np.append(n_class, n_training))
     for _ in range(rounds if n_training else 1):  # without training rows a round of no counts makes all even
         model = Model.update(*_expect(chunks, model))
-    spark = documents.sparkSession
-    sent = spark.sparkContext.broadcast((model, n_class, v_class))
-    away = counted.where("c <> n").select("chunk", "word", "c")  # the rest a chunk knows itself
+    sent = documents.sparkSession.sparkContext.broadcast((model, n_class, v_class, common["word"].to_numpy().view(np.uint64), common["c"].to_numpy()))
 
     def judge(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        model, n_class, v_class = sent.value
+        model, n_class, v_class, *known_words = sent.value
+        unseen = np.where(n_class > 0, DISCOUNT * v_class / np.maximum(n_class, 1), 1.0)  # of each class
+        emit = np.concatenate([model.emit, unseen[None, :] @ model.emit[:-1]])
         parts = []
         for row in left.to_dict("records"):
             k = Chunk.of(row)
-            c = k.n_train.copy()
-            if len(right):
-                order = np.argsort(k.words)
-                found = order[np.searchsorted(k.words[order], right["word"].to_numpy().view(np.uint64))]
-                c[found] = right["c"].to_numpy()
+            c, order = k.n_train.copy(), np.argsort(k.words)
+            for words, n in ((right["word"].to_numpy().view(np.uint64), right["c"].to_numpy()), known_words):
+                at = np.minimum(np.searchsorted(k.words, words, sorter=order), len(order) - 1)
+                here = k.words[order[at]] == words if len(order) else np.zeros(len(words), bool)
+                c[order[at[here]]] = n[here]
             own = class_of(k.words)
-            known, unseen = np.maximum(c - DISCOUNT, 1e-9) / np.maximum(n_class[own], 1), np.where(n_class[own] > 0, DISCOUNT * v_class[own] / np.maximum(n_class[own], 1), 1.0)
-            word = np.log10(np.where(c > 0, known, np.maximum(unseen, 1e-12)))
+            word = np.where(c > 0, np.log10(np.maximum(c - DISCOUNT, 1e-9) / np.maximum(n_class[own], 1)), 0.0)
             base = np.log10((c + 1.0) / (total + 1.0 * (distinct + 1)))
+            end = math.log10((n_training + 1.0) / (total + 1.0 * (distinct + 1)))
             doc = np.repeat(np.arange(len(k.counts)), k.counts)
-            add = lambda x: np.bincount(doc, weights=x[k.tokens], minlength=len(k.counts))  # noqa: E731, B023
-            seq, n = k.sequences(np.arange(len(k.counts)))
-            score, at = add(word), np.cumsum(n) - n
+            add = lambda x, docs=doc, k=k: np.bincount(docs, weights=x[k.tokens], minlength=len(k.counts))
+            seq, n = k.sequences(np.arange(len(k.counts)), np.where(c > 0, own, CLASSES + 1))
+            at, each = np.cumsum(n) - n, np.empty(len(seq))
             for g in batches(n, 300_000):
-                score[g] += recursions(model.emit[seq[gather(at[g], n[g])]], n[g], model.step, model.start, False).loglik / math.log(10)
-            end = math.log10((n_training + 1.0) / (total + 1.0 * (distinct + 1)))
+                places = gather(at[g], n[g])
+                each[places] = recursions(emit[seq[places]], n[g], model.step, model.start, False).each / math.log(10)
+            of = np.repeat(np.arange(len(n)), n)
+            known = (seq < CLASSES) | ((seq == CLASSES) & (n_training > 0))
             parts.append(pd.DataFrame({
                 "doc_id": pd.array(k.ids, dtype="Int64"), "held_out": k.held, "n_tokens": k.counts + 1, "n_known": add((c > 0).astype(float)).round().astype(np.int64) + (n_training > 0),
-                "train_tokens": total, "base_score": add(base) + end, "score": score,
+                "train_tokens": total, "base_score": add(base) + end, "score": add(word) + np.bincount(of, weights=each, minlength=len(n)),
+                "known_base_score": add(np.where(c > 0, base, 0.0)) + end * (n_training > 0), "known_score": add(word) + np.bincount(of, weights=np.where(known, each, 0.0), minlength=len(n)),
             }))
-        return pd.concat(parts) if parts else pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "held_out": np.zeros(0, bool), **{x: np.zeros(0, np.int64) for x in ("n_tokens", "n_known", "train_tokens")}, "base_score": np.zeros(0), "score": np.zeros(0)})
+        scores = ("base_score", "score", "known_base_score", "known_score")
+        return pd.concat(parts) if parts else pd.DataFrame({"doc_id": pd.array([], dtype="Int64"), "held_out": np.zeros(0, bool), **{x: np.zeros(0, np.int64) for x in ("n_tokens", "n_known", "train_tokens")}, **{x: np.zeros(0) for x in scores}})
 
-    return chunks.groupBy("chunk").cogroup(away.groupBy("chunk")).applyInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return chunks.groupBy("chunk").cogroup(away.groupBy("chunk")).applyInPandas(judge, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, known_base_score double, known_score double")
