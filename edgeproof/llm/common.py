@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _LOCAL: list[str] = []
+#: Folders written so far, for sweep.
+_WRITTEN: list[str] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,36 +27,69 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share; a temporary one only where none is set (tests)."""
+    """The folder that all executors share. Where none is set, a temporary one if all run in this
+    process (tests); on a cluster that is an error, as every machine would write to its own."""
     got = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if got:
         return got.rstrip("/")
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="edgeproof-"))
         atexit.register(shutil.rmtree, _LOCAL[0], True)
     return f"file://{_LOCAL[0]}"
 
 
+def fresh_path(spark: SparkSession, name: str) -> str:
+    """A new path in the shared folder, which sweep will delete."""
+    path = f"{shared_dir(spark)}/edgeproof/{name}-{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
 def cut(df: DataFrame, name: str, partitions: int | None = None) -> DataFrame:
     """Write df as Parquet to the shared folder and read it back: lineage ends in replicated files.
 
     Unlike a local checkpoint this survives lost executors, and later readers prune columns.
     """
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/edgeproof/{name}-{uuid.uuid4().hex}"
+    path = fresh_path(spark, name)
     out = df.coalesce(partitions) if partitions else df
     out.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    if path in _WRITTEN:
+        _WRITTEN.remove(path)
+
+
+def folder(df: DataFrame) -> str | None:
+    """The folder that a cut was written to."""
+    return next((f for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()} if "/edgeproof/" in f), None)
+
+
 def drop_cut(df: DataFrame) -> None:
     """Delete the files of a cut that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark._jvm
-    for f in {x.rsplit("/", 1)[0] for x in df.inputFiles()}:
-        if "/edgeproof/" in f:
-            p = jvm.org.apache.hadoop.fs.Path(f)
-            p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+    tail = (folder(df) or "/").rsplit("/", 1)[1]
+    for path in [x for x in _WRITTEN if tail and x.endswith("/" + tail)]:
+        _delete(df.sparkSession, path)
+
+
+def written() -> frozenset[str]:
+    """The folders of this session's cuts and archives."""
+    return frozenset(_WRITTEN)
+
+
+def sweep(spark: SparkSession, keep: DataFrame | None = None, but: frozenset[str] = frozenset()) -> None:
+    """Delete the cuts and archives of this session, but for keep and those named, when every frame made
+    of them has been used: between the stages of a pipeline, and after a query's result is written."""
+    tail = (folder(keep) or "/").rsplit("/", 1)[1] if keep is not None else ""
+    for path in [x for x in _WRITTEN if x not in but and not (tail and x.endswith("/" + tail))]:
+        _delete(spark, path)
 
 
 def scan(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict] | dict | None], schema: str) -> DataFrame:

@@ -102,7 +102,7 @@ def pack(documents: DataFrame, vocabulary: str = VOCABULARY, row_tokens: int = R
         if "encode" not in state:
             state["encode"], state["end"] = _encoder(ranks.value)
         encode, end = state["encode"].encode_ordinary, state["end"]
-        dtype = np.dtype("<u2") if end < 65536 else np.dtype("<u4")
+        dtype = np.dtype("<u2") if max(end, row_tokens) <= 65535 else np.dtype("<u4")
         ids = column(batch, "doc_id").to_pylist()
         texts = [t or "" for t in column(batch, "text").to_pylist()]
         for a, b in slices([len(t) // 2 + 1 for t in texts], group_tokens):

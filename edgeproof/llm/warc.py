@@ -11,13 +11,12 @@ from __future__ import annotations
 
 import base64
 import hashlib
-import uuid
 import zlib
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, scan, shared_dir
+from .common import column, fresh_path, scan
 
 #: About this many bytes of records in a file.
 FILE_BYTES = 32_000_000
@@ -78,15 +77,19 @@ def write_archives(pages: DataFrame, path: str, least: int = 0) -> None:
     out.write.option("lineSep", END).option("compression", "gzip").option("maxRecordsPerFile", max(1, int(FILE_BYTES / mean))).text(path)
 
 
-def inflate(data: bytes) -> bytes:
-    """All members of a gzip file, or the bytes themselves if they are none."""
+def inflate(data: bytes, piece: int = 1 << 16) -> bytes:
+    """All members of a gzip file, or the bytes themselves if they are none. A member is fed in pieces,
+    so that what lies behind its end is copied once a member, a piece at most."""
     if data[:2] != b"\x1f\x8b":
         return data
-    parts = []
-    while data:
+    parts, at = [], 0
+    while at < len(data) and data[at : at + 2] == b"\x1f\x8b":
         z = zlib.decompressobj(31)
-        parts.append(z.decompress(data) + z.flush())
-        data = z.unused_data
+        while not z.eof and at < len(data):
+            parts.append(z.decompress(data[at : at + piece]))
+            at += piece
+        parts.append(z.flush())
+        at -= len(z.unused_data) + max(0, at - len(data))
     return b"".join(parts)
 
 
@@ -159,6 +162,6 @@ def resolve(captures: DataFrame) -> DataFrame:
 def round_trip(pages: DataFrame, least: int = 0) -> DataFrame:
     """Write pages to archives in the shared folder, read them back and resolve every capture."""
     spark = pages.sparkSession
-    path = f"{shared_dir(spark)}/edgeproof/warc-{uuid.uuid4().hex}"
+    path = fresh_path(spark, "warc")
     write_archives(pages, path, least)
     return resolve(assemble(read_records(spark, path)))

@@ -57,3 +57,10 @@ def test_odd_rows(odd, empty, documents):
             tokens[d] = tokens.get(d, 0) + b - a
     assert tokens[1] == tokens[2] == 1 and tokens[5] > 30_000 and None in tokens and tokens[4] == 4
     assert pack(empty).count() == 0
+
+
+def test_places_in_wide_rows(documents):
+    """A row of more than 65,535 places needs wider numbers."""
+    rows = [r.asDict() for r in pack(documents([(1, "word " * 70_000, "s")]), row_tokens=100_000).collect()]
+    check(rows, 100_000)
+    assert {r["dtype"] for r in rows} == {"u4"} and max(b for r in rows for b in r["cu_seqlens"]) > 65_536

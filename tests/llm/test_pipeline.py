@@ -45,3 +45,30 @@ def test_every_query_is_registered():
     names = entry.queries()
     assert all(any(n.startswith(f"op{k}_") for n in names) for k in range(1, 11)) and "pipeline" in names
     assert unpack([]) == {}
+
+
+def test_shared_folder():
+    """On a cluster without one the operators refuse; frames kept stay, the rest is deleted."""
+    from types import SimpleNamespace
+
+    import pytest
+
+    from edgeproof.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *_: None)
+    for master in ("spark://host:7077", "local-cluster[3,2,3000]", "yarn"):
+        with pytest.raises(RuntimeError):
+            shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf)))
+
+
+def test_sweep(spark):
+    from edgeproof.llm.common import drop_cut, sweep, written
+
+    before = written()
+    a, b, c = (cut(spark.range(n), f"sweep{n}") for n in (1, 2, 3))
+    drop_cut(a)
+    assert len(written() - before) == 2
+    sweep(spark, c, before)
+    assert len(written() - before) == 1 and c.count() == 3
+    sweep(spark, but=before)
+    assert written() == before
