@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from edgeproof.llm import decontaminate, mixing, neardup, packing, toxicity
-from edgeproof.llm.common import cut, table
+from edgeproof.llm.common import cut, sweep, table, written
 from edgeproof.llm.queries import toxic_field
 
 
@@ -45,7 +45,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs, before = table(spark, sf_dir, "documents"), written()
     for name, stage in STAGES[:-1]:
         docs = cut(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        sweep(spark, docs, before)  # what the stage wrote on its way, and the stage before
     return STAGES[-1][1](spark, docs, sf_dir)
