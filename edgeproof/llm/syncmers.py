@@ -14,8 +14,6 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
-
 #: Characters of an inner run, inner runs of a k-mer, and so characters of a k-mer.
 INNER, SPAN = 6, 11
 KMER = INNER + SPAN - 1
@@ -39,15 +37,13 @@ def place_of(anchor: Column) -> Column:
 
 
 def closed(text: Column) -> Column:
-    """The closed syncmers of the text, packed as hash and place, by place."""
+    """Places of the closed syncmers of the text, in order."""
 
     def mark(h: Column):
         def one(edge: Column, i: Column) -> Column:
             # The lesser of the first and the last against each inner run between them: the first
             # greater one ends it, so few are looked at.
-            least = reduce(lambda a, b: a & b, (edge <= F.get(h, i + j) for j in range(1, SPAN - 1)))
-            name = F.xxhash64(*(F.get(h, i + j) for j in (*range(0, SPAN - 1, INNER), SPAN - 1)))
-            return F.when(least, name.bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(i.cast("long"), 1)))
+            return F.when(reduce(lambda a, b: a & b, (edge <= F.get(h, i + j) for j in range(1, SPAN - 1))), i)
 
         return one
 
@@ -59,6 +55,15 @@ def closed(text: Column) -> Column:
     return let(F.transform(runs, lambda x: F.xxhash64(x)), chosen)
 
 
+def named(text: Column, places: Column) -> Column:
+    """Anchors, packed as hash and place, at the places. In UTF-32 a place is an offset."""
+
+    def of(wide: Column) -> Column:
+        return F.transform(places, lambda p: F.xxhash64(F.substring(wide, p * 4 + 1, F.lit(4 * KMER))).bitwiseAND(F.lit(~_MASK)).bitwiseOR(F.shiftleft(p.cast("long"), 1)))
+
+    return let(F.encode(text, "UTF-32"), of)
+
+
 def whole(found: Column, text: Column) -> Column:
     """Anchors in the order of their hashes. A text without a closed syncmer (all texts shorter than a
     k-mer are) has one anchor, all of it; an empty text has none."""
@@ -68,17 +73,18 @@ def whole(found: Column, text: Column) -> Column:
 
 def anchors(text: Column) -> Column:
     """The fingerprint of a text: see closed and whole."""
-    return let(closed(text), lambda found: whole(found, text))
+    return let(closed(text), lambda places: whole(named(text, places), text))
 
 
 def spliced(left: Column, kept: Column, right: Column, taken: Column, text: Column, after: Column) -> Column:
-    """The closed syncmers of text[:kept] + after[:taken] from those of text (left) and after (right):
-    a k-mer lies in one of the two or crosses the seam, and only those that cross are worked out."""
+    """The named closed syncmers of text[:kept] + after[:taken] from those of text (left) and after
+    (right): a k-mer lies in one of the two or crosses the seam, and only those that cross are worked out."""
     most = F.lit(KMER - 1)
     before = F.least(kept, most)
     seam = F.concat(F.substring(text, kept - before + 1, before), F.substring(after, F.lit(1), F.least(taken, most)))
     moved = lambda found, by: F.transform(found, lambda x: x + F.shiftleft(by.cast("long"), 1))
-    return F.concat(F.filter(left, lambda x: place_of(x) <= kept - KMER), moved(closed(seam), kept - before), moved(F.filter(right, lambda x: place_of(x) <= taken - KMER), kept))
+    across = let(seam, lambda t: let(closed(t), lambda places: named(t, places)))
+    return F.concat(F.filter(left, lambda x: place_of(x) <= kept - KMER), moved(across, kept - before), moved(F.filter(right, lambda x: place_of(x) <= taken - KMER), kept))
 
 
 def written(anchors_: Column) -> Column:
@@ -114,21 +120,44 @@ def likeness(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).when((F.size(a) == 0) | (F.size(b) == 0), F.lit(0.0)).otherwise(ratio)
 
 
-def successors(ids: DataFrame) -> DataFrame:
-    """id -> next: the next greater id, the least one after the greatest.
+def range_starts(ids: DataFrame, ranges: int) -> list[int]:
+    """The least id of each of about so many ranges with ids, in order: a number a range comes to the driver."""
+    parts = ids.where("id is not null").repartitionByRange(ranges, "id").select("id", F.spark_partition_id().alias("range"))
+    return sorted(r["first"] for r in parts.groupBy("range").agg(F.min("id").alias("first")).collect())
+
+
+def range_of(ident: Column, starts: list[int]) -> Column:
+    """The number of the range that an id is in, by halving."""
+    table, zero = F.array(*map(F.lit, starts)).cast("array<bigint>"), F.struct(F.lit(0).alias("lo"), F.lit(len(starts)).alias("hi"))
 
-    Ids are sorted in ranges; within a range the next is a window's, and a range's last id takes
-    the first of the next range: one id a range comes to the driver.
+    def of(t: Column) -> Column:
+        def half(acc: Column, _: Column) -> Column:
+            mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+            return F.when(acc["lo"] >= acc["hi"], acc).when(F.get(t, mid) <= ident, F.struct((mid + 1).alias("lo"), acc["hi"].alias("hi"))).otherwise(F.struct(acc["lo"].alias("lo"), mid.alias("hi")))
+
+        return F.aggregate(F.sequence(F.lit(1), F.lit(len(starts).bit_length() + 1)), zero, half, lambda acc: acc["lo"] - 1)
+
+    return let(table, of)
+
+
+def with_next(rows: DataFrame, id_: str, rank: str, payload: str, starts: list[int]) -> DataFrame:
+    """rows with ahead: the payload of the next greater id, the least one after the greatest; of rows
+    with one id the one of least rank stands for it.
+
+    One exchange by ranges of ids; within a range the next row is a window's, and the last id of a range
+    takes the first row of the next range, which is looked up in the rows themselves.
     """
-    rows = ids.where("id is not null").distinct()
-    ranged = cut(rows.repartitionByRange("id").select("id", F.spark_partition_id().alias("range")), "ranges")
-    firsts = sorted((r["first"], r["range"]) for r in ranged.groupBy("range").agg(F.min("id").alias("first")).collect())
-    if not firsts:
-        return ranged.select("id", F.col("id").alias("next"))
-    after = {part: firsts[(i + 1) % len(firsts)][0] for i, (_, part) in enumerate(firsts)}
-    link = F.create_map(*(F.lit(x) for kv in after.items() for x in kv))
-    # Ranges hold as many ids as a shuffle partition does.
-    return ranged.select("id", F.coalesce(F.lead("id").over(Window.partitionBy("range").orderBy("id")), link[F.col("range")]).alias("next"))
+    placed = rows.withColumn("range", range_of(F.col(id_), starts))
+    order = Window.partitionBy("range").orderBy(id_, rank)
+    # Plain columns: what a window works out first travels with the rows. Rows of one id look past each
+    # other: the last of them has the next id's row, and shares it.
+    placed = placed.withColumn("later", F.lead(payload).over(order)).withColumn("following", F.lead(id_).over(order))
+    shared = placed.withColumn("later", F.when(F.col("following") > F.col(id_), F.col("later")))
+    shared = shared.withColumn("later", F.first("later", ignorenulls=True).over(Window.partitionBy("range", id_)))
+    before = {s: (i - 1) % len(starts) for i, s in enumerate(starts)}
+    link = F.create_map(*(F.lit(x) for kv in before.items() for x in kv))
+    firsts = rows.where(F.col(id_).isin(starts)).groupBy(id_).agg(F.min_by(payload, rank).alias("first")).select(link[F.col(id_)].alias("range"), "first")
+    return shared.join(firsts, "range").withColumn("ahead", F.coalesce("later", "first")).drop("later", "following", "first", "range")
 
 
 def fingerprint(documents: DataFrame) -> DataFrame:
@@ -143,23 +172,26 @@ def with_edited(documents: DataFrame) -> DataFrame:
 
     The next document has the next greater id; of repeated ids, the row whose text hashes least
     stands for the id. Rows with a null id have no next: an empty text stands for it. Null texts are
-    empty. A text is fingerprinted once where it stands and once as its predecessor's next; the edited
-    text's anchors are put together from these two.
+    empty. A text's anchors are found once, where it is read, and travel as places with the text; the
+    edited text's are put together from its own and the next one's.
     """
-    text = F.coalesce("text", F.lit(""))
-    every = documents.select("doc_id", text.alias("text"))
-    docs = every.where("doc_id is not null")
-    follows = cut(successors(docs.select(F.col("doc_id").alias("id"))), "follows")
-    # The documents' exchange by id serves both joins: a next document sends its text, which is less to
-    # move than its anchors, to the one before, which then has all it needs.
-    asked = follows.select("next", F.col("id").alias("prev"))
-    sent = docs.join(asked, F.col("doc_id") == F.col("next")).select("prev", F.xxhash64("text").alias("rank"), F.col("text").alias("ahead"))
-    sent = sent.groupBy("prev").agg(F.min_by("ahead", "rank").alias("ahead"))
-    joined = docs.join(sent, F.col("doc_id") == F.col("prev"), "left").select("doc_id", "text", F.coalesce("ahead", F.lit("")).alias("ahead"))
-    joined = joined.unionByName(every.where("doc_id is null").select("doc_id", "text", F.lit("").alias("ahead")))
-    n, quarter = F.length("text"), F.floor(F.length("text") / 4).cast("int")
-    head = F.substring("ahead", F.lit(1), quarter)
-    found = joined.select("doc_id", "text", "ahead", n.alias("n"), (n - quarter).alias("kept"), F.length(head).alias("taken"), F.concat(F.substring("text", F.lit(1), n - quarter), head).alias("edited"), closed(F.col("text")).alias("own"), closed(F.col("ahead")).alias("next"))
+    every = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    spark = documents.sparkSession
+    starts = range_starts(every.select(F.col("doc_id").alias("id")), 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
+    marked = every.withColumn("own", F.struct("text", closed(F.col("text")).alias("places")))
+    none = F.struct(F.lit("").alias("text"), F.array().cast("array<int>").alias("places"))
+    joined = marked.where("doc_id is null").select("doc_id", "own", none.alias("ahead"))
+    if starts:
+        named_rows = marked.where("doc_id is not null").select("doc_id", F.xxhash64("text").alias("rank"), "own")
+        joined = joined.unionByName(with_next(named_rows, "doc_id", "rank", "own", starts).select("doc_id", "own", "ahead"))
+    joined = joined.select("doc_id", F.col("own").alias("one"), F.col("ahead").alias("two"))
+    text, ahead = F.col("one.text"), F.col("two.text")
+    n, quarter = F.length(text), F.floor(F.length(text) / 4).cast("int")
+    head = F.substring(ahead, F.lit(1), quarter)
+    found = joined.select(
+        "doc_id", text.alias("text"), ahead.alias("ahead"), n.alias("n"), (n - quarter).alias("kept"), F.length(head).alias("taken"), F.concat(F.substring(text, F.lit(1), n - quarter), head).alias("edited"),
+        named(text, F.col("one.places")).alias("own"), named(ahead, F.col("two.places")).alias("next"),
+    )
     other = spliced(F.col("own"), F.col("kept"), F.col("next"), F.col("taken"), F.col("text"), F.col("ahead"))
     both = found.select(
         "doc_id", F.col("n").cast("long").alias("n_chars"), F.sha2(F.encode("edited", "UTF-8"), 256).alias("edited_sha256"),

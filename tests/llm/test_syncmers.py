@@ -5,20 +5,13 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from edgeproof.llm.syncmers import DRIFT, INNER, KMER, SPAN, anchors, fingerprint, likeness, successors, with_edited
+from edgeproof.llm.syncmers import DRIFT, INNER, KMER, SPAN, anchors, fingerprint, likeness, range_starts, with_edited, with_next
 
 
 def signed(x):
     return x - (1 << 64) if x >> 63 else x
 
 
-def long_hash(*xs):
-    seed = 42
-    for x in xs:
-        seed = xxhash.xxh64_intdigest((x & (2**64 - 1)).to_bytes(8, "little"), seed)
-    return signed(seed)
-
-
 def brute(text):
     """Anchors by the definition: every k-mer, every inner run."""
     text_hash = lambda t: signed(xxhash.xxh64_intdigest(t.encode(), 42))
@@ -27,7 +20,7 @@ def brute(text):
     for i in range(len(text) - KMER + 1):
         h = [text_hash(text[i + j : i + j + INNER]) for j in range(SPAN)]
         if min(h) in (h[0], h[-1]):
-            out.append(pack(long_hash(h[0], h[6], h[10]), i))
+            out.append(pack(signed(xxhash.xxh64_intdigest(text[i : i + KMER].encode("utf-32-be"), 42)), i))
     return sorted(out) if out else [pack(text_hash(text), 0)] if text else []
 
 
@@ -122,8 +115,14 @@ def test_odd_rows(odd, empty):
     assert with_edited(empty).count() == 0
 
 
-def test_successors(spark):
-    got = {r["id"]: r["next"] for r in successors(spark.range(5, 500, 3).repartition(7)).collect()}
-    ids = list(range(5, 500, 3))
-    assert got == dict(zip(ids, [*ids[1:], ids[0]]))
-    assert {r["id"]: r["next"] for r in successors(spark.range(1)).collect()} == {0: 0}
+def test_next_rows(spark):
+    """The next id's row over many ranges, with repeated ids and one id only."""
+
+    def pairs(ids):
+        rows = spark.createDataFrame([(i, k, f"{i}.{k}") for i in ids for k in range(1 + i % 3)], "id long, rank int, own string").repartition(7)
+        starts = range_starts(rows.select("id"), 9)
+        return sorted((r["own"], r["ahead"]) for r in with_next(rows, "id", "rank", "own", starts).collect())
+
+    for ids in (list(range(5, 500, 3)), [0], [4], [-7, 2**62]):
+        after = dict(zip(ids, [*ids[1:], ids[0]]))
+        assert pairs(ids) == sorted((f"{i}.{k}", f"{after[i]}.0") for i in ids for k in range(1 + i % 3))
