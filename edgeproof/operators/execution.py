@@ -8,8 +8,13 @@ from pyspark.sql import functions as F
 from ..functions.semantics import INF, correlation, ratio, share
 from . import ordered
 
-#: The integrity audits, in order.
-AUDITS = ("lookahead", "repainting", "same_bar", "intrabar", "timestamp", "corporate_action", "survivorship", "data_snooping")
+#: The integrity audits, in order, each with the question that it answers.
+AUDITS = {
+    "lookahead": "does a decision use what was not yet known when its order was sent?", "repainting": "does a past value of an indicator change once later bars arrive?",
+    "same_bar": "where stop and target lie in one bar, which was reached first?", "intrabar": "does the result change over other plausible paths within the bars?",
+    "timestamp": "do clocks, sessions and time zones match the real market?", "corporate_action": "do adjusted prices or rolls make returns that nobody earned?",
+    "survivorship": "does the universe hold the assets that have disappeared since?", "data_snooping": "how many decisions were taken on the same history?",
+}
 
 
 def slippage_sensitivity(df: DataFrame, value: str = "r", costs: tuple[float, ...] = (0.0, 0.05, 0.1, 0.2, 0.4), by: tuple[str, ...] = ()) -> DataFrame:
@@ -106,11 +111,11 @@ def cross_market_transfer(df: DataFrame, base: str, market: str = "market", valu
 
 
 def integrity_audit(spark, declared: DataFrame, key: str = "key", passed: str = "passed") -> DataFrame:
-    """(ord, audit, status, passed): PASS and FAIL as declared, NOT AUDITED if absent or unknown."""
-    dim = spark.createDataFrame([(i + 1, a) for i, a in enumerate(AUDITS)], "ord int, audit string")
+    """(ord, audit, question, status, passed): PASS and FAIL as declared, NOT AUDITED if absent or unknown."""
+    dim = spark.createDataFrame([(i, a, q) for i, (a, q) in enumerate(AUDITS.items(), 1)], "ord int, audit string, question string")
     known = declared.groupBy(F.col(key).alias("audit")).agg(F.min(F.col(passed).cast("int")).alias("__p"))
     status = F.when(F.col("__p") == 1, F.lit("PASS")).when(F.col("__p") == 0, F.lit("FAIL")).otherwise(F.lit("NOT AUDITED"))
-    return dim.join(known, "audit", "left").select("ord", "audit", status.alias("status"), F.coalesce(F.col("__p") == 1, F.lit(False)).alias("passed"))
+    return dim.join(known, "audit", "left").select("ord", "audit", "question", status.alias("status"), F.coalesce(F.col("__p") == 1, F.lit(False)).alias("passed"))
 
 
 def live_gap(live: Column, backtest: Column, low: Column, high: Column) -> list[Column]:

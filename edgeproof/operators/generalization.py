@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import itertools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +12,10 @@ from . import resample
 from .resample import STATISTICS
 
 
+#: Blocks of a cross-validation: their combinations are a table of at most C(20, 10) x 20 rows.
+MOST_BLOCKS = 20
+
+
 def _stat(metric):
     return STATISTICS[metric] if isinstance(metric, str) else metric
 
@@ -60,27 +63,32 @@ def pbo_cscv(matrix: DataFrame, blocks: int = 10, t: str = "t", config: str = "c
     matrix is long: one row a period (t = 0..T-1) and configuration. Blocks have floor(T / blocks)
     periods, the first T mod blocks one more. Of each way to choose half the blocks, the champion is the
     first configuration with the best mean there; its rank among means of the other half is put on
-    a logit scale. An odd number of blocks is an error.
+    a logit scale. With fewer than two configurations pbo and mean_logit are NULL. An odd number of
+    blocks, or more than 20, is an error.
     """
     if blocks % 2:
         raise ValueError("blocks must be even")
+    if blocks > MOST_BLOCKS:
+        raise ValueError(f"more than {MOST_BLOCKS} blocks are too many combinations")
     spark = matrix.sparkSession
     periods = matrix.agg((F.max(t) + 1).alias("n")).first()["n"] or 0
     size, extra = divmod(periods, blocks)
     cut = extra * (size + 1)
     block = F.when(F.col(t) < cut, F.floor(F.col(t) / (size + 1))).otherwise(extra + F.floor((F.col(t) - cut) / max(size, 1))).cast("int")
     cells = matrix.groupBy(block.alias("block"), F.col(config).alias("config")).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    combos = spark.createDataFrame([(i, b) for i, c in enumerate(itertools.combinations(range(blocks), blocks // 2)) for b in c], "combo int, block int")
-    every = spark.createDataFrame([(i, b) for i in range(math.comb(blocks, blocks // 2)) for b in range(blocks)], "combo int, block int")
-    sides = every.join(F.broadcast(combos.withColumn("inside", F.lit(True))), ["combo", "block"], "left").withColumn("inside", F.coalesce("inside", F.lit(False)))
-    inside = F.col("inside")  # combinations are a fixed table: C(blocks, blocks / 2) x blocks rows
+    # A combination is a number whose bits are the blocks chosen: at most C(20, 10) x 20 rows.
+    chosen = spark.range(1 << blocks).where(F.bit_count("id") == blocks // 2)
+    sides = chosen.select(F.col("id").alias("combo"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")).withColumn("inside", F.expr("shiftright(combo, block) & 1") == 1)
+    inside = F.col("inside")
     means = cells.join(F.broadcast(sides), "block").groupBy("combo", "config").agg(
         ratio(F.sum(F.when(inside, F.col("s"))), F.sum(F.when(inside, F.col("n")))).alias("is_mean"), ratio(F.sum(F.when(~inside, F.col("s"))), F.sum(F.when(~inside, F.col("n")))).alias("oos_mean"),
     )
     best = means.groupBy("combo").agg(F.max_by("oos_mean", F.struct("is_mean", -F.col("config"))).alias("champion"), F.count("*").alias("configs"))
-    rank = means.join(best, "combo").groupBy("combo").agg((F.count(F.when(F.col("oos_mean") <= F.col("champion"), 1)) / (F.first("configs") + 1)).alias("w"))
+    rank = means.join(best, "combo").groupBy("combo").agg((F.count(F.when(F.col("oos_mean") <= F.col("champion"), 1)) / (F.first("configs") + 1)).alias("w"), F.first("configs").alias("configs"))
     logit = rank.withColumn("w", F.least(F.greatest("w", F.lit(1e-6)), F.lit(1 - 1e-6))).withColumn("logit", F.log(F.col("w") / (1 - F.col("w"))))
-    return logit.agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.avg("logit").alias("mean_logit"), F.count("*").alias("splits"))
+    out = logit.agg(F.avg((F.col("logit") <= 0).cast("double")).alias("pbo"), F.avg("logit").alias("mean_logit"), F.count("*").alias("splits"), F.max("configs").alias("__c"))
+    enough = F.col("__c") >= 2  # one configuration is not a choice
+    return out.select(F.when(enough, F.col("pbo")).alias("pbo"), F.when(enough, F.col("mean_logit")).alias("mean_logit"), "splits")
 
 
 def _row_draws(matrix: DataFrame, periods: int, reps: int, seed: int, t: str) -> DataFrame:
@@ -105,7 +113,7 @@ def hansen_spa(matrix: DataFrame, reps: int = 2000, seed: int = 0, t: str = "t",
     at the mean unless it is far below 0; configurations without variance are left out."""
     periods = matrix.agg((F.max(t) + 1).alias("n")).first()["n"] or 0
     root = math.sqrt(periods) if periods else 1.0
-    limit = -math.sqrt(2 * math.log(math.log(periods))) if periods > 3 else 0.0
+    limit = -math.sqrt(2 * math.log(math.log(max(periods, 3))))
     m = F.sum(value) / periods
     stats = matrix.groupBy(config).agg(m.alias("__m"), F.sqrt(F.greatest((F.sum(F.col(value) * F.col(value)) - periods * m * m) / max(1, periods - 1), F.lit(0.0))).alias("__sd")).where("__sd > 0")
     stats = stats.withColumn("__g", F.when(F.col("__m") >= F.lit(limit) * F.col("__sd") / root, F.col("__m")).otherwise(F.lit(0.0)))

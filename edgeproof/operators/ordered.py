@@ -8,6 +8,8 @@ Cumulative products and running maxima compose this way exactly.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
@@ -95,12 +97,64 @@ def sums_before(df: DataFrame, value: str, columns: tuple[str, ...], by: tuple[s
     return out.select(*df.columns, *((F.col(f"__o_{c}") + F.col(f"__b_{c}")).alias(f"before_{c}") for c in columns))
 
 
+#: Accuracy of the approximate quantiles that bracket exact ones; most rows of a bracket that are sorted.
+ACCURACY, BRACKET = 10_000, 200_000
+
+
+def exact_quantiles(df: DataFrame, value: str, probs: tuple[float, ...]) -> list[float | None]:
+    """Exact quantiles, interpolated linearly, of a column of any size, as numbers on the driver.
+
+    Approximate quantiles bracket each wanted rank with certainty; a pass counts what lies before and
+    within the brackets, and brackets narrow until few rows are in them, which are sorted. So no task
+    ever holds the column, and a pass is a plain aggregation.
+    """
+    x = df.select(F.col(value).cast("double").alias("x")).where("x is not null")
+    n = x.count()
+    if not n:
+        return [None] * len(probs)
+    ranks = sorted({min(n - 1, math.floor((n - 1) * p) + d) for p in probs for d in (0, 1)})
+    found: dict[int, float] = {}
+    todo = {k: (-math.inf, math.inf, 0, n) for k in ranks}  # rank: bounds of its value, rows before and within
+    while todo:
+        for lo, hi, before, size in sorted(set(todo.values())):
+            inside = x.where((F.col("x") >= lo) & (F.col("x") <= hi)) if size < n else x
+            own = [k for k, b in todo.items() if b == (lo, hi, before, size)]
+            if size <= BRACKET or lo == hi:
+                # Ranks of distinct values: ties stand together.
+                counts = inside.groupBy("x").agg(F.count("*").alias("c")).withColumn("e", F.sum("c").over(Window.orderBy("x")))
+                want = F.array(*(F.lit(k - before) for k in own))
+                for r in counts.where(F.exists(want, lambda w: (w < F.col("e")) & (w >= F.col("e") - F.col("c")))).collect():
+                    found |= {k: r["x"] for k in own if r["e"] - r["c"] <= k - before < r["e"]}
+                for k in own:
+                    del todo[k]
+                continue
+            at = [(k - before + 0.5) / size for k in own]
+            marks = sorted({min(1.0, max(0.0, a + d / ACCURACY)) for a in at for d in (-2, 2)})
+            edges = dict(zip(marks, inside.agg(F.percentile_approx("x", F.array(*map(F.lit, marks)), ACCURACY).alias("e")).first()["e"], strict=True))
+            pairs = [(edges[min(1.0, max(0.0, a - 2 / ACCURACY))], edges[min(1.0, max(0.0, a + 2 / ACCURACY))]) for a in at]
+            sums = inside.agg(*(F.count(F.when(F.col("x") < a, 1)).alias(f"b{i}") for i, (a, _) in enumerate(pairs)), *(F.count(F.when(F.col("x").between(a, b), 1)).alias(f"w{i}") for i, (a, b) in enumerate(pairs))).first()
+            for i, k in enumerate(own):
+                a, b, c = *pairs[i], sums[f"b{i}"]
+                if not c <= k - before < c + sums[f"w{i}"]:
+                    raise RuntimeError("a quantile lies outside its bracket")
+                todo[k] = (a, b, before + c, sums[f"w{i}"])
+    out = []
+    for p in probs:
+        h = (n - 1) * p
+        a, b = found[min(n - 1, math.floor(h))], found[min(n - 1, math.floor(h) + 1)]
+        out.append(a if a == b or h == math.floor(h) else a + (h - math.floor(h)) * (b - a))
+    return out
+
+
 def quantiles(df: DataFrame, value: str, probs: tuple[float, ...], by: tuple[str, ...] = ()) -> DataFrame:
     """(by..., p, value): exact quantiles, interpolated linearly, of a column of any size.
 
     percentile() keeps all distinct values of a group in one task; here they are spread over ranges
     and only the rows at the wanted ranks come together.
     """
+    if not by:
+        rows = [(float(p), v) for p, v in zip(probs, exact_quantiles(df, value, probs), strict=True) if v is not None]
+        return df.sparkSession.createDataFrame(rows, "p double, value double")
     counts = df.where(F.col(value).isNotNull()).groupBy(*by, F.col(value).cast("double").alias("v")).agg(F.count("*").alias("n"))
     run = sums_before(counts, "v", ("n",), by)
     h = (F.col("total") - 1) * F.col("p")

@@ -26,9 +26,12 @@ def indexed(df: DataFrame, order: tuple[str, ...], block: str | None = None) ->
 
 
 def grid(spark, reps: int, positions: int, step: int = 1) -> DataFrame:
-    """rep x pos (every step-th), spread by replicate."""
-    parts = max(1, min(reps, math.ceil(reps * positions / step / 250_000)))
-    return spark.range(0, reps, 1, parts).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(positions - 1).cast("long"), F.lit(step).cast("long"))).alias("pos"))
+    """rep x pos (every step-th): one range of cells, so no row is large and no task has more than a share
+    of a replicate, however long the series is."""
+    each = math.ceil(positions / step)
+    parts = max(1, math.ceil(reps * each / 250_000))
+    at = F.col("id")
+    return spark.range(0, reps * each, 1, parts).select(F.expr(f"id div {each}").alias("rep"), (F.pmod(at, F.lit(each)) * step).alias("pos"))
 
 
 def _gather(draws: DataFrame, base: DataFrame) -> DataFrame:

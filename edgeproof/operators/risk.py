@@ -144,8 +144,10 @@ def return_on_exposure(returns: DataFrame, exposure: DataFrame, ret: str = "ret"
 
 def expected_shortfall(df: DataFrame, ret: str = "ret", level: float = 0.05, by: tuple[str, ...] = ()) -> DataFrame:
     """Mean of the returns at or below the quantile: by..., expected_shortfall."""
-    q = df.groupBy(*by).agg(value_at_risk(F.col(ret), level).alias("__q"))
-    both = df.join(q, list(by)) if by else df.crossJoin(F.broadcast(q))
+    if not by:
+        limit = ordered.exact_quantiles(df, ret, (level,))[0]
+        return df.agg(F.avg(F.when(F.col(ret) <= F.lit(limit), F.col(ret))).alias("expected_shortfall"))
+    both = df.join(df.groupBy(*by).agg(value_at_risk(F.col(ret), level).alias("__q")), list(by))
     return both.groupBy(*by).agg(F.avg(F.when(F.col(ret) <= F.col("__q"), F.col(ret))).alias("expected_shortfall"))
 
 
@@ -188,6 +190,15 @@ def risk_of_ruin(base: DataFrame, r: str = "r", fraction: float = 0.01, ruin: fl
     return paths.agg(F.avg((F.col("low") <= ruin).cast("double")).alias("risk_of_ruin"))
 
 
+def survival(base: DataFrame, r: str = "r", fraction: float = 0.01, ruin: float = 0.5, n_trades: int | None = None, n_ruin: int = 500, n_sim: int = 5000, seed: int = 0) -> DataFrame:
+    """mdd_p95 (as monte_carlo_drawdown over n_trades) and risk_of_ruin (over n_ruin trades) of the same
+    paths: a draw depends on replicate and place only, so the shorter path begins the longer one."""
+    length = n_trades or base.count()
+    at = F.col("pos")
+    ends = _paths(base, r, fraction, max(length, n_ruin), n_sim, seed).groupBy("rep").agg(F.min(F.when(at < length, F.col("dd"))).alias("mdd"), F.min(F.when(at < n_ruin, F.col("capital"))).alias("low"))
+    return ends.agg(F.percentile("mdd", 0.05).alias("mdd_p95"), F.avg((F.col("low") <= ruin).cast("double")).alias("risk_of_ruin"))
+
+
 def monte_carlo_drawdown(base: DataFrame, r: str = "r", fraction: float = 0.01, n_trades: int | None = None, n_sim: int = 5000, seed: int = 0) -> DataFrame:
     """p50, p95 and p99 (bad) of the resampled paths' maximum drawdown."""
     low = _paths(base, r, fraction, n_trades, n_sim, seed).groupBy("rep").agg(F.min("dd").alias("mdd"))
@@ -219,9 +230,9 @@ def summary(df: DataFrame, ret: str = "ret", ts: str = "ts", by: tuple[str, ...]
     one = frame.groupBy(*by).agg(
         cagr(r, periods).alias("cagr"), volatility(r, periods).alias("volatility"), sharpe(r, 0.0, periods).alias("sharpe"), sortino(r, 0.0, periods).alias("sortino"),
         omega(r).alias("omega"), gain_to_pain(r).alias("gain_to_pain"), max_drawdown(dd).alias("max_drawdown"), average_drawdown(dd).alias("average_drawdown"), time_under_water(dd).alias("time_under_water"),
-        ulcer_index(dd).alias("ulcer_index"), calmar(r, dd, periods).alias("calmar"), recovery_factor(r, dd).alias("recovery_factor"), martin(r, dd, 0.0, periods).alias("martin"), value_at_risk(r).alias("value_at_risk"),
+        ulcer_index(dd).alias("ulcer_index"), calmar(r, dd, periods).alias("calmar"), recovery_factor(r, dd).alias("recovery_factor"), martin(r, dd, 0.0, periods).alias("martin"), *([value_at_risk(r).alias("value_at_risk")] if by else []),
     )
-    both = one
+    both = one if by else one.withColumn("value_at_risk", F.lit(ordered.exact_quantiles(clean(df, ret), ret, (0.05,))[0]).cast("double"))
     for other in (expected_shortfall(clean(df, ret), ret, by=by), burke(frame, ret, ts, by, block, periods)):
         both = both.join(other, list(by)) if by else both.crossJoin(other)
     return tall(both, list(SUMMARY), by)

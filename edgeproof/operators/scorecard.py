@@ -41,11 +41,12 @@ def evaluate(trades: DataFrame, daily: DataFrame, integrity: DataFrame, matrix:
     """All 26 criteria of trades(r), daily(ts, ret), integrity(key, passed) and a matrix(t, config,
     ret) of configurations; without a matrix the overfitting criterion fails.
 
-    Each frame gives a row of values; the two bootstrap criteria share one distribution, and both
-    simulated criteria of survival draw their own. Fewer than 60 trades is an error.
+    Each frame gives a row of values. The trades are put in order once and kept, as ten frames read them;
+    the two bootstrap criteria share one distribution, and both simulated criteria of survival share
+    their paths. Fewer than 60 trades is an error.
     """
     spark = trades.sparkSession
-    base = resample.indexed(clean(trades, r), order, block)
+    base = resample.indexed(clean(trades, r).select(r, *order, *([block] if block else [])), order, block).select("idx", r).persist()
     x = F.col(r)
     edge = base.agg(
         trade.expectancy(x).alias("expectancy"), trade.profit_factor(x).alias("profit_factor"), trade.edge_margin(x).alias("edge_margin"), execution.cost_safety_margin(x, expected_cost).alias("cost_margin"),
@@ -60,16 +61,30 @@ def evaluate(trades: DataFrame, daily: DataFrame, integrity: DataFrame, matrix:
     pbo = generalization.pbo_cscv(matrix).select("pbo") if matrix is not None else spark.range(1).select(F.lit(None).cast("double").alias("pbo"))
     frame = ordered.drawdown(clean(daily, ret), ret, ("ts",))
     survival = frame.agg(F.min("dd").alias("max_drawdown"), risk.sortino(F.col(ret)).alias("sortino"))
-    mdd = risk.monte_carlo_drawdown(base, r, n_trades=n_trades, n_sim=paths, seed=seed).select(F.col("p95").alias("mdd_p95"))
-    ruin = risk.risk_of_ruin(base, r, n_trades=n_trades or 500, n_sim=paths, seed=seed)
+    simulated = risk.survival(base, r, n_trades=n_trades, n_ruin=n_trades or 500, n_sim=paths, seed=seed)
     values = None
-    for frame_ in (edge, boot, hac, neff, oos, wf, pbo, survival, mdd, ruin):
+    for frame_ in (edge, boot, hac, neff, oos, wf, pbo, survival, simulated):
         one = frame_.select(F.explode(F.array(*(F.struct(F.lit(c).alias("criterion"), F.col(c).cast("double").alias("value")) for c in frame_.columns))).alias("x")).select("x.*")
         values = one if values is None else values.unionByName(one)
     audit = execution.integrity_audit(spark, integrity).select(F.lit(0).alias("gate"), "ord", F.col("audit").alias("criterion"), F.when(F.col("status") != "NOT AUDITED", F.col("passed").cast("double")).alias("value"), F.lit("bool").alias("cmp"), F.lit(1.0).alias("limit"), "passed")
     return audit.unionByName(criteria(values, limits_table(spark, mdd_tolerance)))
 
 
+#: What each criterion says, for the printed table.
+NOTES = {
+    "expectancy": "mean result of a trade, after costs", "profit_factor": "gross profit over gross loss", "edge_margin": "win rate above what the payoff needs to break even", "cost_margin": "how many times the expected cost the mean result bears",
+    "newey_west_t": "t of the mean, robust to autocorrelation", "ci_low": "lower end of the 95 % bootstrap interval of the mean", "p_positive": "share of bootstrap means above zero", "n_eff": "observations left after autocorrelation",
+    "oos_ratio": "out of sample over in sample", "walk_forward_efficiency": "mean test over mean train window", "positive_windows": "share of test windows above zero", "pbo": "probability that the champion is overfitted, by symmetric cross-validation",
+    "max_drawdown": "deepest fall seen, against the tolerated one", "mdd_p95": "fall that 5 % of resampled orders exceed", "risk_of_ruin": "share of resampled paths that lose half of the capital", "sortino": "yearly return over downside deviation",
+    "retention_at_double_cost": "share of the mean result left at twice the cost", "expectancy_at_double_cost": "mean result at twice the cost",
+}
+
+
+def notes(spark: SparkSession) -> DataFrame:
+    """(criterion, note): what each criterion says; of an audit, the question that it answers."""
+    return spark.createDataFrame([*NOTES.items(), *execution.AUDITS.items()], "criterion string, note string")
+
+
 def gate_table(scored: DataFrame) -> DataFrame:
     """(gate, name, decisive, criteria, rate, passed); a gate without criteria fails."""
     spark = scored.sparkSession
@@ -79,11 +94,12 @@ def gate_table(scored: DataFrame) -> DataFrame:
 
 
 def table(*scored: DataFrame) -> DataFrame:
-    """All criteria of several evaluations, with what was found as text."""
+    """All criteria of several evaluations, with what was found as text and what each one says."""
     out = scored[0]
     for s in scored[1:]:
         out = out.unionByName(s)
-    return out.withColumn("status", F.when(F.col("passed"), F.lit("PASS")).otherwise(F.lit("FAIL")))
+    told = out.withColumn("status", F.when(F.col("passed"), F.lit("PASS")).otherwise(F.lit("FAIL")))
+    return told.join(F.broadcast(notes(told.sparkSession)), "criterion", "left").select(*told.columns, "note")  # 26 fixed rows
 
 
 def verdict(gates: DataFrame) -> DataFrame:

@@ -72,12 +72,12 @@ def ic_information_ratio(ics: Column) -> Column:
 
 
 def quantile_buckets(df: DataFrame, score: str = "score", k: int = 5) -> DataFrame:
-    """Add bucket 1..k by interpolated quantile edges, right-closed, repeated edges once."""
-    probs = F.array(*(F.lit(i / k) for i in range(k + 1)))
-    edges = df.agg(F.array_distinct(F.percentile(score, probs)).alias("__e"))
+    """Add bucket 1..k by interpolated quantile edges, right-closed, repeated edges once. The edges of a
+    column of any size are k + 1 numbers."""
+    edges = dict.fromkeys(ordered.exact_quantiles(df, score, tuple(i / k for i in range(k + 1))))
     x = F.col(score)
-    above = F.size(F.filter("__e", lambda e: e < x))
-    return df.crossJoin(F.broadcast(edges)).withColumn("bucket", F.when(x.isNotNull(), F.greatest(above, F.lit(1)))).drop("__e")
+    above = sum(((F.lit(e) < x).cast("int") for e in edges if e is not None), F.lit(0))
+    return df.withColumn("bucket", F.when(x.isNotNull(), F.greatest(above, F.lit(1))))
 
 
 def quantile_analysis(df: DataFrame, score: str = "score", fwd: str = "fwd", k: int = 5) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.semantics import clean, gain_over_loss, mean_where, ratio, share, tall
+from . import ordered
 
 
 def expectancy(r: Column) -> Column:
@@ -92,9 +93,14 @@ def iqr(r: Column) -> Column:
 
 
 def mad(df: DataFrame, r: str = "r", by: tuple[str, ...] = ()) -> DataFrame:
-    """Median distance from the median: by..., mad. The medians are one row a group."""
+    """Median distance from the median: by..., mad. The medians are one row a group; those of a whole
+    table of any size come from ordered.exact_quantiles."""
+    if not by:
+        centre = ordered.exact_quantiles(df, r, (0.5,))[0]
+        away = df.select(F.abs(F.col(r) - F.lit(centre)).alias("away"))
+        return df.sparkSession.createDataFrame([(None if centre is None else ordered.exact_quantiles(away, "away", (0.5,))[0],)], "mad double")
     centre = df.groupBy(*by).agg(F.median(r).alias("__m"))
-    joined = df.join(centre, list(by)) if by else df.crossJoin(F.broadcast(centre))
+    joined = df.join(centre, list(by))
     return joined.groupBy(*by).agg(F.median(F.abs(F.col(r) - F.col("__m"))).alias("mad"))
 
 
@@ -111,12 +117,17 @@ _PROBS = (0.05, 0.25, 0.5, 0.75, 0.95)
 
 
 def summary(df: DataFrame, r: str = "r", by: tuple[str, ...] = ()) -> DataFrame:
-    """The whole chapter: (by..., ord, metric, value). One aggregation, whose quantiles share one
-    list of values, and one more for the MAD."""
+    """The whole chapter: (by..., ord, metric, value). One aggregation, and the quantiles and the MAD: by
+    group from one list of values, of a whole table from ordered.exact_quantiles."""
     rows, x = clean(df, r), F.col(r)
     plain = [f(x).alias(k) for k, f in SUMMARY.items() if f not in (median_trade, tail_ratio, iqr)]
     q = lambda i: F.col("__q")[i]
-    one = rows.groupBy(*by).agg(*plain, F.percentile(x, F.array(*map(F.lit, _PROBS))).alias("__q"), F.count(x).alias("__n"))
+    if by:
+        found = F.percentile(x, F.array(*map(F.lit, _PROBS)))
+    else:
+        found = F.array(*(F.lit(v).cast("double") for v in ordered.exact_quantiles(rows, r, _PROBS)))
+    one = rows.groupBy(*by).agg(*plain, F.count(x).alias("__n"), *([found.alias("__q")] if by else []))
+    one = one if by else one.withColumn("__q", found)
     one = one.withColumns({"median": q(2), "iqr": q(3) - q(1), "tail_ratio": F.when(F.col("__n") >= 20, ratio(q(4), F.abs(q(0))))})
     other = mad(rows, r, by)
     both = one.join(other, list(by)) if by else one.crossJoin(other)

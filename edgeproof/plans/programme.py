@@ -45,6 +45,19 @@ def excess(daily: DataFrame, reference: DataFrame, reps: int = 10_000, seed: int
     return execution.beta_alpha(daily.join(reference, "ts")).crossJoin(evidence.bootstrap_ci(base, reps=reps, seed=seed))
 
 
+#: What published results do not say; where a floor was measured, the change of compound
+#: growth that interventions without economic content made.
+CAVEATS = (
+    ("historical simulation", "no account was traded", None), ("survivorship", "the universe favours what is left", None), ("noise floor of recomposition", "a smaller difference says nothing", 0.005), ("noise floor of cached calculations", "a smaller difference says nothing", 0.024),
+    ("sector exposure", "part of the excess is not selection", None), ("choice among candidates", "overfitting is likely, so the reserved window counts", None),
+)
+
+
+def caveats(spark: SparkSession) -> DataFrame:
+    """(ord, caveat, effect, floor) beside any published result."""
+    return spark.createDataFrame([(i, *c) for i, c in enumerate(CAVEATS, 1)], "ord int, caveat string, effect string, floor double")
+
+
 def catalogue(daily: DataFrame, reference: DataFrame, results: DataFrame | None = None, reps: int = 10_000) -> dict[str, Piece]:
     """The usual pieces; those about published results need the results."""
     out = {
@@ -56,6 +69,7 @@ def catalogue(daily: DataFrame, reference: DataFrame, results: DataFrame | None
     if results is not None:
         out["r00"] = Piece("Results, all windows", lambda: {"cagr": published.weighted_cagr(published.windows(results))})
         out["r01"] = Piece("Results by window", lambda: {"windows": published.windows(results)})
+        out["r02"] = Piece("What the results do not say", lambda: {"caveats": caveats(results.sparkSession)})
     return out
 
 

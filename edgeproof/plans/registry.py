@@ -14,8 +14,9 @@ from . import sql
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
-#: Replicates in registered simulations.
-REPS = 100
+#: Replicates: the operators' own numbers, of simulations and distributions, of bootstrap intervals, of the
+#: comparison of methods and of drawn equity paths.
+REPS, CI, COMPARED, DRAWN = 5_000, 10_000, 500, 500
 
 
 def add(name: str, fn: Callable[[SparkSession, str], DataFrame], oracle: str | None = None) -> None:
@@ -142,14 +143,15 @@ frame("risk_monte_carlo_loss_probability", lambda s, d: risk.monte_carlo_loss_pr
 
 _DIST = "v AS (SELECT rep, avg(r) AS v FROM dr GROUP BY 1)"
 _BOOT = f"{sql.B2}, {sql.draws(REPS)}, {_DIST}"
+_BOOT_CI = _BOOT.replace(f"range(0, {REPS})", f"range(0, {CI})")
 _ACF = "ac AS (SELECT k AS lag, " + sql.safe_corr("x", "y") + " AS rho FROM (SELECT a.r AS x, b.r AS y, a.idx - b.idx AS k FROM {b} a JOIN {b} b ON a.idx - b.idx BETWEEN 1 AND 10) GROUP BY 1)"
 _NW = """g AS (SELECT a.idx - b.idx AS k, avg((a.r - m)*(b.r - m)) AS g FROM {b} a JOIN {b} b ON a.idx - b.idx BETWEEN 0 AND (SELECT CAST(floor(4*pow(count(*)/100.0, 2.0/9)) AS BIGINT) FROM {b}) CROSS JOIN (SELECT avg(r) AS m FROM {b}) GROUP BY 1)"""
 _NWT = "(SELECT (SELECT avg(r) FROM {b})/sqrt(sum(CASE WHEN k = 0 THEN 1.0 ELSE 2*(1 - k/(1.0 + floor(4*pow((SELECT count(*) FROM {b})/100.0, 2.0/9)))) END * g)/(SELECT count(*) FROM {b})) FROM g)"
 scalar("evidence_t_stat", fixtures.trades, lambda: evidence.t_stat(F.col("r")), sql.F1, "f1", "avg(r)*sqrt(count(r))/stddev_samp(r)")
-frame("evidence_bootstrap_ci", lambda s, d: evidence.bootstrap_ci(base2(s, d), reps=REPS), _BOOT, "SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
-frame("evidence_bootstrap_ci_median", lambda s, d: evidence.bootstrap_ci(base2(s, d), statistic="median", reps=REPS), f"{sql.B2}, {sql.draws(REPS)}, v AS (SELECT rep, median(r) AS v FROM dr GROUP BY 1)", "SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
-frame("evidence_probability_positive", lambda s, d: evidence.probability_positive(base2(s, d), reps=REPS), _BOOT, "SELECT round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS probability FROM v")
-frame("evidence_bootstrap_se", lambda s, d: evidence.bootstrap_se(base2(s, d), reps=REPS), _BOOT, "SELECT round(stddev_samp(v), 6) AS se FROM v")
+frame("evidence_bootstrap_ci", lambda s, d: evidence.bootstrap_ci(base2(s, d), reps=CI), _BOOT_CI, "SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
+frame("evidence_bootstrap_ci_median", lambda s, d: evidence.bootstrap_ci(base2(s, d), statistic="median", reps=CI), f"{sql.B2}, {sql.draws(CI)}, v AS (SELECT rep, median(r) AS v FROM dr GROUP BY 1)", "SELECT round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v")
+frame("evidence_probability_positive", lambda s, d: evidence.probability_positive(base2(s, d), reps=CI), _BOOT_CI, "SELECT round(avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END), 6) AS probability FROM v")
+frame("evidence_bootstrap_se", lambda s, d: evidence.bootstrap_se(base2(s, d), reps=CI), _BOOT_CI, "SELECT round(stddev_samp(v), 6) AS se FROM v")
 _SR = "(avg(ret)/stddev_samp(ret))"
 _MOMENTS = f"{sql.F2}, mo AS (SELECT {_SR} AS sr, count(ret) AS n, ((avg(ret*ret*ret) - 3*avg(ret)*avg(ret*ret) + 2*pow(avg(ret),3))/pow(var_pop(ret),1.5)) AS sk, ((avg(ret*ret*ret*ret) - 4*avg(ret)*avg(ret*ret*ret) + 6*pow(avg(ret),2)*avg(ret*ret) - 3*pow(avg(ret),4))/pow(var_pop(ret),2)) AS ku FROM f2)"
 _V = "sqrt(1 - sk*sr + (ku-1)/4*sr*sr)"
@@ -177,12 +179,12 @@ _MB = f"{sql.B2}, {_BLOCKS}, v AS (SELECT rep, avg(b2.r) AS v FROM bl JOIN b2 ON
 frame("evidence_moving_block_bootstrap", lambda s, d: resample.distribution(base2(s, d), reps=REPS, method="moving_block"), _MB, "SELECT rep, round(v, 6) AS value FROM v")
 _ST = f"""{sql.B2}, cells AS (SELECT CAST(g AS BIGINT) AS rep, b2.idx AS pos FROM range(0, {REPS}) t(g) CROSS JOIN b2),
   jumps AS (SELECT rep, pos, (pos = 0 OR {sql.hashed("'0j'", 'rep', 'pos')} < {int(2**32 / 20)}) AS j, {sql.hashed('0', 'rep', 'pos')} % (SELECT count(*) FROM b2) AS s FROM cells),
-  lj AS (SELECT rep, pos, max(CASE WHEN j THEN pos END) OVER (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING) AS p FROM jumps),
-  v AS (SELECT a.rep, avg(b2.r) AS v FROM lj a JOIN jumps q ON q.rep = a.rep AND q.pos = a.p JOIN b2 ON b2.idx = (q.s + a.pos - a.p) % (SELECT count(*) FROM b2) GROUP BY 1)"""
+  lj AS (SELECT rep, pos, max(CASE WHEN j THEN pos*4294967296 + s END) OVER (PARTITION BY rep ORDER BY pos ROWS UNBOUNDED PRECEDING) AS ps FROM jumps),
+  v AS (SELECT a.rep, avg(b2.r) AS v FROM (SELECT rep, (ps % 4294967296 + pos - ps // 4294967296) % (SELECT count(*) FROM b2) AS idx FROM lj) a JOIN b2 ON b2.idx = a.idx GROUP BY 1)"""
 frame("evidence_stationary_bootstrap", lambda s, d: resample.distribution(base2(s, d), reps=REPS, method="stationary"), _ST, "SELECT rep, round(v, 6) AS value FROM v")
 _CI = "SELECT '{m}' AS method, round(quantile_cont(v, 0.025), 6) AS low, round(quantile_cont(v, 0.975), 6) AS high FROM v"
-frame("evidence_bootstrap_sensitivity", lambda s, d: evidence.bootstrap_sensitivity(base2(s, d), reps=REPS), "", " UNION ALL ".join(f"SELECT * FROM (WITH {c} {_CI.format(m=m)})" for m, c in (("iid", _BOOT), ("moving_block", _MB), ("stationary", _ST))))
-frame("evidence_monte_carlo_equity", lambda s, d: evidence.monte_carlo_equity(base2(s, d), fraction=1.0, n_sim=10), f"{sql.B2}, {sql.draws(10)}, {_PATHS}", "SELECT rep, pos, round(c, 6) AS equity FROM p")
+frame("evidence_bootstrap_sensitivity", lambda s, d: evidence.bootstrap_sensitivity(base2(s, d), reps=COMPARED), "", " UNION ALL ".join(f"SELECT * FROM (WITH {c.replace(f'range(0, {REPS})', f'range(0, {COMPARED})')} {_CI.format(m=m)})" for m, c in (("iid", _BOOT), ("moving_block", _MB), ("stationary", _ST))))
+frame("evidence_monte_carlo_equity", lambda s, d: evidence.monte_carlo_equity(base2(s, d), fraction=1.0, n_sim=DRAWN), f"{sql.B2}, {sql.draws(DRAWN)}, {_PATHS}", "SELECT rep, pos, round(c, 6) AS equity FROM p")
 frame("evidence_monte_carlo_terminal", lambda s, d: evidence.monte_carlo_terminal(base2(s, d), fraction=1.0, n_sim=REPS), f"{sql.B2}, {sql.draws(REPS)}, e AS (SELECT rep, product(1+r) AS e FROM dr GROUP BY 1)", " UNION ALL ".join(f"SELECT CAST({q} AS DOUBLE) AS q, round(quantile_cont(e, {q}), 6) AS equity FROM e" for q in evidence.TERMINAL))
 add("evidence_summary", lambda s, d: rounded(evidence.summary(fixtures.daily(s, d), "ret", ("ts",), REPS)), tall_sql(
     f"{_BOOT}, {_ACF.format(b='b2')}, {_NW.format(b='b2')}, lq AS (SELECT {_Q.format(b='b2')} AS q), lz AS (SELECT q, (pow(q/10, 1.0/3) - (1 - 2.0/90))/sqrt(2.0/90) AS z FROM lq)", "b2",

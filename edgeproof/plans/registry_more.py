@@ -10,7 +10,7 @@ from ..operators import charts, execution, generalization, ordered, risk, scorec
 from ..sources import fixtures, generators, published
 from ..streaming import live
 from . import programme, sql
-from .registry import _BOOT, _NEFF, _NW, _NWT, _PATHS, _PF, _ACF, REPS, RISK, TRADE, _bins_sql, add, base1, base2, drawn, frame, rounded, scalar
+from .registry import _BOOT_CI, _NEFF, _NW, _NWT, _PATHS, _PF, _ACF, CI, REPS, RISK, TRADE, _bins_sql, add, base1, base2, drawn, frame, rounded, scalar
 
 # Generalization -------------------------------------------------------------------------------
 
@@ -34,10 +34,10 @@ _PBO = f"""{sql.F5}, np AS (SELECT max(t)+1 AS n FROM f5), bk AS (SELECT t, conf
   lg AS (SELECT ln(least(greatest(w, 1e-6), 1-1e-6)/(1-least(greatest(w, 1e-6), 1-1e-6))) AS l FROM rk)"""
 frame("generalization_pbo_cscv", lambda s, d: generalization.pbo_cscv(fixtures.matrix(s, d)), _PBO, "SELECT round(avg(CASE WHEN l <= 0 THEN 1.0 ELSE 0.0 END), 6) AS pbo, round(avg(l), 6) AS mean_logit, count(*) AS splits FROM lg")
 _MROWS = f"""{sql.F5}, np AS (SELECT max(t)+1 AS n FROM f5), mi AS (SELECT config, avg(ret) AS m, stddev_samp(ret) AS sd FROM f5 GROUP BY 1),
-  kd AS (SELECT rep, {sql.hashed('0', 'rep', 'pos')} % (SELECT n FROM np) AS t FROM (SELECT CAST(g AS BIGINT) AS rep FROM range(0, {REPS}) q(g)) CROSS JOIN (SELECT DISTINCT t AS pos FROM f5)),
+  kd AS (SELECT rep, {sql.hashed('0', 'rep', 'pos')} % (SELECT n FROM np) AS t FROM (SELECT CAST(g AS BIGINT) AS rep FROM range(0, 2000) q(g)) CROSS JOIN (SELECT DISTINCT t AS pos FROM f5)),
   bm AS (SELECT kd.rep, f5.config, sum(f5.ret)/(SELECT n FROM np) AS b FROM kd JOIN f5 ON f5.t = kd.t GROUP BY 1, 2)"""
-frame("generalization_reality_check", lambda s, d: generalization.reality_check(fixtures.matrix(s, d), reps=REPS), f"{_MROWS}, st AS (SELECT sqrt((SELECT n FROM np))*max(m) AS v FROM mi), nl AS (SELECT rep, sqrt((SELECT n FROM np))*max(b - m) AS v FROM bm JOIN mi ON mi.config = bm.config GROUP BY 1)", "SELECT round((SELECT v FROM st), 6) AS statistic, round(avg(CASE WHEN nl.v >= (SELECT v FROM st) THEN 1.0 ELSE 0.0 END), 6) AS p FROM nl")
-frame("generalization_hansen_spa", lambda s, d: generalization.hansen_spa(fixtures.matrix(s, d), reps=REPS), f"""{_MROWS}, gi AS (SELECT config, m, sd, CASE WHEN m >= -sqrt(2*ln(ln((SELECT n FROM np))))*sd/sqrt((SELECT n FROM np)) THEN m ELSE 0.0 END AS g FROM mi WHERE sd > 0),
+frame("generalization_reality_check", lambda s, d: generalization.reality_check(fixtures.matrix(s, d)), f"{_MROWS}, st AS (SELECT sqrt((SELECT n FROM np))*max(m) AS v FROM mi), nl AS (SELECT rep, sqrt((SELECT n FROM np))*max(b - m) AS v FROM bm JOIN mi ON mi.config = bm.config GROUP BY 1)", "SELECT round((SELECT v FROM st), 6) AS statistic, round(avg(CASE WHEN nl.v >= (SELECT v FROM st) THEN 1.0 ELSE 0.0 END), 6) AS p FROM nl")
+frame("generalization_hansen_spa", lambda s, d: generalization.hansen_spa(fixtures.matrix(s, d)), f"""{_MROWS}, gi AS (SELECT config, m, sd, CASE WHEN m >= -sqrt(2*ln(ln((SELECT n FROM np))))*sd/sqrt((SELECT n FROM np)) THEN m ELSE 0.0 END AS g FROM mi WHERE sd > 0),
   st AS (SELECT greatest(max(sqrt((SELECT n FROM np))*m/sd), 0.0) AS v FROM gi), nl AS (SELECT rep, greatest(max(sqrt((SELECT n FROM np))*(b - g)/sd), 0.0) AS v FROM bm JOIN gi ON gi.config = bm.config GROUP BY 1)""", "SELECT round((SELECT v FROM st), 6) AS statistic, round(avg(CASE WHEN nl.v >= (SELECT v FROM st) THEN 1.0 ELSE 0.0 END), 6) AS p FROM nl")
 frame("generalization_research_trials", lambda s, d: generalization.research_trials(fixtures.read(s, d, "orders").select(F.when(~F.col("o_orderpriority").startswith("5"), F.col("o_orderpriority")).alias("family"))), "fam AS (SELECT CASE WHEN o_orderpriority NOT LIKE '5%' THEN o_orderpriority ELSE 'undeclared' END AS family FROM orders)", "SELECT family, count(*) AS trials, false AS total FROM fam GROUP BY 1 UNION ALL SELECT NULL, count(*), true FROM fam")
 frame("generalization_parameter_stability", lambda s, d: generalization.parameter_stability(fixtures.responses(s, d)), f"{sql.F7}, nb AS (SELECT param, value, lag(value) OVER (ORDER BY param) AS a, lead(value) OVER (ORDER BY param) AS b FROM f7), tp AS (SELECT * FROM nb ORDER BY value DESC, param LIMIT 1)", "SELECT param AS best_param, round(value, 6) AS best, round((coalesce(a, 0) + coalesce(b, 0))/((a IS NOT NULL)::INT + (b IS NOT NULL)::INT), 6) AS neighbours, round((coalesce(a, 0) + coalesce(b, 0))/((a IS NOT NULL)::INT + (b IS NOT NULL)::INT)/value, 6) AS ratio FROM tp")
@@ -46,7 +46,7 @@ scalar("generalization_neighbourhood_robustness", fixtures.responses, lambda: ge
 frame("generalization_parameter_drift", lambda s, d: generalization.parameter_drift(fixtures.responses(s, d).select(F.col("param").alias("value"))), sql.F7, "SELECT round(avg(param), 6) AS mean, round(stddev_samp(param), 6) AS sd, round(stddev_samp(param)/abs(avg(param)), 6) AS cv, CAST(min(param) AS DOUBLE) AS min, CAST(max(param) AS DOUBLE) AS max FROM f7")
 frame("generalization_lag_robustness", lambda s, d: generalization.lag_robustness(fixtures.responses(s, d), "param"), f"{sql.F7}, lr AS (SELECT value, row_number() OVER (ORDER BY param) AS k FROM f7)", "SELECT round(max(value) FILTER (WHERE k = 1), 6) AS first, round(max(value) FILTER (WHERE k = 2), 6) AS second, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive, round(max(value) FILTER (WHERE k = 2)/max(value) FILTER (WHERE k = 1), 6) AS retention FROM lr")
 _U = lambda tag: f"(({sql.hashed(chr(39) + '0' + tag + chr(39), 'rep', 'idx')} + 0.5)/4294967296.0)"
-frame("generalization_price_perturbation", lambda s, d: generalization.price_perturbation(base2(s, d), 0.0001, reps=50), f"{sql.B2}, pp AS (SELECT rep, avg(r - abs(0.0001 + 0.00004*sqrt(-2*ln({_U('a')}))*cos(2*pi()*{_U('b')}))) AS m FROM b2 CROSS JOIN (SELECT CAST(g AS BIGINT) AS rep FROM range(0, 50) t(g)) GROUP BY 1)", "SELECT round(quantile_cont(m, 0.5), 6) AS p50, round(quantile_cont(m, 0.05), 6) AS p05, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM pp")
+frame("generalization_price_perturbation", lambda s, d: generalization.price_perturbation(base2(s, d), 0.0001), f"{sql.B2}, pp AS (SELECT rep, avg(r - abs(0.0001 + 0.00004*sqrt(-2*ln({_U('a')}))*cos(2*pi()*{_U('b')}))) AS m FROM b2 CROSS JOIN (SELECT CAST(g AS BIGINT) AS rep FROM range(0, 200) t(g)) GROUP BY 1)", "SELECT round(quantile_cont(m, 0.5), 6) AS p50, round(quantile_cont(m, 0.05), 6) AS p05, round(avg(CASE WHEN m > 0 THEN 1.0 ELSE 0.0 END), 6) AS positive FROM pp")
 scalar("generalization_robustness_pass_rate", lambda s, d: fixtures.trades(s, d).groupBy("asset").agg((F.avg("r") > 0).alias("passed")), lambda: generalization.robustness_pass_rate(F.col("passed")), f"{sql.F1}, pr AS (SELECT asset, avg(r) > 0 AS passed FROM f1 GROUP BY 1)", "pr", "avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END)")
 _GRIDS = "gr AS (SELECT CAST(ceil(l_quantity/5) AS INTEGER) AS x, l_linenumber AS y, avg(l_extendedprice) AS value FROM lineitem GROUP BY 1, 2)"
 
@@ -149,8 +149,8 @@ def _declared(s, d):
     return n.select(F.element_at(F.array(*map(F.lit, execution.AUDITS)), F.col("n_nationkey") + 1).alias("key"), F.when(F.col("n_nationkey") != 3, F.col("n_regionkey") != 0).alias("passed"))
 
 
-_AUD = "dm AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS ord, unnest([" + ", ".join(f"'{a}'" for a in execution.AUDITS) + "]) AS audit), de AS (SELECT n_nationkey + 1 AS ord, CASE WHEN n_nationkey <> 3 THEN n_regionkey <> 0 END AS p FROM nation WHERE n_nationkey < 7), au AS (SELECT dm.ord, audit, CASE WHEN p THEN 'PASS' WHEN NOT p THEN 'FAIL' ELSE 'NOT AUDITED' END AS status, coalesce(p, false) AS passed FROM dm LEFT JOIN de ON de.ord = dm.ord)"
-frame("execution_integrity_audit", lambda s, d: execution.integrity_audit(s, _declared(s, d)), _AUD, "SELECT ord, audit, status, passed FROM au")
+_AUD = "dm AS (SELECT CAST(unnest(range(1, 9)) AS INTEGER) AS ord, unnest([" + ", ".join(f"'{a}'" for a in execution.AUDITS) + "]) AS audit, unnest([" + ", ".join(f"'{q}'" for q in execution.AUDITS.values()) + "]) AS question), de AS (SELECT n_nationkey + 1 AS ord, CASE WHEN n_nationkey <> 3 THEN n_regionkey <> 0 END AS p FROM nation WHERE n_nationkey < 7), au AS (SELECT dm.ord, audit, CASE WHEN p THEN 'PASS' WHEN NOT p THEN 'FAIL' ELSE 'NOT AUDITED' END AS status, coalesce(p, false) AS passed, question FROM dm LEFT JOIN de ON de.ord = dm.ord)"
+frame("execution_integrity_audit", lambda s, d: execution.integrity_audit(s, _declared(s, d)), _AUD, "SELECT ord, audit, question, status, passed FROM au")
 frame("execution_live_gap", lambda s, d: fixtures.trades(s, d).agg(F.avg(F.when(F.year("entry") >= 1998, F.col("r"))).alias("l"), F.avg(F.when(F.year("entry") < 1998, F.col("r"))).alias("b")).select(*execution.live_gap(F.col("l"), F.col("b"), F.lit(-0.05), F.lit(0.05))), sql.F1, "SELECT round(l - b, 6) AS gap, l BETWEEN -0.05 AND 0.05 AS inside FROM (SELECT avg(r) FILTER (WHERE year(entry) >= 1998) AS l, avg(r) FILTER (WHERE year(entry) < 1998) AS b FROM f1)")
 frame("execution_ci_breach_rate", lambda s, d: execution.breach_rate(fixtures.trades(s, d).select(F.col("regime").alias("strategy"), F.col("r").alias("value")), fixtures.trades(s, d).groupBy(F.col("regime").alias("strategy")).agg(F.percentile("r", 0.25).alias("low"), F.percentile("r", 0.75).alias("high"))), f"{sql.F1}, iv AS (SELECT regime, quantile_cont(r, 0.25) AS low, quantile_cont(r, 0.75) AS high FROM f1 GROUP BY 1)", "SELECT f1.regime AS strategy, round(avg(CASE WHEN r BETWEEN low AND high THEN 0.0 ELSE 1.0 END), 6) AS breach_rate, count(r) AS n FROM f1 JOIN iv USING (regime) GROUP BY 1")
 frame("execution_live_slippage_gap", lambda s, d: execution.live_slippage_gap(fixtures.trades(s, d).where("regime = 'A'"), fixtures.trades(s, d).where("regime = 'N'"), "cost"), sql.F1, "SELECT round((avg(cost) FILTER (WHERE regime = 'A')) - (avg(cost) FILTER (WHERE regime = 'N')), 6) AS gap FROM f1")
@@ -171,26 +171,34 @@ _Q = {
     "pbo": f"WITH {_PBO} SELECT avg(CASE WHEN l <= 0 THEN 1.0 ELSE 0.0 END) FROM lg", "max_drawdown": f"WITH {sql.DD} SELECT min(dd) FROM dd", "sortino": f"WITH {sql.DD} SELECT {RISK['sortino']} FROM dd",
     "retention_at_double_cost": f"WITH {sql.F1} SELECT (avg(r)-0.1)/avg(r) FROM f1", "expectancy_at_double_cost": f"WITH {sql.F1} SELECT avg(r)-0.1 FROM f1",
 }
-_SIM = 5  # whole resamples of every trade: few, the rows are reps x trades
+#: The operators' own numbers of resamples, of simulated paths and of trades that ruin is simulated over.
+_RESAMPLES, _SIMULATED, _RUIN = 10_000, 5_000, 500
 _PATHS1 = _PATHS.replace("(1+r)", "(1+r*0.01)")
-_B1D = f"{sql.B1}, {sql.draws(_SIM, 'b1')}"
+_B1D = f"{sql.B1}, {sql.draws(_RESAMPLES, 'b1')}"
 _Q |= {
     "ci_low": f"WITH {_B1D}, v AS (SELECT rep, avg(r) AS v FROM dr GROUP BY 1) SELECT quantile_cont(v, 0.025) FROM v", "p_positive": f"WITH {_B1D}, v AS (SELECT rep, avg(r) AS v FROM dr GROUP BY 1) SELECT avg(CASE WHEN v > 0 THEN 1.0 ELSE 0.0 END) FROM v",
-    "mdd_p95": f"WITH {sql.B1}, {sql.draws(_SIM, 'b1', length=500)}, {_PATHS1} SELECT quantile_cont(m, 0.05) FROM (SELECT rep, min(dd) AS m FROM q GROUP BY 1)",
-    "risk_of_ruin": f"WITH {sql.B1}, {sql.draws(_SIM, 'b1', length=500)}, {_PATHS1} SELECT avg(CASE WHEN low <= 0.5 THEN 1.0 ELSE 0.0 END) FROM (SELECT rep, min(c) AS low FROM p GROUP BY 1)",
+    "mdd_p95": f"WITH {sql.B1}, {sql.draws(_SIMULATED, 'b1')}, {_PATHS1} SELECT quantile_cont(m, 0.05) FROM (SELECT rep, min(dd) AS m FROM q GROUP BY 1)",
+    "risk_of_ruin": f"WITH {sql.B1}, {sql.draws(_SIMULATED, 'b1', length=_RUIN)}, {_PATHS1} SELECT avg(CASE WHEN low <= 0.5 THEN 1.0 ELSE 0.0 END) FROM (SELECT rep, min(c) AS low FROM p GROUP BY 1)",
 }
+# The scorecard judges the generated strategy: 420 trades, 2,730 days.
+_Q = {c: q.replace(sql.B1, sql.GB1).replace(sql.F1, sql.G1).replace(sql.F2, sql.G2) for c, q in _Q.items()}
 _LIM = [(g, i + 1, c, op, -0.3 if x is None else x) for i, (g, c, op, x) in enumerate(scorecard.LIMITS)]
 _CRIT = f"WITH {_AUD}, cr AS (SELECT 0 AS gate, ord, audit AS criterion, CASE WHEN status <> 'NOT AUDITED' THEN CAST(passed AS DOUBLE) END AS value, 'bool' AS cmp, 1.0::DOUBLE AS lim, passed FROM au " + "".join(
     f"UNION ALL SELECT {g}, {i}, '{c}', v, '{op}', {x}::DOUBLE, coalesce(v {op} {x}, false) FROM (SELECT CAST(({_Q[c]}) AS DOUBLE) AS v) " for g, i, c, op, x in _LIM) + ")"
 _GATE = "gn AS (SELECT unnest([0, 1, 2, 3, 4, 5]) AS gate, unnest([" + ", ".join(f"'{n}'" for _, n, _ in scorecard.GATES) + "]) AS name, unnest([" + ", ".join(str(x).lower() for *_, x in scorecard.GATES) + "]) AS decisive), gt AS (SELECT gn.gate, name, decisive, count(*) AS criteria, avg(CASE WHEN passed THEN 1.0 ELSE 0.0 END) AS rate, bool_and(passed) AS passed FROM gn JOIN cr ON cr.gate = gn.gate GROUP BY 1, 2, 3)"
 
 
+_NOTES = "SELECT unnest([" + ", ".join(f"'{c}'" for c in (*scorecard.NOTES, *execution.AUDITS)) + "]) AS criterion, unnest([" + ", ".join(f"'{n}'" for n in (*scorecard.NOTES.values(), *execution.AUDITS.values())) + "]) AS note"
+
+
 def evaluated(s, d):
-    return scorecard.evaluate(fixtures.trades(s, d), fixtures.daily(s, d), _declared(s, d), fixtures.matrix(s, d), order=fixtures.ORDER, block="month", reps=_SIM, paths=_SIM, n_trades=500)
+    """At the operators' own counts."""
+    made = generators.strategy(s)
+    return scorecard.evaluate(made.trades, made.daily, _declared(s, d), fixtures.matrix(s, d), order=("idx",), reps=_RESAMPLES, paths=_SIMULATED)
 
 
 add("scorecard_criteria", lambda s, d: rounded(evaluated(s, d)), f"{_CRIT} SELECT gate, ord, criterion, round(value, 6) AS value, cmp, lim AS \"limit\", passed FROM cr")
-add("scorecard_table", lambda s, d: rounded(scorecard.table(evaluated(s, d))), f"{_CRIT} SELECT gate, ord, criterion, round(value, 6) AS value, cmp, lim AS \"limit\", passed, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status FROM cr")
+add("scorecard_table", lambda s, d: rounded(scorecard.table(evaluated(s, d))), f"{_CRIT} SELECT gate, ord, criterion, round(value, 6) AS value, cmp, lim AS \"limit\", passed, CASE WHEN passed THEN 'PASS' ELSE 'FAIL' END AS status, note FROM cr JOIN ({_NOTES}) USING (criterion)")
 add("scorecard_gates", lambda s, d: rounded(scorecard.gate_table(evaluated(s, d))), f"{_CRIT}, {_GATE} SELECT gate, name, decisive, criteria, round(rate, 6) AS rate, passed FROM gt")
 add("scorecard_verdict", lambda s, d: scorecard.verdict(scorecard.gate_table(evaluated(s, d))), f"{_CRIT}, {_GATE} SELECT CASE WHEN bool_or(NOT passed AND decisive) THEN 'REJECTED' WHEN bool_and(passed) THEN 'APPROVED' ELSE 'RESERVATIONS' END AS verdict, string_agg(CAST(gate AS VARCHAR), ',' ORDER BY gate) FILTER (WHERE NOT passed) AS failed_gates FROM gt")
 add("scorecard_composite", lambda s, d: rounded(scorecard.composite(scorecard.gate_table(evaluated(s, d)))), f"{_CRIT}, {_GATE} SELECT CASE WHEN bool_or(NOT passed AND decisive) THEN 0.0 ELSE round(avg(rate), 6) END AS score FROM gt")
@@ -210,12 +218,14 @@ _PCOLS = "janela, pregoes, round(cagr, 6) AS cagr, round(alpha, 6) AS alpha, res
 for _n, _f, _w in (("windows", published.windows, f"janela <> '{published.FULL_SAMPLE}'"), ("reserved", published.reserved, "reservada = 1"), ("full_sample", published.full_sample, f"janela = '{published.FULL_SAMPLE}'")):
     frame(f"published_{_n}", lambda s, d, f=_f: f(_yearly(s, d)).select("janela", "pregoes", "cagr", "alpha", "reservada"), _PUB, f"SELECT {_PCOLS} FROM pu WHERE {_w}")
 frame("published_weighted_cagr", lambda s, d: published.weighted_cagr(published.windows(_yearly(s, d))), _PUB, f"SELECT round(exp(sum(pregoes*ln(1+cagr))/sum(pregoes))-1, 6) AS cagr FROM pu WHERE janela <> '{published.FULL_SAMPLE}'")
-add("published_headline", lambda s, d: published.headline(_yearly(s, d)))
-add("generated_strategy_trades", lambda s, d: generators.strategy(s).trades)
-add("generated_strategy_capital", lambda s, d: generators.strategy(s).capital())
-add("generated_benchmark", lambda s, d: generators.benchmark(generators.strategy(s).daily))
-add("generated_comparable_pair", lambda s, d: generators.comparable_pair(s))
-add("generated_signal", lambda s, d: generators.signal(s))
+add("published_headline", lambda s, d: published.headline(_yearly(s, d)), f"WITH {_PUB}, hl AS (SELECT max(alpha) FILTER (WHERE janela = '{published.FULL_SAMPLE}') AS fa, max(alpha) FILTER (WHERE reservada = 1) AS ra FROM pu) SELECT printf('Full sample: excess %+.2f%% (t = %.2f). Reserved window: %+.2f%% (t = %.2f).', fa*100, fa*100, ra*100, ra*100) AS headline FROM hl")
+frame("generated_strategy_trades", lambda s, d: generators.strategy(s).trades, sql.GENERATED, "SELECT idx, entry, exit, round(r, 6) AS r, round(ret, 6) AS ret, asset, regime, round(mae, 6) AS mae, round(mfe, 6) AS mfe FROM gt")
+frame("generated_strategy_capital", lambda s, d: generators.strategy(s).capital(), sql.GENERATED, "SELECT ts, round(ret, 6) AS ret, round(product(1+ret) OVER (ORDER BY ts ROWS UNBOUNDED PRECEDING), 6) AS capital FROM gd")
+frame("generated_benchmark", lambda s, d: generators.benchmark(generators.strategy(s).daily), sql.GENERATED, f"SELECT ts, round(0.55*ret + {1 - 0.55!r}*{sql.normal(7, 'bench', 0.09 / 252, 0.011, 'ts')}, 6) AS bench FROM gd")
+_PAIR = f"""ga AS (SELECT id, {sql.normal(5, 'a', 0.0006, 0.005)} AS a, {sql.normal(5, 'b', 0.0006, 0.016)} - CASE WHEN id >= {int(252 * 0.45)} AND id < {int(252 * 0.58)} THEN 0.010 ELSE 0.0 END AS b FROM (SELECT CAST(i AS BIGINT) AS id FROM range(0, 252) t(i))),
+  gs AS (SELECT sum(ln(1+a)) AS la, sum(ln(1+b)) AS lb FROM ga)"""
+frame("generated_comparable_pair", lambda s, d: generators.comparable_pair(s), _PAIR, f"SELECT {sql.business_day('2025-12-29', 4, 'id')} AS ts, round(exp(ln(1+a) + (ln(1.15) - la)/252) - 1, 6) AS a, round(exp(ln(1+b) + (ln(1.15) - lb)/252) - 1, 6) AS b FROM ga CROSS JOIN gs")
+frame("generated_signal", lambda s, d: generators.signal(s), f"gs AS (SELECT {sql.normal(11, 'score')} AS score, {sql.normal(11, 'noise')} AS e FROM (SELECT CAST(i AS BIGINT) AS id FROM range(0, 3000) t(i)))", "SELECT round(score, 6) AS score, round(0.02*(0.045*score + sqrt(1 - 0.045*0.045)*e), 6) AS fwd FROM gs")
 frame("generated_business_days", lambda s, d: s.range(300).select("id", generators.business_day("2012-01-02", F.col("id")).alias("day")), "", "SELECT CAST(row_number() OVER (ORDER BY day) - 1 AS BIGINT) AS id, CAST(day AS TIMESTAMP) AS day FROM (SELECT CAST(unnest(generate_series(DATE '2012-01-02', DATE '2013-12-31', INTERVAL 1 DAY)) AS DATE) AS day) WHERE isodow(day) < 6 QUALIFY row_number() OVER (ORDER BY day) <= 300")
 
 
@@ -229,10 +239,11 @@ def _portfolio(s, d):
 _POS = "po AS (SELECT n_name AS ticker, CASE WHEN n_nationkey = 3 THEN 'Perfil X' ELSE '' END AS label, 0.5/25 + n_nationkey/10000.0 - 0.0012 AS weight, false AS cash FROM nation UNION ALL SELECT 'CAIXA', '', 0.5, true)"
 frame("portfolio_card", lambda s, d: published.portfolio_card(_portfolio(s, d).withColumn("label", F.lit(""))), _POS, "SELECT CAST(row_number() OVER (ORDER BY cash, weight DESC, ticker) AS INTEGER) AS ord, ticker, '' AS label, round(weight, 6) AS weight FROM po")
 frame("portfolio_label_check", lambda s, d: published.check_labels(_portfolio(s, d)).select("ticker", F.array_join("terms", ",").alias("terms")), _POS, "SELECT ticker, array_to_string(t, ',') AS terms FROM (SELECT ticker, list_filter([" + ", ".join(f"'{t}'" for t in published.LABEL_BANNED) + "], lambda x: contains(lower(ticker || ' ' || label), x)) AS t FROM po WHERE NOT cash) WHERE len(t) > 0")
+frame("programme_caveats", lambda s, d: programme.caveats(s), "", " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS ord, '{c}' AS caveat, '{e}' AS effect, CAST({'NULL' if x is None else x} AS DOUBLE) AS floor" for i, (c, e, x) in enumerate(programme.CAVEATS, 1)))
 frame("programme_growth", lambda s, d: programme.growth(fixtures.daily(s, d), fixtures.benchmark(s, d)), f"{sql.F2}, {sql.F3}", f"SELECT round((SELECT {RISK['cagr']} FROM f2), 6) AS cagr, round((SELECT avg(ret)*252 FROM f2), 6) AS arithmetic, round((SELECT {RISK['cagr'].replace('ret', 'bench')} FROM f3), 6) AS reference_cagr")
 frame("programme_pain", lambda s, d: programme.pain(fixtures.daily(s, d)), sql.EPISODES, f"SELECT round(min(dd), 6) AS max_drawdown, round({RISK['time_under_water']}, 6) AS time_under_water, round({RISK['ulcer_index']}, 6) AS ulcer_index, (SELECT count(*) FROM ep) AS episodes, (SELECT count(recovery) FROM ep) AS closed FROM dd")
 frame("programme_ratios", lambda s, d: programme.ratios(fixtures.daily(s, d)), sql.DD, f"SELECT round({RISK['sharpe']}, 6) AS sharpe, round({RISK['sortino']}, 6) AS sortino, round({RISK['calmar']}, 6) AS calmar FROM dd")
-frame("programme_excess", lambda s, d: programme.excess(fixtures.daily(s, d), fixtures.benchmark(s, d), REPS), f"{_BOOT}, {sql.F3}, xy AS (SELECT b2.r AS y, bench AS x FROM b2 JOIN f3 ON f3.ts = b2.ts), se AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2)/regr_sxx(y, x))/(count(*)-2)/regr_sxx(y, x)) AS seb, sum(x*x) AS x2, count(*) AS n FROM xy)", "SELECT round(a, 6) AS alpha, round(a/(seb*sqrt(x2/n)), 6) AS t_alpha, round(b, 6) AS beta, round(b/seb, 6) AS t_beta, round(r2, 6) AS r2, n, round((SELECT quantile_cont(v, 0.025) FROM v), 6) AS low, round((SELECT quantile_cont(v, 0.975) FROM v), 6) AS high FROM se")
+frame("programme_excess", lambda s, d: programme.excess(fixtures.daily(s, d), fixtures.benchmark(s, d), CI), f"{_BOOT_CI}, {sql.F3}, xy AS (SELECT b2.r AS y, bench AS x FROM b2 JOIN f3 ON f3.ts = b2.ts), se AS (SELECT regr_slope(y, x) AS b, regr_intercept(y, x) AS a, regr_r2(y, x) AS r2, sqrt((regr_syy(y, x) - pow(regr_sxy(y, x), 2)/regr_sxx(y, x))/(count(*)-2)/regr_sxx(y, x)) AS seb, sum(x*x) AS x2, count(*) AS n FROM xy)", "SELECT round(a, 6) AS alpha, round(a/(seb*sqrt(x2/n)), 6) AS t_alpha, round(b, 6) AS beta, round(b/seb, 6) AS t_beta, round(r2, 6) AS r2, n, round((SELECT quantile_cont(v, 0.025) FROM v), 6) AS low, round((SELECT quantile_cont(v, 0.975) FROM v), 6) AS high FROM se")
 
 # Charts, formats, colours ---------------------------------------------------------------------
 
@@ -240,9 +251,9 @@ _HIST = "SELECT bin, round(a + bin*(b-a)/{n}, 6) AS lo, round(a + (bin+1)*(b-a)/
 frame("chart_equity", lambda s, d: charts.equity(fixtures.daily(s, d)), sql.DD, "SELECT ts, round(100*capital, 7) AS capital FROM dd", 7)
 frame("chart_drawdown", lambda s, d: charts.drawdown_curve(fixtures.daily(s, d)), sql.DD, "SELECT ts, round(dd, 11) AS dd, ts = (SELECT arg_min(ts, (dd, ts)) FROM dd) AS is_worst FROM dd", 11)
 frame("chart_trade_histogram", lambda s, d: charts.histogram(fixtures.trades(s, d), "r"), f"{sql.F1}, hx AS (SELECT r AS x FROM f1)", _HIST.format(n=40, t="hx"))
-frame("chart_monte_carlo_band", lambda s, d: charts.monte_carlo_band(base2(s, d), fraction=1.0, n_sim=20), f"{sql.B2}, {sql.draws(20)}, {_PATHS}", "SELECT pos, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.95), 6) AS p95 FROM p GROUP BY 1")
-frame("chart_drawdown_histogram", lambda s, d: charts.drawdown_histogram(base2(s, d), fraction=1.0, n_sim=REPS), f"{sql.B2}, {sql.draws(REPS)}, {_PATHS}, hx AS (SELECT min(dd) AS x FROM q GROUP BY rep)", _HIST.format(n=50, t="hx"))
-frame("chart_bootstrap_histogram", lambda s, d: charts.bootstrap_histogram(base2(s, d), reps=REPS), f"{_BOOT}, hx AS (SELECT v AS x FROM v)", _HIST.format(n=60, t="hx"))
+frame("chart_monte_carlo_band", lambda s, d: charts.monte_carlo_band(base2(s, d), fraction=1.0), f"{sql.B2}, {sql.draws(400)}, {_PATHS}", "SELECT pos, round(quantile_cont(c, 0.05), 6) AS p5, round(quantile_cont(c, 0.5), 6) AS p50, round(quantile_cont(c, 0.95), 6) AS p95 FROM p GROUP BY 1")
+frame("chart_drawdown_histogram", lambda s, d: charts.drawdown_histogram(base2(s, d), fraction=1.0), f"{sql.B2}, {sql.draws(3000)}, {_PATHS}, hx AS (SELECT min(dd) AS x FROM q GROUP BY rep)", _HIST.format(n=50, t="hx"))
+frame("chart_bootstrap_histogram", lambda s, d: charts.bootstrap_histogram(base2(s, d)), f"{_BOOT_CI}, hx AS (SELECT v AS x FROM v)", _HIST.format(n=60, t="hx"))
 frame("chart_surface", lambda s, d: charts.surface(_grid(s, d), "x", "y", "value", [1, 2, 3]).withColumnsRenamed({"1": "x1", "2": "x2", "3": "x3"}), _GRIDS, "SELECT y, round(max(value) FILTER (WHERE x = 1), 6) AS x1, round(max(value) FILTER (WHERE x = 2), 6) AS x2, round(max(value) FILTER (WHERE x = 3), 6) AS x3 FROM gr GROUP BY 1")
 frame("chart_lorenz", lambda s, d: charts.lorenz(fixtures.trades(s, d)), f"{sql.F1}, lw AS (SELECT r, count(*) AS n FROM f1 WHERE r > 0 GROUP BY 1)", "SELECT round(CAST(sum(n) OVER w AS DOUBLE)/(SELECT sum(n) FROM lw), 6) AS share_of_winners, round(sum(n*r) OVER w/(SELECT sum(n*r) FROM lw), 6) AS share_of_gross FROM lw WINDOW w AS (ORDER BY r DESC ROWS UNBOUNDED PRECEDING)")
 frame("format_numbers", lambda s, d: fixtures.read(s, d, "customer").select("c_custkey", formats.fixed(F.col("c_acctbal")).alias("fixed"), formats.number_text(F.col("c_acctbal"), 2, False).alias("grouped"), formats.signed_percent(F.col("c_acctbal") / 1000, 3).alias("signed"), formats.unsigned_percent(F.col("c_acctbal") / 1000, 3).alias("unsigned")), "", "SELECT c_custkey, translate(printf('%.2f', c_acctbal), '.-', ',−') AS fixed, translate(format('{:,.2f}', c_acctbal), ',.-', ' ,−') AS grouped, translate(printf('%+.3f%%', c_acctbal/1000*100), '.-', ',−') AS signed, ltrim(translate(printf('%+.3f%%', c_acctbal/1000*100), '.-', ',−'), '+') AS unsigned FROM customer")
@@ -255,11 +266,6 @@ frame("format_banned_terms", lambda s, d: fixtures.read(s, d, "documents").selec
 PALETTE = ("#000000", "#e69f00", "#56b4e9", "#009e73", "#f0e442", "#0072b2", "#d55e00", "#cc79a7")
 
 
-def _palette(s, d):
-    """Colours from the part keys that the SQL has."""
-    return _colours(s, d).where("pos <= 40")
-
-
 def _colours(s, d):
     """Colours from part keys: six hexadecimal digits of a hash."""
     return fixtures.read(s, d, "part").select(F.col("p_partkey").alias("pos"), F.concat(F.lit("#"), F.substring(F.md5(F.col("p_partkey").cast("string").cast("binary")), 1, 6)).alias("colour"))
@@ -270,13 +276,33 @@ def _lin(i: int) -> str:
     return f"CASE WHEN {c} <= 0.04045 THEN {c}/12.92 ELSE pow(({c}+0.055)/1.055, 2.4) END"
 
 
-_COL = f"cl AS (SELECT p_partkey AS pos, '#' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS colour FROM part WHERE p_partkey <= 40), li AS (SELECT pos, colour, {_lin(2)} AS r, {_lin(4)} AS g, {_lin(6)} AS b FROM cl), "
+_COL = f"cl AS (SELECT p_partkey AS pos, '#' || substr(md5(CAST(p_partkey AS VARCHAR)), 1, 6) AS colour FROM part), li AS (SELECT pos, colour, {_lin(2)} AS r, {_lin(4)} AS g, {_lin(6)} AS b FROM cl), "
 _COL += "lm AS (SELECT *, " + ", ".join(f"cbrt({x[0]}*r + {x[1]}*g + {x[2]}*b) AS {n}" for n, x in zip("lms", colour.TO_LMS, strict=True)) + " FROM li), "
 _COL += "lab AS (SELECT *, " + ", ".join(f"({x[0]}*l + {x[1]}*m + {x[2]}*s) AS {n}" for n, x in zip(("ll", "aa", "bb"), colour.TO_LAB, strict=True)) + ", 0.2126*r + 0.7152*g + 0.0722*b AS lu FROM lm)"
-frame("colour_oklch", lambda s, d: _palette(s, d).select("pos", *(c.alias(n) for n, c in zip(("lightness", "chroma", "hue"), colour.oklch(F.col("colour")), strict=True)), colour.luminance(F.col("colour")).alias("luminance"), colour.contrast(F.col("colour"), F.lit("#ffffff")).alias("contrast")), _COL, "SELECT pos, round(ll, 6) AS lightness, round(sqrt(aa*aa + bb*bb), 6) AS chroma, round(CASE WHEN atan2(bb, aa) < 0 THEN degrees(atan2(bb, aa)) + 360 ELSE degrees(atan2(bb, aa)) END, 6) AS hue, round(lu, 6) AS luminance, round(1.05/(lu + 0.05), 6) AS contrast FROM lab")
-frame("colour_delta_e", lambda s, d: _palette(s, d).select("pos", colour.delta_e(F.col("colour"), F.lit("#000000")).alias("delta_e")), _COL, "SELECT pos, round(100*sqrt(ll*ll + aa*aa + bb*bb), 6) AS delta_e FROM lab")
-add("colour_simulated", lambda s, d: rounded(_colours(s, d).select("pos", *(colour.delta_e(F.col("colour"), F.lit("#000000"), k).alias(k) for k in colour.DEFICIENCY))))
-add("colour_palette_check", lambda s, d: rounded(colour.validate(s.createDataFrame(list(enumerate(PALETTE, 1)), "pos long, colour string"), pairs="all")))
+frame("colour_oklch", lambda s, d: _colours(s, d).select("pos", *(c.alias(n) for n, c in zip(("lightness", "chroma", "hue"), colour.oklch(F.col("colour")), strict=True)), colour.luminance(F.col("colour")).alias("luminance"), colour.contrast(F.col("colour"), F.lit("#ffffff")).alias("contrast")), _COL, "SELECT pos, round(ll, 6) AS lightness, round(sqrt(aa*aa + bb*bb), 6) AS chroma, round(CASE WHEN atan2(bb, aa) < 0 THEN degrees(atan2(bb, aa)) + 360 ELSE degrees(atan2(bb, aa)) END, 6) AS hue, round(lu, 6) AS luminance, round(1.05/(lu + 0.05), 6) AS contrast FROM lab")
+frame("colour_delta_e", lambda s, d: _colours(s, d).select("pos", colour.delta_e(F.col("colour"), F.lit("#000000")).alias("delta_e")), _COL, "SELECT pos, round(100*sqrt(ll*ll + aa*aa + bb*bb), 6) AS delta_e FROM lab")
+
+
+def _lab(kind: str | None) -> str:
+    """[lightness, a, b] of linear r, g, b as seen with a deficiency, or with none."""
+    rgb = [f"least(1.0, greatest(0.0, {x[0]}*r + {x[1]}*g + {x[2]}*b))" for x in colour.DEFICIENCY[kind]] if kind else ["r", "g", "b"]
+    lms = [f"cbrt({x[0]}*({rgb[0]}) + {x[1]}*({rgb[1]}) + {x[2]}*({rgb[2]}))" for x in colour.TO_LMS]
+    return "[" + ", ".join(f"{x[0]}*{lms[0]} + {x[1]}*{lms[1]} + {x[2]}*{lms[2]}" for x in colour.TO_LAB) + "]"
+
+
+def _apart(a: str, b: str) -> str:
+    return f"100*sqrt(pow({a}[1]-{b}[1], 2) + pow({a}[2]-{b}[2], 2) + pow({a}[3]-{b}[3], 2))"
+
+
+_SEEN = f"{_COL}, sm AS (SELECT pos, " + ", ".join(f"{_lab(k)} AS {k}" for k in colour.DEFICIENCY) + " FROM li)"
+frame("colour_simulated", lambda s, d: _colours(s, d).select("pos", *(colour.delta_e(F.col("colour"), F.lit("#000000"), k).alias(k) for k in colour.DEFICIENCY)), _SEEN, "SELECT pos, " + ", ".join(f"round({_apart(k, '[0.0, 0.0, 0.0]')}, 6) AS {k}" for k in colour.DEFICIENCY) + " FROM sm")
+_SURFACE = "(SELECT 0.2126*r + 0.7152*g + 0.0722*b FROM (SELECT " + ", ".join(f"{_lin(i)} AS {n}" for i, n in ((2, "r"), (4, "g"), (6, "b"))) + f" FROM (SELECT '{colour.SURFACE['light']}' AS colour)))"
+_CHECK = "pl AS (SELECT unnest(range(1, 9)) AS pos, unnest([" + ", ".join(f"'{c}'" for c in PALETTE) + f"]) AS colour), pr AS (SELECT pos, {_lin(2)} AS r, {_lin(4)} AS g, {_lin(6)} AS b FROM pl), pv AS (SELECT pos, 0.2126*r + 0.7152*g + 0.0722*b AS lu, {_SURFACE} AS su, {_lab(None)} AS normal, " + ", ".join(f"{_lab(k)} AS {k}" for k in ("protan", "deutan", "tritan")) + " FROM pr), "
+_CHECK += f"p1 AS (SELECT sum(CASE WHEN normal[1] BETWEEN {colour.BAND['light'][0]} AND {colour.BAND['light'][1]} THEN 0 ELSE 1 END) AS band, min(sqrt(pow(normal[2], 2) + pow(normal[3], 2))) AS chroma, min((greatest(lu, su) + 0.05)/(least(lu, su) + 0.05)) AS contrast FROM pv), "
+_CHECK += "p2 AS (SELECT min(least(" + ", ".join(_apart(f"a.{k}", f"b.{k}") for k in ("protan", "deutan")) + f")) AS cvd, min({_apart('a.normal', 'b.normal')}) AS normal FROM pv a JOIN pv b ON a.pos < b.pos)"
+frame("colour_palette_check", lambda s, d: colour.validate(s.createDataFrame(list(enumerate(PALETTE, 1)), "pos long, colour string"), pairs="all"), _CHECK, " UNION ALL ".join(f"SELECT CAST({i} AS INTEGER) AS ord, '{n}' AS \"check\", CASE WHEN {c} THEN 'pass' {more} END AS status, round(CAST({w} AS DOUBLE), 6) AS worst FROM p1 CROSS JOIN p2" for i, (n, c, more, w) in enumerate((
+    ("lightness band", "band = 0", "ELSE 'fail'", "band"), ("chroma floor", f"chroma >= {colour.CHROMA_FLOOR}", "ELSE 'fail'", "chroma"), ("deficiency separation", f"cvd >= {colour.CVD_TARGET}", f"WHEN cvd >= {colour.CVD_FLOOR} THEN 'floor' ELSE 'fail'", "cvd"),
+    ("normal separation", f"normal >= {colour.NORMAL_FLOOR}", "ELSE 'fail'", "normal"), ("contrast", f"contrast >= {colour.CONTRAST_MIN}", "ELSE 'relief'", "contrast")), 1)))
 
 # Live trading ---------------------------------------------------------------------------------
 
@@ -293,7 +319,7 @@ frame("live_kill_switch_batch", lambda s, d: execution.kill_switch(_events(s, d)
 
 
 def _streamed(s, d):
-    """The stateful kill switch, run over the events as a stream into memory."""
+    """The stateful kill switch, run over the events as a stream into memory: each strategy's last state."""
     import uuid
 
     name = f"live_{uuid.uuid4().hex}"
@@ -303,7 +329,9 @@ def _streamed(s, d):
     rows = source.select((F.col("user_id") % 10).cast("string").alias("strategy"), "ts", ((F.col("value") - 50) / 50).alias("r"))
     run = live.kill_switch(rows).writeStream.outputMode("update").format("memory").queryName(name).trigger(availableNow=True).start()
     run.awaitTermination()
-    return s.table(name)
+    last = s.table(name).groupBy("strategy").agg(F.max_by(F.struct("n", "expectancy", "max_drawdown", "trigger"), "n").alias("x"))
+    return last.select("strategy", "x.*")
 
 
-add("live_kill_switch_stream", _streamed)
+# All events come in one micro-batch, so the stream ends where the batch does.
+frame("live_kill_switch_stream", _streamed, _LIVE, "SELECT strategy, count(r) AS n, round(avg(r), 6) AS expectancy, round(min(dd), 6) AS max_drawdown, (min(dd) <= -0.2 OR (count(r) >= 30 AND avg(r) < 0)) AS trigger FROM ld GROUP BY 1")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 _R = "round((l_extendedprice*(1-l_discount)-50000)/50000, 8)"
 _COLUMNS = "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice"
 
@@ -35,6 +37,40 @@ def hashed(*parts: str) -> str:
     return f"CAST('0x' || substr(md5({text}), 1, 8) AS BIGINT)"
 
 
+def uniform(seed: int, name: str, row: str = "id") -> str:
+    return f"(({hashed(repr(f'{seed}{name}'), row)} + 0.5)/4294967296.0)"
+
+
+def normal(seed: int, name: str, mean: float = 0.0, sd: float = 1.0, row: str = "id") -> str:
+    return f"({mean!r} + {sd!r}*sqrt(-2*ln({uniform(seed, name + 'a', row)}))*cos(2*pi()*{uniform(seed, name + 'b', row)}))"
+
+
+def business_day(monday: str, shift: int, i: str) -> str:
+    k = f"({i} + {shift})"
+    return f"CAST(DATE '{monday}' + CAST(({k} // 5)*7 + {k} % 5 AS INTEGER) AS TIMESTAMP)"
+
+
+def _strategy(seed: int = 42, trades: int = 420, payoff: float = 1.9) -> str:
+    """The generated strategy: gt, a row a trade, and gd, a row a day."""
+    u, z = lambda k, row="id": uniform(seed, k, row), lambda k, *a: normal(seed, k, *a)
+    days = int(trades * 6.5)
+    return f"""gw AS (SELECT CAST(i AS BIGINT) AS id FROM range(0, {trades}) t(i)), gv AS (SELECT id, {u('win')} < 0.42 AS won FROM gw),
+  gr AS (SELECT id, won, CASE WHEN won THEN exp({z('gain', math.log(payoff) - 0.18, 0.6)}) ELSE -abs({z('loss', 1.0, 0.28)}) END - {0.0008 / 0.01!r} AS r, CAST(floor({u('entry')}*{days - 12}) AS BIGINT) AS day_in FROM gv),
+  gx AS (SELECT *, CAST(least(day_in + CASE WHEN won THEN 4 + floor({u('held')}*26) ELSE 2 + floor({u('held')}*10) END, {days - 1}) AS BIGINT) AS day_out, row_number() OVER (ORDER BY day_in, id) - 1 AS idx FROM gr),
+  gy AS (SELECT *, CAST(idx // 25 AS BIGINT) AS block FROM gx),
+  gt AS (SELECT idx, {business_day('2012-01-02', 0, 'day_in')} AS entry, {business_day('2012-01-02', 0, 'day_out')} AS exit, r, r*0.01 AS ret, 'ASSET' || CAST(CAST(floor({u('asset')}*12) + 1 AS BIGINT) AS VARCHAR) AS asset,
+    ['up', 'flat', 'down'][CAST(floor({u('regime', 'block')}*3) + 1 AS INTEGER)] AS regime, -abs({z('mae', 0.45, 0.25)}) AS mae, CASE WHEN r > 0 THEN r*(1.05 + 0.85*{u('mfe')}) ELSE abs({z('mfe0', 0.35, 0.22)}) END AS mfe FROM gy),
+  gd AS (SELECT {business_day('2012-01-02', 0, 'n.id')} AS ts, n.noise + coalesce(p.posted, 0.0) AS ret FROM (SELECT CAST(i AS BIGINT) AS id, {z('day', 0.11 / 252, 0.009)} AS noise FROM (SELECT i, CAST(i AS BIGINT) AS id FROM range(0, {days}) t(i))) n
+    LEFT JOIN (SELECT day_out, sum(r*0.01) AS posted FROM gy GROUP BY 1) p ON p.day_out = n.id)"""
+
+
+#: The generated strategy, and its trades and days under the names that the fixtures have.
+GENERATED = _strategy()
+G1 = f"{GENERATED}, f1 AS (SELECT idx, r FROM gt)"
+GB1 = f"{G1}, b1 AS (SELECT idx, r FROM f1)"
+G2 = f"{GENERATED}, f2 AS (SELECT ts, ret FROM gd)"
+
+
 def draws(reps: int, base: str = "b2", seed: int = 0, length: int | None = None) -> str:
     """dr(rep, pos, r): the resample core over base(idx, r)."""
     pos = f"(SELECT idx AS pos FROM {base})" if length is None else f"(SELECT CAST(g AS BIGINT) AS pos FROM range(0, {length}) q(g))"

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -36,17 +37,19 @@ _STATE = "n long, total double, capital double, peak double, low double"
 def kill_switch(live: DataFrame, mdd_limit: float = -0.2, least: int = 30, expectancy_limit: float = 0.0, fraction: float = 0.01) -> DataFrame:
     """One row a strategy and micro-batch: its state over all it has seen, and the trigger.
 
-    State is five numbers a strategy. Rows of a batch are taken in order of time; what comes in a
+    State is five numbers a strategy. Rows of a batch are taken in order of time, then of result; what comes in a
     later batch is taken later, whatever its time.
     """
 
     def update(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         n, total, capital, peak, low = state.get if state.exists else (0, 0.0, 1.0, float("-inf"), 0.0)
-        rows = pd.concat(list(frames)).sort_values("ts", kind="stable")
-        for r in rows["r"].dropna():
-            n, total, capital = n + 1, total + r, capital * (1 + r * fraction)
-            peak = max(peak, capital)
-            low = min(low, capital / peak - 1)
+        # What comes in a batch is put in time order whole: a strategy's rows of one micro-batch, whose
+        # size the trigger bounds.
+        r = pd.concat(list(frames)).sort_values(["ts", "r"], kind="stable")["r"].dropna().to_numpy(dtype=float)
+        if len(r):
+            curve = capital * np.cumprod(1 + r * fraction)
+            peaks = np.maximum(np.maximum.accumulate(curve), peak)
+            n, total, capital, peak, low = n + len(r), total + float(r.sum()), float(curve[-1]), float(peaks[-1]), min(low, float((curve / peaks - 1).min()))
         state.update((n, total, capital, peak, low))
         mean = total / n if n else None
         yield pd.DataFrame({"strategy": [key[0]], "n": [n], "expectancy": [mean], "max_drawdown": [low], "trigger": [low <= mdd_limit or (n >= least and mean is not None and mean < expectancy_limit)]})
