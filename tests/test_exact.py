@@ -87,3 +87,16 @@ def test_entry_does_not_hide_faults():
 
     text = (pathlib.Path(__file__).parent.parent / "__spark_entry__.py").read_text()
     assert "except ImportError" not in text and "find_spec" in text
+
+
+def test_rolling_over_stretches(spark, monkeypatch):
+    """A series in stretches has the rolling metric of the whole."""
+    from edgeproof.operators import signal
+
+    monkeypatch.setattr(signal, "STRETCH", 40)
+    rows = spark.range(333).select(F.col("id").alias("ts"), F.floor(F.col("id") / 50).alias("m"), F.sin(F.col("id") * 1.7).alias("ret"), F.lit("idx").alias("note"))
+    for metric in ("mean", "std", "median", "profit_factor"):
+        for window in (1, 7, 40, 60):
+            want = {r["ts"]: r["rolling"] for r in signal.rolling_metric(rows, window=window, metric=metric).collect()}
+            got = {r["ts"]: r["rolling"] for r in signal.rolling_metric(rows, window=window, metric=metric, block="m").collect()}
+            assert got.keys() == want.keys() and all((got[k] is None) == (want[k] is None) and (want[k] is None or got[k] == pytest.approx(want[k])) for k in want)
