@@ -10,7 +10,7 @@ from ..operators import charts, execution, generalization, ordered, risk, scorec
 from ..sources import fixtures, generators, published
 from ..streaming import live
 from . import programme, sql
-from .registry import _BOOT_CI, _NEFF, _NW, _NWT, _PATHS, _PF, _ACF, CI, REPS, RISK, TRADE, _bins_sql, add, base1, base2, drawn, frame, rounded, scalar
+from .registry import _BOOT_CI, _NEFF, _NW, _NWT, _PATHS, _PF, _ACF, CI, RISK, TRADE, _bins_sql, add, base1, base2, drawn, frame, rounded, scalar
 
 # Generalization -------------------------------------------------------------------------------
 
