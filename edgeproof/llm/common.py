@@ -11,6 +11,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -134,6 +135,14 @@ def slices(sizes: list[int], limit: int) -> Iterator[tuple[int, int]]:
         yield start, len(sizes)
 
 
+def text_slices(texts: pa.Array, limit: int) -> Iterator[tuple[int, int, list[str]]]:
+    """Spans of a text column of about limit bytes each, with their texts (null as empty): only one
+    span's texts stand in Python at a time."""
+    data = texts.cast(pa.binary())
+    for a, b in slices(pc.fill_null(pc.binary_length(data), 0).to_pylist(), limit):
+        yield a, b, [(t or b"").decode("utf-8", "replace") for t in data.slice(a, b - a).to_pylist()]
+
+
 def hash_words(words: list[bytes]) -> np.ndarray:
     """A fixed 64-bit hash of each word (the same in every process)."""
     if not words:

@@ -22,9 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, cut, mix64, raw_texts, scan, slices
+from .common import column, cut, mix64, scan, slices, text_slices
 
 _BASE = 0x100000001B3
+#: What is worked on at once: bytes of text, hits of grams. They bound a task's memory.
+SLICE_BYTES, SLICE_HITS = 1_000_000, 500_000
 
 
 @dataclass(frozen=True)
@@ -196,7 +198,7 @@ class Windows:
         stay = np.isin(maybe, self._dense(maybe), assume_unique=True)
         maybe, lo, n = maybe[stay], lo[stay], n[stay]
         found: dict = {}
-        for a, b in slices(n.tolist(), 2_000_000):
+        for a, b in slices(n.tolist(), SLICE_HITS):
             # What begins in a slice ends within reach of its last place: slices overlap by that much.
             b = int(np.searchsorted(maybe, maybe[b - 1] + self.reach, "right"))
             for t, w, *hit in self._bands(codes, starts, maybe[a:b], lo[a:b], n[a:b]):
@@ -317,9 +319,8 @@ def _finder(sent, budget: Budget):
     def run(batch):
         w = _windows(state, sent, budget)
         ids = column(batch, "doc_id").to_pylist()
-        texts = [t.decode("utf-8", "replace") for t in raw_texts(batch)]
-        for a, b in slices([len(t) for t in texts], 2_000_000):
-            rows = [(ids[a + t], *x) for t, *x in w.leaks(texts[a:b])]
+        for a, _, texts in text_slices(column(batch, "text"), SLICE_BYTES):
+            rows = [(ids[a + t], *x) for t, *x in w.leaks(texts)]
             if rows:
                 yield dict(zip(("doc_id", "item_id", "n_windows", "edits", "start", "end"), zip(*rows, strict=True), strict=True))
 
@@ -332,10 +333,9 @@ def _cleaner(sent, budget: Budget, at: int):
     def run(batches):
         for batch in batches:
             w = _windows(state, sent, budget)
-            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            for a, b in slices([len(t) for t in texts], 2_000_000):
+            for a, b, texts in text_slices(batch.column(at), SLICE_BYTES):
                 clean = np.ones(b - a, bool)
-                clean[[t for t, *_ in w.leaks(texts[a:b])]] = False
+                clean[[t for t, *_ in w.leaks(texts)]] = False
                 yield batch.slice(a, b - a).filter(pa.array(clean))
 
     return run

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .chain import batches, gather, recursions
-from .common import column, hash_words, mix64, one_label, raw_texts, scan, slices
+from .common import column, hash_words, mix64, one_label, scan, slices, text_slices
 
 #: Hashed feature space; characters of prefixes and suffixes that are features.
 SPACE, AFFIXES = 1 << 18, (3, 4, 5, 6, 7)
@@ -240,9 +240,9 @@ def score(documents: DataFrame, field: Field, spans: bool = True) -> DataFrame:
 
     def run(batch):
         model: Field = sent.value
-        ids, texts = column(batch, "doc_id"), [t.decode("utf-8", "replace") for t in raw_texts(batch)]
-        for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-            places, counts, index, table = read(texts[a:b])
+        ids = column(batch, "doc_id")
+        for a, b, texts in text_slices(column(batch, "text"), BATCH_CHARS):
+            places, counts, index, table = read(texts)
             p = model.marginals(counts, model.scores(counts, index, table))
             total = model.document_scores(model.documents(counts, p))
             found, hits = [], []
@@ -270,9 +270,8 @@ def keep_clean(documents: DataFrame, field: Field, threshold: float = 0.3) -> Da
     def run(batches):
         for batch in batches:
             model: Field = sent.value
-            texts = [(t or b"").decode("utf-8", "replace") for t in batch.column(at).cast(pa.binary()).to_pylist()]
-            for a, b in slices([len(t) for t in texts], BATCH_CHARS):
-                _, counts, index, table = read(texts[a:b])
+            for a, b, texts in text_slices(batch.column(at), BATCH_CHARS):
+                _, counts, index, table = read(texts)
                 total = model.document_scores(model.documents(counts, model.marginals(counts, model.scores(counts, index, table))))
                 yield batch.slice(a, b - a).filter(pa.array(total < threshold))
 
