@@ -53,9 +53,11 @@ def moving_blocks(base: DataFrame, reps: int, seed: int = 0, block: int = 20) ->
     n = base.count()
     if n < 2 * block:
         return iid(base, reps, seed)
-    starts = grid(base.sparkSession, reps, n, block).withColumn("__s", hashed(F.lit(seed), F.col("rep"), F.floor(F.col("pos") / block)) % (n - block))
-    draws = starts.select("rep", "__s", F.col("pos").alias("__p"), F.explode(F.sequence(F.lit(0), F.lit(block - 1))).alias("__o"))
-    draws = draws.select("rep", (F.col("__p") + F.col("__o")).alias("pos"), (F.col("__s") + F.col("__o")).alias("idx")).where(F.col("pos") < n)
+    # A cell a place, each with its block's start: Spark does not see rows that an explode would add, and sends
+    # them all to the driver as a small table.
+    cells = grid(base.sparkSession, reps, n)
+    start = hashed(F.lit(seed), F.col("rep"), F.expr(f"pos div {block}")) % (n - block)
+    draws = cells.withColumn("idx", start + F.col("pos") % block)
     return _gather(draws, base)
 
 

@@ -1,5 +1,6 @@
 """Exact quantiles of whole columns, shared simulations, and undefined results."""
 
+import hashlib
 import math
 import random
 
@@ -48,6 +49,20 @@ def test_grid(spark):
     assert long.rdd.getNumPartitions() == 12 and long.agg(F.max("pos")).first()[0] == 2_999_999
 
 
+def test_moving_block_draws_are_no_small_table(spark):
+    """The draws by definition, and as large to Spark as they are: it sends no tables of millions of rows to all."""
+    n, reps, block = 47, 30, 20
+    base = spark.range(n).select(F.col("id").alias("idx"), (F.col("id") * 1.5).alias("r"))
+    got = {(r["rep"], r["pos"]): (r["idx"], r["r"]) for r in resample.moving_blocks(base, reps, 3, block).collect()}
+    start = lambda rep, b: int(hashlib.md5(f"3:{rep}:{b}".encode()).hexdigest()[:8], 16) % (n - block)
+    want = {(rep, pos): start(rep, pos // block) + pos % block for rep in range(reps) for pos in range(n)}
+    assert got == {at: (i, i * 1.5) for at, i in want.items()}
+    node = resample.moving_blocks(spark.range(2400).withColumnRenamed("id", "idx"), 5000)._jdf.queryExecution().optimizedPlan()
+    while node.nodeName() != "Join":
+        node = node.children().apply(0)
+    assert node.left().stats().sizeInBytes() >= 5000 * 2400 * 16
+
+
 def test_survival_shares_paths(spark):
     base = resample.indexed(generators.strategy(spark).trades, ("idx",))
     for n in (None, 100, 700):
