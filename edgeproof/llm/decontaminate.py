@@ -76,30 +76,44 @@ def normalise(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     gap = ~wordy & ~stop
     keep = wordy | stop
     keep[1:] |= gap[1:] & wordy[:-1]
-    out = np.where(wordy, _LOWER[codes], np.where(stop, 0, 32))[keep].astype(np.uint32)
-    ends = np.flatnonzero(stop)
-    starts = np.concatenate([[0], ends[:-1] + 1])
-    place = (np.arange(len(codes)) - np.repeat(starts, np.diff(np.append(starts, len(codes)))))[keep]
+    kept = np.flatnonzero(keep)
+    out = _LOWER[codes[kept]]
+    out[gap[kept]] = 32  # a stop is its own lower case, 0
     at = np.flatnonzero(out == 0)
-    return out, place, np.concatenate([[0], at[:-1] + 1])
+    begun = np.concatenate([[0], at[:-1] + 1])
+    kept -= np.repeat(np.concatenate([[0], kept[at[:-1]] + 1]), np.diff(np.append(begun, len(out))))
+    return out, kept, begun
 
 
 def grams(codes: np.ndarray, q: int) -> np.ndarray:
     """A hash of the q code points from each place on (0 where a text ends before)."""
     n = len(codes)
-    h = np.zeros(n, np.uint64)
     if n < q:
-        return h
-    ok = np.ones(n, bool)
-    for j in range(q):
-        h[: n - j] = h[: n - j] * np.uint64(_BASE) + codes[j:]
-        ok[: n - j] &= codes[j:] != 0
-        ok[max(0, n - j) :] = False
+        return np.zeros(n, np.uint64)
+    h, have = np.zeros(n, np.uint64), 0
+    runs, size = codes.astype(np.uint64), 1
+    # Hashes of runs of 1, 2, 4... characters: those that add up to q are put together.
+    while True:
+        if q & size:
+            h = _joined(runs, h, size, have)
+            have += size
+        if have == q:
+            break
+        runs, size = _joined(runs, runs, size, size), 2 * size
     h = mix64(h)
-    h[~ok] = 0
+    stops = np.flatnonzero(codes == 0)
+    h[np.maximum(stops[:, None] - np.arange(q), 0).ravel()] = 0
+    h[n - q + 1 :] = 0
     return h
 
 
+def _joined(left: np.ndarray, right: np.ndarray, size: int, more: int) -> np.ndarray:
+    """Hashes of runs of size + more characters from those of their first size and of the more after them."""
+    out = left * np.uint64(pow(_BASE, more, 1 << 64))
+    out[: len(out) - size] += right[size:]
+    return out
+
+
 def align_all(patterns: np.ndarray, codes: np.ndarray, base: np.ndarray, end: np.ndarray, diagonal: np.ndarray, band: int, most: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Least edits of each pattern (a row) against any part of codes[base:end] whose path stays within
     the band around its diagonal: edits (over most if there is none), start, end. All pairs go row by
@@ -173,7 +187,9 @@ class Windows:
         self.window = np.repeat(np.arange(len(h)), [len(x) for x in h])
         self.offset = np.concatenate([np.arange(len(x)) for x in h]) if h else np.zeros(0, np.int64)
         order = np.argsort(flat, kind="stable")
-        self.gram, self.window, self.offset = flat[order], self.window[order], self.offset[order]
+        self.window, self.offset = self.window[order], self.offset[order]
+        # Each gram once, where its windows begin and how many they are.
+        self.gram, self.first, self.times = np.unique(flat[order], return_index=True, return_counts=True)
         self.bits = max(16, min(27, int(math.log2(len(flat) + 1)) + 6))
         self.filter = np.zeros(1 << self.bits, bool)
         self.filter[(flat >> np.uint64(64 - self.bits)).astype(np.int64)] = True
@@ -191,14 +207,15 @@ class Windows:
         # A window's grams lie within reach: places with too few possible hits around them go, then
         # once more with what are hits indeed.
         maybe = self._dense(maybe)
-        lo = np.searchsorted(self.gram, h[maybe], "left")
-        n = np.searchsorted(self.gram, h[maybe], "right") - lo
-        real = n > 0
-        maybe, lo, n = maybe[real], lo[real], n[real]
-        stay = np.isin(maybe, self._dense(maybe), assume_unique=True)
-        maybe, lo, n = maybe[stay], lo[stay], n[stay]
+        sought = h[maybe]
+        at = np.minimum(np.searchsorted(self.gram, sought), len(self.gram) - 1)
+        real = self.gram[at] == sought
+        maybe, at = maybe[real], at[real]
+        stay = self._dense_mask(maybe)
+        maybe, at = maybe[stay], at[stay]
+        lo, n = self.first[at], self.times[at]
         found: dict = {}
-        for a, b in slices(n.tolist(), SLICE_HITS):
+        for a, b in slices(n.tolist(), SLICE_HITS) if n.sum() > SLICE_HITS else [(0, len(n))] * bool(len(n)):
             # What begins in a slice ends within reach of its last place: slices overlap by that much.
             b = int(np.searchsorted(maybe, maybe[b - 1] + self.reach, "right"))
             for t, w, *hit in self._bands(codes, starts, maybe[a:b], lo[a:b], n[a:b]):
@@ -207,28 +224,33 @@ class Windows:
 
     def _dense(self, places: np.ndarray) -> np.ndarray:
         """Places with as many others within reach as some window demands."""
+        return places[self._dense_mask(places)]
+
+    def _dense_mask(self, places: np.ndarray) -> np.ndarray:
         marks = np.zeros(len(places) + 1, np.int64)
         for reach, least in self.runs:
             run = np.searchsorted(places, places + reach) - np.arange(len(places))
             good = np.flatnonzero(run >= least)
             marks += np.bincount(good, minlength=len(marks)) - np.bincount(good + run[good], minlength=len(marks))
-        return places[np.cumsum(marks)[:-1] > 0]
+        return np.cumsum(marks)[:-1] > 0
 
     def _bands(self, codes, starts, place, lo, n):
         hit = np.repeat(place, n)
         index = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         win, diag = self.window[index], hit - self.offset[index]
         width = 2 * self.edits[win] + 1  # a path with k edits stays within this many diagonals
-        parts = []
-        for half in (0, 1):  # overlapping bands: every path of so many diagonals lies in one of them
-            band = (diag + half * width) // (2 * width)
-            code = win * np.int64(1 << 34) + band + (1 << 20)
+        bound = self.bound[win]
+        cell, parts = diag // width, []
+        key = win * np.int64(1 << 34) + (1 << 20)
+        for half in (0, 1):  # overlapping bands, two cells each: every path of so many diagonals lies in one of them
+            band = (cell + half) >> 1
+            code = key + band
             # A small table of counts, which may only count too much, leaves few hits to sort.
             slot = (code.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(44)).astype(np.int64)
-            maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= self.bound[win])
+            maybe = np.flatnonzero(np.bincount(slot, minlength=1 << 20)[slot] >= bound)
             order = maybe[np.argsort(code[maybe], kind="stable")]
             _, first, c = np.unique(code[order], return_index=True, return_counts=True)
-            ok = c >= self.bound[win[order[first]]]
+            ok = c >= bound[order[first]]
             first, mid = order[first[ok]], order[(first + c // 2)[ok]]
             w = win[first]
             # A window, the text, the middle hit's diagonal and the middle of the band.

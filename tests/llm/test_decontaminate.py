@@ -2,7 +2,8 @@ import random
 
 import numpy as np
 
-from edgeproof.llm.decontaminate import Budget, align, decontaminate, find_leaks, grams, normalise
+from edgeproof.llm.common import mix64
+from edgeproof.llm.decontaminate import Budget, Windows, align, decontaminate, find_leaks, grams, normalise
 
 
 def words(rng, n):
@@ -92,3 +93,15 @@ def test_grams_stop_at_text_ends():
     codes, _, _ = normalise(["abcdefghij", "abcdefghij"])
     h = grams(codes, 8)
     assert (h[:3] == h[11:14]).all() and (h[3:11] == 0).all()
+
+
+def test_each_gram_is_kept_once():
+    """Places are looked up among distinct grams, and grams of any length are those of their definition."""
+    text = "the same words and the same words and the same words again, at some length"
+    w = Windows([(1, text), (2, text)], Budget())
+    assert (w.gram[1:] > w.gram[:-1]).all() and w.times.sum() == len(w.window) > len(w.gram)
+    codes, _, _ = normalise([text, "", "abc", "é漢\U0001f600 abcdefgh"])
+    for q in range(1, 12):
+        want = [0 if i + q > len(codes) or 0 in codes[i : i + q] else sum(int(c) * pow(0x100000001B3, q - 1 - j) for j, c in enumerate(codes[i : i + q])) % 2**64 for i in range(len(codes))]
+        mixed = mix64(np.array(want, np.uint64))
+        assert (grams(codes, q) == np.where(np.array(want, np.uint64) == 0, 0, mixed)).all()
