@@ -42,8 +42,8 @@ def closed(text: Column) -> Column:
     def mark(h: Column):
         def one(edge: Column, i: Column) -> Column:
             # The lesser of the first and the last against each inner run between them: the first
-            # greater one ends it, so few are looked at.
-            return F.when(reduce(lambda a, b: a & b, (edge <= F.get(h, i + j) for j in range(1, SPAN - 1))), i)
+            # greater one ends it, so few are looked at: each test holds those after it.
+            return F.when(reduce(lambda after, test: test & after, [edge <= F.get(h, i + j) for j in range(SPAN - 2, 0, -1)]), i)
 
         return one
 
@@ -51,8 +51,16 @@ def closed(text: Column) -> Column:
         edges = F.zip_with(F.slice(h, 1, F.greatest(F.size(h) - (SPAN - 1), F.lit(0))), F.slice(h, SPAN, F.size(h)), lambda a, b: F.least(a, b))
         return F.array_compact(F.transform(edges, mark(h)))
 
+    return let(inner_runs(text), chosen)
+
+
+def inner_runs(text: Column) -> Column:
+    """Hashes of the runs of 6 characters, at every character. In a text of one byte a character a run is
+    cut out of the bytes; a hash is of bytes, so both ways give the same."""
     runs = F.regexp_extract_all(text, F.lit(rf"(?s)(?=(.{{{INNER}}}))."), F.lit(1))  # the last sign moves on by a code point
-    return let(F.transform(runs, lambda x: F.xxhash64(x)), chosen)
+    cut = lambda b: F.transform(F.sequence(F.lit(1), F.length(b) - (INNER - 1)), lambda i: F.xxhash64(F.substring(b, i, F.lit(INNER))))
+    plain = (F.octet_length(text) == F.length(text)) & (F.length(text) >= INNER)
+    return F.when(plain, let(F.encode(text, "UTF-8"), cut)).otherwise(F.transform(runs, lambda x: F.xxhash64(x)))
 
 
 def named(text: Column, places: Column) -> Column:

@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from edgeproof.llm.syncmers import DRIFT, INNER, KMER, SPAN, anchors, fingerprint, likeness, range_starts, with_edited, with_next
+from edgeproof.llm.syncmers import DRIFT, INNER, KMER, SPAN, anchors, fingerprint, inner_runs, likeness, range_starts, with_edited, with_next
 
 
 def signed(x):
@@ -126,3 +126,10 @@ def test_next_rows(spark):
     for ids in (list(range(5, 500, 3)), [0], [4], [-7, 2**62]):
         after = dict(zip(ids, [*ids[1:], ids[0]]))
         assert pairs(ids) == sorted((f"{i}.{k}", f"{after[i]}.0") for i in ids for k in range(1 + i % 3))
+
+
+def test_runs_of_plain_texts_need_no_pattern(spark):
+    """Runs cut out of bytes and runs found by the pattern hash the same; plain texts go the short way."""
+    texts = ["", "a", "abcde", "abcdef", "abc\n\x00 def\tghi", prose(11, 80), prose(12, 40) + "é", "漢字" * 9, "\U0001f600abcdefg"]
+    got = spark.createDataFrame(list(enumerate(texts)), "i int, t string").select("i", inner_runs(F.col("t")).alias("h")).collect()
+    assert {r["i"]: r["h"] for r in got} == {i: [signed(xxhash.xxh64_intdigest(t[j : j + INNER].encode(), 42)) for j in range(len(t) - INNER + 1)] for i, t in enumerate(texts)}
