@@ -83,7 +83,7 @@ class Chunk:
     @classmethod
     def of(cls, row: dict) -> Chunk:
         tokens = np.ascontiguousarray(np.frombuffer(row["tokens"], np.uint8).reshape(4, -1).T).view("<u4")[:, 0] if row["tokens"] else np.zeros(0, "<u4")
-        return cls(list(row["ids"]), np.array(row["held"], dtype=bool), np.frombuffer(row["counts"], "<u4").astype(np.int64), tokens, np.frombuffer(row["words"], np.uint64), np.frombuffer(row["n_train"], "<u4").astype(np.int64))
+        return cls(list(row.get("ids", ())), np.array(row["held"], dtype=bool), np.frombuffer(row["counts"], "<u4").astype(np.int64), tokens, np.frombuffer(row["words"], np.uint64), np.frombuffer(row.get("n_train", b""), "<u4").astype(np.int64))
 
     def sequences(self, which: np.ndarray, own: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
         """Word classes (or what own has for each word) of the documents chosen, each with the end class,
@@ -94,11 +94,13 @@ class Chunk:
         last = np.cumsum(n) - 1
         inner = np.ones(len(out), bool)
         inner[last] = False
-        out[inner] = own[self.tokens[gather(starts[which], self.counts[which])]]
+        out[inner] = own.take(self.tokens.take(gather(starts[which], self.counts[which])))
         return out, n
 
 
 _COLUMNS = ("ids", "held", "counts", "tokens", "words", "n_train")
+#: What a round of Baum-Welch reads of them.
+_COUNTED = ("held", "counts", "tokens", "words")
 
 
 def _chunks(batch) -> list[Chunk]:
@@ -134,11 +136,14 @@ class Model:
         longest = int(n[0])
         active = np.searchsorted(-n, -np.arange(longest), "left")
         ends = np.cumsum(active)
-        x = seq[starts[ragged(active)] + np.repeat(np.arange(longest), active)]
+        at = [slice(lo, hi) for lo, hi in zip((ends - active).tolist(), ends.tolist(), strict=True)]
+        index = np.empty(int(ends[-1]), np.int64)
+        for t, here in enumerate(at):
+            np.add(starts[: active[t]], t, out=index[here])
+        x = seq.take(index)
         step, back, one = self.step.astype("f4"), np.ascontiguousarray(self.step.T, "f4"), np.ones(STATES, "f4")
-        e = self.emit.astype("f4")[x]
+        e = self.emit.astype("f4").take(x, axis=0)  # rows at once: an index of rows goes value by value
         alpha, beta, scale = np.empty_like(e), np.ones_like(e), np.empty(len(e), "f4")
-        at = [slice(lo, hi) for lo, hi in zip((ends - active).tolist(), ends.tolist(), strict=True)]
         last = alpha[:0]
         for t, here in enumerate(at):
             cur = alpha[here]
@@ -160,7 +165,8 @@ class Model:
             xi += alpha[below].T @ msg
             np.dot(msg, back, out=beta[below])
         alpha *= beta
-        out = np.stack([np.bincount(x, weights=alpha[:, s], minlength=CLASSES + 1) for s in range(STATES)], axis=1)
+        by_state = np.ascontiguousarray(alpha.T, float)
+        out = np.stack([np.bincount(x, weights=w, minlength=CLASSES + 1) for w in by_state], axis=1)
         return alpha[at[0]].sum(0, dtype=float), xi * self.step, out, float(np.log(scale.astype(float)).sum())
 
     @classmethod
@@ -193,7 +199,7 @@ def _expect(chunks: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray, np
             yield pa.RecordBatch.from_arrays([pa.array(range(BLOCKS), pa.int32()), pa.array([x.astype("<f4").tobytes() for x in np.array_split(flat, BLOCKS)], pa.binary())], names=["block", "data"])
 
     add = lambda data: sum(np.frombuffer(x, "<f4").astype(np.float64) for x in data).astype("<f4").tobytes()
-    parts = chunks.select("ids", "held", "counts", "tokens", "words", "n_train").mapInArrow(part, "block int, data binary").withColumn("side", F.pmod(F.spark_partition_id(), F.lit(64)))
+    parts = chunks.select(*_COUNTED).mapInArrow(part, "block int, data binary").withColumn("side", F.pmod(F.spark_partition_id(), F.lit(64)))
     first = parts.groupBy("block", "side").applyInPandas(lambda k, p: pd.DataFrame({"block": [k[0]], "data": [add(p["data"])]}), "block int, data binary")
     got = {r["block"]: r["data"] for r in first.groupBy("block").applyInPandas(lambda k, p: pd.DataFrame({"block": [k[0]], "data": [add(p["data"])]}), "block int, data binary").collect()}
     size = STATES + STATES**2 + (CLASSES + 1) * STATES

@@ -108,3 +108,13 @@ def test_texts_of_one_word_stay_within_one(spark):
     rows = [(i, t, False) for i, t in enumerate(train)] + [(100 + i, t, True) for i, t in enumerate(after)]
     got = {r["doc_id"]: 10 ** r["score"] for r in hmm.language_model(spark.createDataFrame(rows, "doc_id long, text string, held_out boolean")).collect()}
     assert all(got[100 + i] > 0 for i in range(5)) and sum(got[100 + i] for i in range(5)) < 1
+
+
+def test_a_round_reads_only_what_it_counts():
+    """Sequences need neither ids nor training counts of a chunk."""
+    words, tokens = np.array([11, 12], np.uint64), np.array([0, 1, 0], "<u4")
+    row = {"held": [False, True], "counts": np.array([2, 1], "<u4").tobytes(), "tokens": tokens.view(np.uint8).reshape(-1, 4).T.tobytes(), "words": words.tobytes()}
+    assert set(row) == set(hmm._COUNTED)
+    own = hmm.class_of(words)
+    seq, n = hmm.Chunk.of(row).sequences(np.array([0]))
+    assert seq.tolist() == [own[0], own[1], hmm.CLASSES] and n.tolist() == [3]
